@@ -9,49 +9,42 @@ from pyspark.sql import functions as F
 from ..constants import MONTH_ABBREVIATIONS
 from .text import BLANKS, trim_blanks
 
-_YEAR_FIRST = r"\A([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})"
-_YEAR_LAST = r"\A([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{2,4})"
-_WORDED = rf"\A([A-Za-z]{{3,}})\.?{BLANKS}+([0-9]{{1,2}}),?{BLANKS}+([0-9]{{4}})"
+_REST = r"(?s:.*)\z"
+_YEAR_FIRST = rf"\A([0-9]{{4}})[-/]([0-9]{{1,2}})[-/]([0-9]{{1,2}}){_REST}"
+_YEAR_LAST = rf"\A([0-9]{{1,2}})[-/]([0-9]{{1,2}})[-/]([0-9]{{2,4}}){_REST}"
+_WORDED = (
+    rf"\A([A-Za-z]{{3}})[A-Za-z]*\.?{BLANKS}+([0-9]{{1,2}}),?{BLANKS}+([0-9]{{4}}){_REST}"
+)
 
 
 def parse_date(raw: Column, date_format: Column | str) -> Column:
     """Read the date at the start of ``raw``; trailing text such as a time is
     ignored. ``date_format`` may be a column, so files with different formats go
-    through one projection."""
+    through one projection.
+
+    Each step rewrites the text of the one before and uses it once, so that the
+    expression stays a chain: year-month-day, then a full year, then two-digit
+    month and day, and only a true calendar date survives the cast."""
     fmt = F.lit(date_format) if isinstance(date_format, str) else date_format
     text = trim_blanks(raw)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    year_first = fmt.isin("YYYY-MM-DD", "YYYY/MM/DD")
-    month_first = fmt.isin("MM/DD/YYYY", "M/D/YYYY")
-    day_first = fmt == "DD/MM/YYYY"
-    worded = fmt == "MMM D, YYYY"
+    worded = F.regexp_replace(text, _WORDED, "$3-$1-0$2")
     names = F.array(*[F.lit(m) for m in MONTH_ABBREVIATIONS])
-    month_word = F.array_position(names, F.upper(F.substring(part(_WORDED, 1), 1, 3)))
-
-    year = (
-        F.when(year_first, part(_YEAR_FIRST, 1))
-        .when(month_first | day_first, part(_YEAR_LAST, 3))
-        .when(worded, part(_WORDED, 3))
-    ).try_cast("int")
-    month = (
-        F.when(year_first, part(_YEAR_FIRST, 2))
-        .when(month_first, part(_YEAR_LAST, 1))
-        .when(day_first, part(_YEAR_LAST, 2))
-        .when(worded, month_word.cast("string"))
-    ).try_cast("int")
-    day = (
-        F.when(year_first, part(_YEAR_FIRST, 3))
-        .when(month_first, part(_YEAR_LAST, 2))
-        .when(day_first, part(_YEAR_LAST, 1))
-        .when(worded, part(_WORDED, 2))
-    ).try_cast("int")
-    full_year = F.when(year < 100, year + 2000).otherwise(year)
-    iso = F.format_string("%04d-%02d-%02d", full_year, month, day)
-    sensible = (full_year >= 1000) & month.between(1, 12) & day.between(1, 31)
-    return F.when(sensible, iso.try_cast("date"))
+    month = F.array_position(names, F.upper(F.substring(worded, 6, 3)))
+    ordered = (
+        F.when(fmt.isin("YYYY-MM-DD", "YYYY/MM/DD"), F.regexp_replace(text, _YEAR_FIRST, "$1-0$2-0$3"))
+        .when(fmt.isin("MM/DD/YYYY", "M/D/YYYY"), F.regexp_replace(text, _YEAR_LAST, "$3-0$1-0$2"))
+        .when(fmt == "DD/MM/YYYY", F.regexp_replace(text, _YEAR_LAST, "$3-0$2-0$1"))
+        .when(
+            fmt == "MMM D, YYYY",
+            F.concat(
+                F.substring(worded, 1, 5), F.lpad(month.cast("string"), 2, "0"), F.substring(worded, 9, 4)
+            ),
+        )
+    )
+    full_year = F.regexp_replace(ordered, r"\A0*([0-9]{2})-", "20$1-")
+    padded = F.regexp_replace(full_year, r"-0([0-9]{2})(?![0-9])", "-$1")
+    iso = F.regexp_extract(padded, r"\A([1-9][0-9]{3}-[0-9]{2}-[0-9]{2})\z", 1)
+    return iso.try_cast("date")
 
 
 def is_iso_date(text: Column) -> Column:

@@ -16,19 +16,15 @@ def to_cents(value: Column) -> Column:
 def parse_money(raw: Column) -> Column:
     """Printed amount to cents, null when it is not one. Parentheses or one
     leading minus mean negative; at most four decimals, rounded half up on the
-    third."""
-    text = trim_blanks(raw)
-    bracketed = text.rlike(r"\A\(.*\)\z")
-    inner = F.when(bracketed, F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    plain = F.regexp_replace(inner, rf"[$,]|{BLANKS}", "")
-    minus = plain.startswith("-")
-    digits = F.regexp_replace(plain, r"\A[-+]", "")
-    readable = digits.rlike(r"\A[0-9]*(\.[0-9]{0,4})?\z") & digits.rlike("[0-9]")
-    whole = F.regexp_extract(digits, r"\A([0-9]*)", 1)
-    fraction = F.rpad(F.regexp_extract(digits, r"\.([0-9]*)\z", 1), 4, "0")
-    cents = F.concat(F.lit("0"), whole, F.substring(fraction, 1, 2)).try_cast("long")
-    cents = cents + F.when(F.substring(fraction, 3, 1) >= "5", 1).otherwise(0)
-    return F.when(readable, F.when(bracketed | minus, -cents).otherwise(cents))
+    third.
+
+    A chain of rewrites, each used once: brackets become a marker, signs and
+    grouping go, and only a plain decimal is left to cast exactly."""
+    marked = F.regexp_replace(trim_blanks(raw), r"\A\((.*)\)\z", "\u0001$1")
+    plain = F.regexp_replace(marked, rf"[$,]|{BLANKS}", "")
+    signed = F.regexp_replace(plain, r"\A\u0001[-+]?", "-")
+    number = F.regexp_extract(signed, r"\A\+?(-?(?:[0-9]+(?:\.[0-9]{0,4})?|\.[0-9]{1,4}))\z", 1)
+    return (F.round(number.try_cast("decimal(36,4)"), 2) * 100).try_cast("long")
 
 
 def _dollars(cents: Column) -> Column:

@@ -105,7 +105,7 @@ monthly AS (
 snapshots AS (
   SELECT account_id, date,
     CAST(sum(moved) OVER (PARTITION BY account_id ORDER BY date)
-      + CASE WHEN (account_id + month(date)) % 7 = 0 THEN 1234 ELSE 0 END AS BIGINT) AS balance_cents,
+      + CASE (account_id + month(date)) % 7 WHEN 0 THEN 1599 WHEN 1 THEN 3198 ELSE 0 END AS BIGINT) AS balance_cents,
     'import' AS source
   FROM monthly
   UNION ALL
@@ -199,4 +199,72 @@ merchant_memory AS (
 suggestions AS (
   SELECT DISTINCT merchant, 1 + (length(merchant) * 7) % 23 AS category_id, length(merchant) % 10 AS confidence_tenths
   FROM base
+),
+uploads0 AS (
+  SELECT *, id % 101 = 0 AS is_blank,
+    CASE WHEN id % 103 = 0 THEN 0 WHEN account_id % 3 = 1 THEN -amount_cents ELSE amount_cents END AS shown
+  FROM base
+),
+uploads1 AS (
+  SELECT *, CAST(abs(shown) // 100 AS VARCHAR) || '.' || lpad(CAST(abs(shown) % 100 AS VARCHAR), 2, '0') AS dollars FROM uploads0
+),
+uploads AS (
+  SELECT import_batch_id AS file_id, id AS row_index, account_id,
+    account_id % 3 AS style_no, account_id % 6 AS format_no,
+    CASE WHEN is_blank THEN '  ' WHEN id % 97 = 0 THEN '31/31/1999'
+      WHEN account_id % 6 = 0 THEN strftime(date, '%Y-%m-%d 10:00')
+      WHEN account_id % 6 = 1 THEN strftime(date, '%m/%d/%Y')
+      WHEN account_id % 6 = 2 THEN strftime(date, '%-m-%-d-%Y')
+      WHEN account_id % 6 = 3 THEN strftime(date, '%d/%m/%Y')
+      WHEN account_id % 6 = 4 THEN strftime(date, '%Y/%-m/%-d')
+      ELSE strftime(date, '%b %-d, %Y') END AS raw_date,
+    CASE WHEN is_blank OR id % 103 = 0 THEN '' ELSE '  ' || replace(description, ' ', '  ') END AS raw_details,
+    CASE WHEN NOT is_blank AND id % 103 <> 0 AND id % 5 = 0 THEN ' ref ' ELSE '' END AS raw_memo,
+    CASE WHEN is_blank THEN '' WHEN id % 89 = 0 THEN dollars || ' CR'
+      WHEN shown < 0 AND id % 3 = 0 THEN '-$' || dollars
+      WHEN shown < 0 AND id % 3 = 1 THEN '(' || dollars || ')'
+      WHEN shown < 0 THEN ' -' || dollars
+      WHEN id % 2 = 0 THEN '$' || dollars ELSE dollars END AS raw_amount,
+    CASE WHEN NOT is_blank AND shown < 0 THEN dollars ELSE '' END AS raw_debit,
+    CASE WHEN NOT is_blank AND shown >= 0 THEN dollars ELSE '' END AS raw_credit,
+    CASE WHEN is_blank OR id % 4 = 0 THEN '' ELSE CAST(id % 5000 AS VARCHAR) || '.5' END AS raw_balance
+  FROM uploads1
 )"""
+
+
+def money_sql(text: str) -> str:
+    """Cents of a printed amount, read with patterns."""
+    t = f"trim({text})"
+    bare = f"regexp_replace(regexp_replace({t}, '^\\((.*)\\)$', '\\1'), '[$,\\s]', '', 'g')"
+    digits = f"regexp_replace({bare}, '^[-+]', '')"
+    size = (
+        f"CAST('0' || regexp_extract({digits}, '^([0-9]*)', 1) AS BIGINT) * 100"
+        f" + CAST(substr(rpad(regexp_extract({digits}, '\\.([0-9]*)$', 1), 4, '0'), 1, 2) AS BIGINT)"
+        f" + CASE WHEN substr(rpad(regexp_extract({digits}, '\\.([0-9]*)$', 1), 4, '0'), 3, 1) >= '5' THEN 1 ELSE 0 END"
+    )
+    return (
+        f"CASE WHEN regexp_full_match({digits}, '[0-9]+(\\.[0-9]{{0,4}})?|\\.[0-9]{{1,4}}')"
+        f" THEN (CASE WHEN {t} LIKE '(%)' OR {bare} LIKE '-%' THEN -1 ELSE 1 END) * ({size}) END"
+    )
+
+
+def date_sql(text: str, number: str) -> str:
+    """A date by format number (the place in the list of formats)."""
+    t = f"trim({text})"
+    first = "'^(\\d{4})[-/](\\d{1,2})[-/](\\d{1,2})'"
+    last = "'^(\\d{1,2})[-/](\\d{1,2})[-/](\\d{2,4})'"
+    word = "'^([A-Za-z]{3,})\\.?\\s+(\\d{1,2}),?\\s+(\\d{4})'"
+
+    def iso(pattern: str, y: int, m: int, d: int) -> str:
+        return (
+            f"regexp_extract({t}, {pattern}, {y}) || '-' || lpad(regexp_extract({t}, {pattern}, {m}), 2, '0')"
+            f" || '-' || lpad(regexp_extract({t}, {pattern}, {d}), 2, '0')"
+        )
+
+    worded = f"try_strptime(regexp_extract({t}, {word}, 0), '%b %d, %Y')::DATE"
+    return (
+        f"CASE WHEN {number} IN (0, 4) THEN TRY_CAST({iso(first, 1, 2, 3)} AS DATE)"
+        f" WHEN {number} IN (1, 2) THEN TRY_CAST({iso(last, 3, 1, 2)} AS DATE)"
+        f" WHEN {number} = 3 THEN TRY_CAST({iso(last, 3, 2, 1)} AS DATE)"
+        f" ELSE {worded} END"
+    )

@@ -13,9 +13,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import STARTER_CATEGORIES
+from ..constants import AMOUNT_STYLES, DATE_FORMATS, STARTER_CATEGORIES
 from ..functions.accounts import account_label
 from ..functions.money import to_cents
+from ..operators.ingest import header_signature_of, saved_mapping_lookup
 
 BALANCE_ACCOUNT_BASE = 1_000_000_000_000
 COPY_BASE = 10_000_000_000_000
@@ -26,6 +27,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pick(names: list[str], key: Column) -> Column:
+    """One of ``names`` by remainder."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (key % len(names) + 1).cast("int"))
+
+
 def categories(spark: SparkSession) -> DataFrame:
     """The starter dimension: a fixed 23 rows held in the plan itself."""
     rows = [
@@ -62,9 +68,6 @@ class Ledger:
     def accounts(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", "n_name")
 
-        def pick(names: list[str], key: Column) -> Column:
-            return F.element_at(F.array(*[F.lit(n) for n in names]), (key % len(names) + 1).cast("int"))
-
         ledgers = self.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         ledgers = ledgers.select(
             F.col("c_custkey").alias("id"),
@@ -205,7 +208,7 @@ class Ledger:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        """Month-end balances of ledgers (some off by 1234, some accounts without
+        """Month-end balances of ledgers (some off by a subscription or two, some accounts without
         any) and quarter-end valuations of balance accounts."""
         monthly = (
             self.transactions.where("account_id % 11 != 0")
@@ -215,7 +218,8 @@ class Ledger:
         upto = Window.partitionBy("account_id").orderBy("date").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
-        off = F.when((F.col("account_id") + F.month("date")) % 7 == 0, 1234).otherwise(0)
+        case = (F.col("account_id") + F.month("date")) % 7
+        off = F.when(case == 0, SUBSCRIPTION_CENTS).when(case == 1, 2 * SUBSCRIPTION_CENTS).otherwise(0)
         ledgers = monthly.select(
             "account_id",
             "date",
@@ -463,3 +467,133 @@ class Ledger:
         return self.accounts.withColumn(
             "label", account_label(F.col("institution"), F.col("name"), F.col("last_four"))
         )
+
+    # --- uploaded files as text ---------------------------------------------
+
+    @cached_property
+    def uploads(self) -> DataFrame:
+        """Every order as an uploaded CSV row in the habits of its bank: six date
+        formats, three amount styles, and the odd unreadable or blank row."""
+        oid, account, amount = F.col("id"), F.col("account_id"), F.col("amount_cents")
+        style = account % 3
+        blank = oid % 101 == 0
+        shown = F.when(oid % 103 == 0, 0).when(style == 1, -amount).otherwise(amount)
+        dollars = F.concat(
+            F.expr("cast(abs(shown) div 100 as string)"),
+            F.lit("."),
+            F.lpad((F.abs("shown") % 100).cast("string"), 2, "0"),
+        )
+        signed = (
+            F.when(oid % 89 == 0, F.concat(dollars, F.lit(" CR")))
+            .when((F.col("shown") < 0) & (oid % 3 == 0), F.concat(F.lit("-$"), dollars))
+            .when((F.col("shown") < 0) & (oid % 3 == 1), F.concat(F.lit("("), dollars, F.lit(")")))
+            .when(F.col("shown") < 0, F.concat(F.lit(" -"), dollars))
+            .when(oid % 2 == 0, F.concat(F.lit("$"), dollars))
+            .otherwise(dollars)
+        )
+        number = account % 6
+        parts = {p: F.date_format("date", p) for p in ("yyyy", "MM", "dd", "M", "d", "MMM")}
+        printed = (
+            F.when(number == 0, F.concat(parts["yyyy"], F.lit("-"), parts["MM"], F.lit("-"), parts["dd"], F.lit(" 10:00")))
+            .when(number == 1, F.concat(parts["MM"], F.lit("/"), parts["dd"], F.lit("/"), parts["yyyy"]))
+            .when(number == 2, F.concat(parts["M"], F.lit("-"), parts["d"], F.lit("-"), parts["yyyy"]))
+            .when(number == 3, F.concat(parts["dd"], F.lit("/"), parts["MM"], F.lit("/"), parts["yyyy"]))
+            .when(number == 4, F.concat(parts["yyyy"], F.lit("/"), parts["M"], F.lit("/"), parts["d"]))
+            .otherwise(F.concat(parts["MMM"], F.lit(" "), parts["d"], F.lit(", "), parts["yyyy"]))
+        )
+        return (
+            self.base.withColumn("shown", shown)
+            .withColumns(
+                {
+                    "raw_date": F.when(blank, F.lit("  "))
+                    .when(oid % 97 == 0, F.lit("31/31/1999"))
+                    .otherwise(printed),
+                    "raw_details": F.when(blank | (oid % 103 == 0), F.lit("")).otherwise(
+                        F.concat(F.lit("  "), F.regexp_replace("description", " ", "  "))
+                    ),
+                    "raw_memo": F.when(~blank & (oid % 103 != 0) & (oid % 5 == 0), F.lit(" ref ")).otherwise(""),
+                    "raw_amount": F.when(blank, F.lit("")).otherwise(signed),
+                    "raw_debit": F.when(~blank & (F.col("shown") < 0), dollars).otherwise(""),
+                    "raw_credit": F.when(~blank & (F.col("shown") >= 0), dollars).otherwise(""),
+                    "raw_balance": F.when(blank | (oid % 4 == 0), F.lit("")).otherwise(
+                        F.concat((oid % 5000).cast("string"), F.lit(".5"))
+                    ),
+                }
+            )
+            .select(
+                F.col("import_batch_id").alias("file_id"),
+                oid.alias("row_index"),
+                "account_id",
+                style.alias("style_no"),
+                number.alias("format_no"),
+                *[F.col(f"raw_{c}") for c in ("date", "details", "memo", "amount", "debit", "credit", "balance")],
+            )
+        )
+
+    @staticmethod
+    def upload_headers(style_no: Column) -> Column:
+        two = ["Posted Date", "Details", "Memo", "Debit", "Credit", "Balance"]
+        one = ["Posted Date", "Details", "Memo", "Amount", "Balance"]
+
+        def names(row: list[str]) -> Column:
+            return F.array(*[F.lit(h) for h in row])
+
+        return F.when(style_no == 2, names(two)).otherwise(names(one))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """Uploads as header-keyed string maps."""
+        common = [F.lit("Posted Date"), F.col("raw_date"), F.lit("Details"), F.col("raw_details"),
+                  F.lit("Memo"), F.col("raw_memo"), F.lit("Balance"), F.col("raw_balance")]
+        two = F.create_map(*common, F.lit("Debit"), F.col("raw_debit"), F.lit("Credit"), F.col("raw_credit"))
+        one = F.create_map(*common, F.lit("Amount"), F.col("raw_amount"))
+        return self.uploads.select(
+            "file_id",
+            "row_index",
+            "account_id",
+            "style_no",
+            F.when(F.col("style_no") == 2, two).otherwise(one).alias("record"),
+        )
+
+    @cached_property
+    def saved_mappings(self) -> DataFrame:
+        """A confirmed mapping for every account that has uploaded."""
+
+        account = F.col("account_id")
+
+        two = account % 3 == 2
+        return (
+            self.base.select("account_id")
+            .distinct()
+            .select(
+                "account_id",
+                header_signature_of(self.upload_headers(account % 3)).alias("signature"),
+                F.lit("Posted Date").alias("date_column"),
+                pick(DATE_FORMATS, account).alias("date_format"),
+                F.array(F.lit("Details"), F.lit("Memo")).alias("description_columns"),
+                pick(AMOUNT_STYLES, account).alias("amount_style"),
+                F.when(~two, F.lit("Amount")).alias("amount_column"),
+                F.when(two, F.lit("Debit")).alias("debit_column"),
+                F.when(two, F.lit("Credit")).alias("credit_column"),
+                F.lit("Balance").alias("balance_column"),
+            )
+        )
+
+    @cached_property
+    def upload_files(self) -> DataFrame:
+        """One row per uploaded file with its headers."""
+        return (
+            self.uploads.groupBy("file_id", "account_id")
+            .agg(F.max("style_no").alias("style_no"))
+            .withColumn("headers", self.upload_headers(F.col("style_no")))
+            .withColumn("signature", header_signature_of(F.col("headers")))
+            .drop("style_no")
+        )
+
+    @cached_property
+    def mapped_records(self) -> DataFrame:
+        """Records with the mapping saved for their account and headers."""
+        signed = self.records.withColumn(
+            "signature", header_signature_of(self.upload_headers(F.col("style_no")))
+        )
+        return saved_mapping_lookup(signed, self.saved_mappings)
