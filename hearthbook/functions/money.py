@@ -23,7 +23,7 @@ def parse_money(raw: Column) -> Column:
     marked = F.regexp_replace(trim_blanks(raw), r"\A\((.*)\)\z", "\u0001$1")
     plain = F.regexp_replace(marked, rf"[$,]|{BLANKS}", "")
     signed = F.regexp_replace(plain, r"\A\u0001[-+]?", "-")
-    number = F.regexp_extract(signed, r"\A\+?(-?(?:[0-9]+(?:\.[0-9]{0,4})?|\.[0-9]{1,4}))\z", 1)
+    number = F.regexp_extract(signed, r"\A(?:\+(?!-))?(-?(?:[0-9]+(?:\.[0-9]{0,4})?|\.[0-9]{1,4}))\z", 1)
     return (F.round(number.try_cast("decimal(36,4)"), 2) * 100).try_cast("long")
 
 

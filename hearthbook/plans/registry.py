@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,16 @@ from .views_sql import VIEWS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+# Views are lazy plans, so queries of one session may share them.
+_LEDGERS: WeakKeyDictionary[SparkSession, dict[str, Ledger]] = WeakKeyDictionary()
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    known = _LEDGERS.setdefault(spark, {})
+    if sf_dir not in known:
+        known[sf_dir] = Ledger(tune(spark), sf_dir)
+    return known[sf_dir]
+
 
 def as_text_dates(df: DataFrame) -> DataFrame:
     """ISO text is how a ledger shows dates; used at the outer edge only."""
@@ -31,7 +42,7 @@ def query(name: str, sql: str | None = None):
 
     def add(fn: Callable[[Ledger], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return as_text_dates(fn(Ledger(tune(spark), sf_dir)))
+            return as_text_dates(fn(ledger(spark, sf_dir)))
 
         run.__name__ = name
         QUERIES[name] = run

@@ -167,10 +167,11 @@ statement_balances AS (
     account_id * 100 + net_cents + CASE WHEN account_id % 9 = 0 THEN 5 ELSE 0 END FROM batches
 ),
 order_items AS (
-  SELECT l_orderkey AS order_id, l_partkey AS part_id, l_suppkey AS supplier_id,
-    CAST(l_linenumber AS BIGINT) AS line_no, CAST(l_quantity AS BIGINT) AS quantity,
-    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS total_cents
-  FROM lineitem
+  SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS line_no, l_partkey AS part_id,
+    CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity,
+    CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS BIGINT) AS total_cents,
+    CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey AS item_id
+  FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey
 ),
 shop0 AS (
   SELECT b.id, b.account_id, b.date, CAST(sum(i.total_cents) + b.id % 500 AS BIGINT) AS total_cents
@@ -268,3 +269,33 @@ def date_sql(text: str, number: str) -> str:
         f" WHEN {number} = 3 THEN TRY_CAST({iso(last, 3, 2, 1)} AS DATE)"
         f" ELSE {worded} END"
     )
+
+
+def assign_sql(left: str, right: str, keys: list[str], offsets: list[int], out: str) -> str:
+    """CTEs that pair ``left`` (keys, date, left_id) with ``right`` (keys, date,
+    right_id) row by row, one round per offset, ending in ``out``."""
+    key_list = ", ".join(keys)
+    on = " AND ".join(f"l.{k} = r.{k}" for k in keys)
+    parts = [f"{out}_all0 AS (SELECT 0 AS left_id, 0 AS right_id, 0 AS days WHERE false)"]
+    for i, d in enumerate(offsets, start=1):
+        done = f"{out}_all{i - 1}"
+        parts.append(
+            f"{out}_l{i} AS (SELECT *, row_number() OVER (PARTITION BY {key_list}, date ORDER BY left_id) AS rn"
+            f" FROM {left} WHERE left_id NOT IN (SELECT left_id FROM {done}))"
+        )
+        parts.append(
+            f"{out}_r{i} AS (SELECT *, row_number() OVER (PARTITION BY {key_list}, date ORDER BY right_id) AS rn"
+            f" FROM {right} WHERE right_id NOT IN (SELECT right_id FROM {done}))"
+        )
+        parts.append(
+            f"{out}_all{i} AS MATERIALIZED (SELECT * FROM {done} UNION ALL SELECT l.left_id, r.right_id, {d}"
+            f" FROM {out}_l{i} l JOIN {out}_r{i} r ON {on} AND l.rn = r.rn AND l.date = r.date + {d})"
+        )
+    lo, hi = min(offsets), max(offsets)
+    near = f"{on} AND l.date - r.date BETWEEN {lo} AND {hi}"
+    parts.append(
+        f"{out} AS MATERIALIZED (SELECT a.*, x.n AS left_choices, y.n AS right_choices FROM {out}_all{len(offsets)} a"
+        f" JOIN (SELECT l.left_id, count(*) AS n FROM {left} l JOIN {right} r ON {near} GROUP BY 1) x ON x.left_id = a.left_id"
+        f" JOIN (SELECT r.right_id, count(*) AS n FROM {left} l JOIN {right} r ON {near} GROUP BY 1) y ON y.right_id = a.right_id)"
+    )
+    return ", " + ",\n".join(parts)

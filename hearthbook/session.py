@@ -33,6 +33,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .appName("hearthbook")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
+        # recording a Python call site for every column costs more than planning
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")

@@ -376,13 +376,20 @@ class Ledger:
 
     @cached_property
     def order_items(self) -> DataFrame:
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("part_id"),
-            F.col("l_suppkey").alias("supplier_id"),
-            F.col("l_linenumber").cast("long").alias("line_no"),
-            F.col("l_quantity").cast("long").alias("quantity"),
-            to_cents(F.col("l_extendedprice")).alias("total_cents"),
+        """Items of an order; equal lines of one part are one item, so that
+        item_id is unique within its order."""
+        return (
+            self.table("lineitem")
+            .groupBy(
+                F.col("l_orderkey").alias("order_id"),
+                F.col("l_linenumber").cast("long").alias("line_no"),
+                F.col("l_partkey").alias("part_id"),
+            )
+            .agg(
+                F.sum(F.col("l_quantity").cast("long")).alias("quantity"),
+                F.sum(to_cents(F.col("l_extendedprice"))).alias("total_cents"),
+            )
+            .withColumn("item_id", F.col("line_no") * 1_000_000_000_000 + F.col("part_id"))
         )
 
     @cached_property

@@ -72,7 +72,7 @@ def main():
     sqls = oracle_sql()
     bad = 0
     for name, fn in queries().items():
-        if opts.names and not any(name == n or name.startswith(n + "*") for n in opts.names):
+        if opts.names and not any(name == n or (n.endswith("*") and name.startswith(n[:-1])) for n in opts.names):
             continue
         start = time.time()
         try:
