@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import AMOUNT_STYLES, DATE_FORMATS, STARTER_CATEGORIES
+from ..constants import AMOUNT_STYLES, BULK_FILE_STATUSES, DATE_FORMATS, STARTER_CATEGORIES
 from ..functions.accounts import account_label
 from ..functions.money import to_cents
 from ..operators.ingest import header_signature_of, saved_mapping_lookup
@@ -308,6 +308,14 @@ class Ledger:
             .select("id", self.purpose(F.col("id")).alias("purpose"), "status")
         )
 
+    @cached_property
+    def bulk_files(self) -> DataFrame:
+        """Files of folder runs, at all stages."""
+        bulk = self.sessions.where("purpose = 'bulk'").select(F.col("id").alias("session_id"))
+        return self.batches.join(bulk, "session_id", "left_semi").select(
+            "id", "session_id", "filename", pick(BULK_FILE_STATUSES, F.col("id")).alias("status")
+        )
+
     @cached_property
     def staged(self) -> DataFrame:
         """Every order once more as an uploaded row: filed ones unchanged, open
