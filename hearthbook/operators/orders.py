@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ORDER_MATCH_WINDOW_DAYS
 from ..functions.dates import day_number
+from ..session import cut_lineage
 from .assign import one_to_one
 from .ordering import positions
 
@@ -64,10 +65,15 @@ def match_exact(
 
 def _runs(rows: DataFrame, amount: Column, window: int, most: int) -> DataFrame:
     """Runs of 2..most neighbours of an account that span at most ``window`` days:
-    run_id, account_id, size, first_day, last_day, members."""
-    placed = positions(
-        rows.select("account_id", "date", "id", amount.alias("cents")), ["account_id"], "id", "date", "pos"
-    ).select("account_id", "pos", "id", "cents", _day().alias("day"))
+    run_id, account_id, size, first_day, last_day, members.
+
+    The places and the runs are each read several times by what follows, so both
+    are written out; otherwise the plan would repeat everything before them."""
+    placed = cut_lineage(
+        positions(
+            rows.select("account_id", "date", "id", amount.alias("cents")), ["account_id"], "id", "date", "pos"
+        ).select("account_id", "pos", "id", "cents", _day().alias("day"))
+    )
     chain = placed.select(
         "account_id",
         "pos",
@@ -98,13 +104,15 @@ def _runs(rows: DataFrame, amount: Column, window: int, most: int) -> DataFrame:
             )
         )
         found.append(chain.withColumn("run_id", F.element_at("members", 1) * (most - 1) + (k - 2)))
-    return reduce(DataFrame.unionByName, found).drop("pos")
+    return cut_lineage(reduce(DataFrame.unionByName, found).drop("pos"))
 
 
 def _members(pairs: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     """Explode matched runs to members, noting members several runs claim."""
-    flat = pairs.join(runs.select(F.col("run_id").alias(key), "members"), key).withColumn(
-        "member_id", F.explode("members")
+    flat = cut_lineage(
+        pairs.join(runs.select(F.col("run_id").alias(key), "members"), key).withColumn(
+            "member_id", F.explode("members")
+        )
     )
     claimed = flat.groupBy("member_id").agg(F.count("*").alias("claims"))
     shared = (
@@ -172,12 +180,13 @@ def unexplained(orders: DataFrame, charges: DataFrame, matches: DataFrame) -> tu
 def run_matcher(
     orders: DataFrame, charges: DataFrame, window: int = ORDER_MATCH_WINDOW_DAYS
 ) -> DataFrame:
-    """All three kinds, the stronger first; each only sees what is left."""
-    exact = match_exact(orders, charges, window)
+    """All three kinds, the stronger first; each only sees what is left. The
+    matches of a stage are written out before the next one reads them."""
+    exact = cut_lineage(match_exact(orders, charges, window))
     orders, charges = unexplained(orders, charges, exact)
-    split = match_split(orders, charges, window)
+    split = cut_lineage(match_split(orders, charges, window))
     orders, charges = unexplained(orders, charges, split)
-    combined = match_combined(orders, charges, window)
+    combined = cut_lineage(match_combined(orders, charges, window))
     return exact.unionByName(split).unionByName(combined)
 
 

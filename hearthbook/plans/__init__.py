@@ -1,6 +1,6 @@
 """The registered queries and the SQL they are compared with."""
 
-from . import balances, ingest, register, reports, staging, statements, transfers  # noqa: F401
+from . import balances, categorize, ingest, orders, register, reports, staging, statements, transfers  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
