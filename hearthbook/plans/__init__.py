@@ -1,6 +1,17 @@
 """The registered queries and the SQL they are compared with."""
 
-from . import balances, categorize, ingest, orders, register, reports, staging, statements, transfers  # noqa: F401
+from . import (  # noqa: F401
+    balances,
+    categorize,
+    ingest,
+    orders,
+    register,
+    reports,
+    sources,
+    staging,
+    statements,
+    transfers,
+)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -168,10 +168,10 @@ def unmatched_charge_filter(led):
 @query(
     "recent_matches",
     EXACT
-    + """, both AS (
+    + """, picked AS (
       (SELECT status, order_id, charge_id, amount_cents FROM exact WHERE status = 'suggested' ORDER BY charge_id DESC, order_id DESC LIMIT 30)
       UNION ALL (SELECT status, order_id, charge_id, amount_cents FROM exact WHERE status = 'confirmed' ORDER BY charge_id DESC, order_id DESC LIMIT 15))
-    SELECT * FROM both""",
+    SELECT * FROM picked""",
 )
 def recent_matches(led):
     matches = O.match_exact(led.shop_orders, led.charges)
