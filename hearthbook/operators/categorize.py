@@ -35,16 +35,24 @@ def categorize_layers(
     """Uncategorized rows and which layer files them: the debt-payment rule, then
     memory, then suggestions (confidence in tenths). A guarded answer is not
     used; what no layer files stays open, with the reason."""
-    types = accounts.select(F.col("id").alias("account_id"), "account_type")
     classes = categories.select(F.col("id").alias("cat"), F.col("spending_class").alias("class"))
     payments = categories.select(F.col("id").alias("payment_id"), F.col("name").alias("payment_name"))
+    types = (
+        accounts.select(
+            F.col("id").alias("account_id"),
+            "account_type",
+            F.coalesce(payment_category(F.col("account_type")), F.lit("")).alias("payment_name"),
+        )
+        .join(payments, "payment_name", "left")
+        .drop("payment_name")
+    )
 
     def with_class(df: DataFrame, column: str, out: str) -> DataFrame:
         return df.join(
             classes.select(F.col("cat").alias(column), F.col("class").alias(out)), column, "left"
         )
 
-    # classes are attached to the small per-merchant tables, not to the rows
+    # classes are attached to the per-merchant and per-account tables, not to rows
     remembered = with_class(
         memory.select("merchant", F.col("category_id").alias("memory_id")), "memory_id", "memory_class"
     )
@@ -59,8 +67,6 @@ def categorize_layers(
         transactions.where("category_id is null")
         .select("id", "account_id", "date", "amount_cents", "description", "merchant")
         .join(types, "account_id")
-        .withColumn("payment_name", payment_category(F.col("account_type")))
-        .join(payments, "payment_name", "left")
         .join(remembered, "merchant", "left")
         .join(suggested, "merchant", "left")
     )

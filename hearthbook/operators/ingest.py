@@ -64,14 +64,18 @@ def map_amount(style: Column, amount: Column, debit: Column, credit: Column) ->
     )
 
 
-def map_records(records: DataFrame, kind: str = "transactions") -> DataFrame:
+def map_records(
+    records: DataFrame, kind: str = "transactions", carry: Sequence[str] = ()
+) -> DataFrame:
     """One projection over (file_id, row_index, record, mapping columns): values,
     and ``problem`` where a row cannot be read. Rows to be dropped silently are
-    marked by ``outcome``: row, balance, error, blank or empty."""
+    marked by ``outcome``: row, balance, error, blank or empty. ``carry`` names
+    further columns to pass through."""
     raw_date = _cell(F.col("date_column"))
     date = parse_date(raw_date, F.col("date_format"))
     filled = F.exists(F.map_values("record"), lambda v: trim_blanks(F.coalesce(v, F.lit(""))) != "")
     cells = records.select(
+        *carry,
         "file_id",
         "row_index",
         "amount_style",
@@ -130,14 +134,22 @@ def map_records(records: DataFrame, kind: str = "transactions") -> DataFrame:
         read.withColumn("problem", problem)
         .withColumn("outcome", outcome)
         .select(
-            "file_id", "row_index", "date", "description", "amount_cents", "balance_cents", "problem", "outcome"
+            *carry,
+            "file_id",
+            "row_index",
+            "date",
+            "description",
+            "amount_cents",
+            "balance_cents",
+            "problem",
+            "outcome",
         )
     )
 
 
-def mapped_rows(mapped: DataFrame) -> DataFrame:
+def mapped_rows(mapped: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return mapped.where("outcome = 'row'").select(
-        "file_id", "row_index", "date", "description", "amount_cents"
+        *carry, "file_id", "row_index", "date", "description", "amount_cents"
     )
 
 

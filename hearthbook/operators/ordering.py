@@ -64,10 +64,13 @@ def running(
         offsets = offsets.join(days, day_keys).select(
             *block_keys, *[(F.col(f"_before{i}") + F.col(f"_day{i}")).alias(f"_before{i}") for i in numbers]
         )
-    return local.join(offsets, block_keys).select(
+    # Most groups fit in one block and start at zero: only the others are joined,
+    # a side that AQE broadcasts whenever it turns out small.
+    started = offsets.where(" or ".join(f"_before{i} != 0" for i in numbers))
+    return local.join(started, block_keys, "left").select(
         *[F.col(c) for c in df.columns],
         *[
-            (F.col(f"_local{i}") + F.col(f"_before{i}")).alias(name)
+            (F.col(f"_local{i}") + F.coalesce(f"_before{i}", F.lit(0))).alias(name)
             for i, name in enumerate(measures)
         ],
     )

@@ -218,5 +218,5 @@ def event_dedupe_stream(led):
     )
     events.drop("copy").write.parquet(feed)
     schema = "event_id long, ts timestamp, user_id long, event_type string, amount_cents long"
-    incremental.event_dedupe_stream(led.spark, feed, schema, out, checkpoint, delay="10000 days")
+    incremental.event_dedupe_stream(led.spark, feed, schema, out, checkpoint)
     return led.spark.read.parquet(out)

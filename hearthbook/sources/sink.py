@@ -30,13 +30,10 @@ def append_rows(rows: DataFrame, path: str) -> None:
     fresh = rows.dropDuplicates(KEY)
     if known is not None:
         fresh = fresh.join(known.select(*KEY), KEY, "left_anti")
-    out = fresh.withColumn("month", month_of(F.col("date")))
-    # hashing in the id spreads a hot month or account over several files
-    spread = F.pmod(F.xxhash64("account_id", "dedupe_hash"), F.lit(8))
+    # rebalancing by month splits a hot month over many tasks and packs quiet ones
     (
-        out.withColumn("_spread", spread)
-        .repartition("month", "_spread")
-        .drop("_spread")
+        fresh.withColumn("month", month_of(F.col("date")))
+        .hint("rebalance", F.col("month"))
         .sortWithinPartitions("month", "account_id", "date")
         .write.mode("append")
         .partitionBy("month")

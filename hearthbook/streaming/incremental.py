@@ -18,8 +18,8 @@ def ledger_rows(uploads: DataFrame, mappings: DataFrame) -> DataFrame:
     known = uploads.dropDuplicates(["account_id", "file_id", "row_index"]).join(
         mappings, ["account_id", "signature"]
     )
-    owners = uploads.select("file_id", "account_id").distinct()
-    rows = mapped_rows(map_records(known)).join(owners, "file_id")
+    own = ["account_id"]
+    rows = mapped_rows(map_records(known, carry=own), own)
     return with_dedupe_key(rows, ["account_id"], "row_index").select(
         "account_id", "date", "amount_cents", "description", "dedupe_hash"
     )
