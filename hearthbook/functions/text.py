@@ -18,7 +18,8 @@ def trim_blanks(value: Column) -> Column:
 
 
 def collapse_blanks(value: Column) -> Column:
-    return trim_blanks(F.regexp_replace(value, f"{BLANKS}+", " "))
+    # once collapsed, only plain spaces are left to trim
+    return F.trim(F.regexp_replace(value, f"{BLANKS}+", " "))
 
 
 def concat_description(parts: Sequence[Column]) -> Column:
@@ -32,14 +33,11 @@ def normalize_merchant(description: Column) -> Column:
     trailing digit runs and web suffixes."""
     text = F.upper(collapse_blanks(description))
     text = F.regexp_replace(text, r"\A(SQ \*|TST\*|DIRECT DEP )\s*", "")
+    text = F.regexp_replace(text, r"\A(AMZN|AMAZON)\b.*\z", "AMAZON")
     bare = F.regexp_replace(text, r"\.COM\b.*\z", "")
     bare = F.regexp_replace(bare, r"\s*#\s*\d+.*\z", "")
     bare = F.regexp_replace(bare, r"(\s+\d{3,})+\z", "")
-    return (
-        F.when(text.rlike(r"\A(AMZN|AMAZON)\b"), F.lit("AMAZON"))
-        .when(bare == "", text)
-        .otherwise(bare)
-    )
+    return F.coalesce(F.nullif(bare, F.lit("")), text)
 
 
 def dedupe_hash(date: Column, amount: Column, description: Column, occurrence: Column) -> Column:
@@ -48,7 +46,7 @@ def dedupe_hash(date: Column, amount: Column, description: Column, occurrence: C
     return F.sha2(
         F.concat_ws(
             "|",
-            F.date_format(date, "yyyy-MM-dd"),
+            date.cast("string"),
             amount.cast("string"),
             F.upper(collapse_blanks(description)),
             occurrence.cast("string"),

@@ -44,6 +44,8 @@ def one_to_one(
     by_day = group.orderBy("day")
 
     def shifted(column: str, start: int, end: int | None = None):
+        if start == 0 and end is None:
+            return F.col(column)
         frame = by_day.rangeBetween(start, start if end is None else end)
         return F.coalesce(F.sum(column).over(frame), zero)
 
@@ -58,6 +60,8 @@ def one_to_one(
             shifted("r", -hi, -lo).alias("left_choices"),
             shifted("l", lo, hi).alias("right_choices"),
         )
+        # days without anybody in reach take no part in the rounds
+        .where("(l > 0 and left_choices > 0) or (r > 0 and right_choices > 0)")
         .withColumn("l_used", zero)
         .withColumn("r_used", zero)
     )

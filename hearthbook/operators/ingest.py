@@ -74,51 +74,45 @@ def map_records(
     raw_date = _cell(F.col("date_column"))
     date = parse_date(raw_date, F.col("date_format"))
     filled = F.exists(F.map_values("record"), lambda v: trim_blanks(F.coalesce(v, F.lit(""))) != "")
-    cells = records.select(
-        *carry,
-        "file_id",
-        "row_index",
-        "amount_style",
+    text = collapse_blanks(
+        F.array_join(
+            F.transform(
+                F.col("description_columns"),
+                lambda c: F.coalesce(F.try_element_at(F.col("record"), c), F.lit("")),
+            ),
+            " ",
+        )
+    )
+    # Each cell is parsed once: a filter on the outcome would be pushed below a
+    # plain projection and parse again, but it stays above a generator.
+    parsed = F.struct(
         raw_date.alias("raw_date"),
         date.alias("date"),
         filled.alias("filled"),
-        collapse_blanks(
-            F.array_join(
-                F.transform(
-                    F.col("description_columns"),
-                    lambda c: F.coalesce(F.try_element_at(F.col("record"), c), F.lit("")),
-                ),
-                " ",
-            )
-        ).alias("text"),
-        _cell(F.col("amount_column")).alias("raw_amount"),
-        _cell(F.col("debit_column")).alias("raw_debit"),
-        _cell(F.col("credit_column")).alias("raw_credit"),
+        text.alias("text"),
+        parse_money(_cell(F.col("amount_column"))).alias("amount"),
+        parse_money(_cell(F.col("debit_column"))).alias("debit"),
+        parse_money(_cell(F.col("credit_column"))).alias("credit"),
         _cell(F.col("balance_column")).alias("raw_balance"),
+        parse_money(_cell(F.col("balance_column"))).alias("balance_cents"),
+    )
+    cells = records.select(
+        *carry, "file_id", "row_index", "amount_style", F.inline(F.array(parsed))
     )
     bad_date = F.concat(F.lit('Unparseable date "'), "raw_date", F.lit('"'))
     if kind == "balances":
-        read = cells.withColumn("balance_cents", parse_money(F.col("raw_balance")))
         problem = F.when(F.col("date").isNull(), F.when(F.col("filled"), bad_date)).when(
             F.col("balance_cents").isNull(),
             F.concat(F.lit('Unparseable balance "'), "raw_balance", F.lit('"')),
         )
         good = F.lit("balance")
-        none = F.lit(None)
-        read = read.withColumn("amount_cents", none.cast("long")).withColumn("description", none.cast("string"))
-    else:
-        read = (
-            cells.withColumn("_a", parse_money(F.col("raw_amount")))
-            .withColumn("_d", parse_money(F.col("raw_debit")))
-            .withColumn("_c", parse_money(F.col("raw_credit")))
-            .withColumn("balance_cents", parse_money(F.col("raw_balance")))
-            .withColumn(
-                "amount_cents", map_amount(F.col("amount_style"), F.col("_a"), F.col("_d"), F.col("_c"))
-            )
-            .withColumn(
-                "description", F.when(F.col("text") != "", F.col("text")).otherwise(F.lit("(no description)"))
-            )
+        read = cells.withColumns(
+            {"amount_cents": F.lit(None).cast("long"), "description": F.lit(None).cast("string")}
         )
+    else:
+        amount = map_amount(F.col("amount_style"), F.col("amount"), F.col("debit"), F.col("credit"))
+        named = F.when(F.col("text") != "", F.col("text")).otherwise(F.lit("(no description)"))
+        read = cells.withColumns({"amount_cents": amount, "description": named})
         problem = F.when(F.col("date").isNull(), F.when(F.col("filled"), bad_date)).when(
             F.col("amount_cents").isNull(), F.lit("Unparseable amount")
         )

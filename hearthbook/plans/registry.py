@@ -30,7 +30,7 @@ def as_text_dates(df: DataFrame) -> DataFrame:
     """ISO text is how a ledger shows dates; used at the outer edge only."""
     return df.select(
         *[
-            F.date_format(name, "yyyy-MM-dd").alias(name) if kind == "date" else F.col(name)
+            F.col(name).cast("string").alias(name) if kind == "date" else F.col(name)
             for name, kind in df.dtypes
         ]
     )
