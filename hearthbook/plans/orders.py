@@ -186,14 +186,13 @@ def recent_matches(led):
       SELECT id, 'transaction' AS part, id AS part_id, account_id, category_id, amount_cents FROM transactions
       UNION ALL SELECT transfer_peer_id, 'peer', id, account_id, category_id, amount_cents FROM transactions WHERE transfer_peer_id IS NOT NULL
       UNION ALL SELECT transaction_id, 'split', line_no, NULL, category_id, amount_cents FROM splits
-      UNION ALL SELECT id, 'order', id, NULL, NULL, -total_cents FROM shop_orders WHERE id < 10000000000000)
+      UNION ALL SELECT id, 'order', id, NULL, NULL, -total_cents FROM shop_orders)
     SELECT p.id, p.part, p.part_id, a.name AS account_name, c.name AS category_name, p.amount_cents
     FROM parts p LEFT JOIN accounts a ON a.id = p.account_id LEFT JOIN categories c ON c.id = p.category_id""",
 )
 def txn_detail_nested(led):
     # the purchase behind an order's transaction carries the order's number
-    placed = led.shop_orders.where("id < 10000000000000")
-    matches = placed.select(
+    matches = led.shop_orders.select(
         F.col("id").alias("transaction_id"),
         F.col("id").alias("order_id"),
         (-F.col("total_cents")).alias("amount_cents"),
@@ -203,7 +202,7 @@ def txn_detail_nested(led):
 
 @query(
     "item_split_allocate",
-    """, paid AS (SELECT id AS order_id, -total_cents AS amount_cents FROM shop_orders WHERE id < 10000000000000),
+    """, paid AS (SELECT id AS order_id, -total_cents AS amount_cents FROM shop_orders),
     run AS (SELECT i.*, p.amount_cents, CAST(sum(i.total_cents) OVER (PARTITION BY i.order_id ORDER BY item_id) AS HUGEINT) AS upto,
         CAST(sum(i.total_cents) OVER (PARTITION BY i.order_id) AS HUGEINT) AS whole
       FROM order_items i JOIN paid p ON p.order_id = i.order_id)
@@ -212,7 +211,7 @@ def txn_detail_nested(led):
     FROM run""",
 )
 def allocate_items(led):
-    paid = led.shop_orders.where("id < 10000000000000").select(
+    paid = led.shop_orders.select(
         F.col("id").alias("order_id"), (-F.col("total_cents")).alias("amount_cents")
     )
     return item_split_allocate(paid, led.order_items)

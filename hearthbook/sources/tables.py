@@ -33,13 +33,13 @@ def pick(names: list[str], key: Column) -> Column:
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    """The starter dimension: a fixed 23 rows held in the plan itself."""
-    rows = [
-        (i, name, klass, order) for i, (name, klass, order) in enumerate(STARTER_CATEGORIES, start=1)
-    ]
-    return spark.createDataFrame(
-        rows, "id long, name string, spending_class string, sort_order long"
+    """The starter dimension. As literal rows of the plan its size is known, so
+    joins with it never move the other side."""
+    rows = ", ".join(
+        f"({i}L, '{name}', '{klass}', {order}L)"
+        for i, (name, klass, order) in enumerate(STARTER_CATEGORIES, start=1)
     )
+    return spark.sql(f"select * from values {rows} as t(id, name, spending_class, sort_order)")
 
 
 class Ledger:
