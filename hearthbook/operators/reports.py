@@ -39,13 +39,39 @@ def in_range(date: Column, start: str, end: str) -> Column:
     return date.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
-def _sums_by_category(lines: DataFrame, start: str, end: str, *by: Column) -> DataFrame:
-    """Sums per category before any category lookup: the join then sees one row
-    per group instead of one per line, and no row with a null key is shuffled."""
+def _sums_by_category(
+    transactions: DataFrame, splits: DataFrame, start: str, end: str, by_month: bool = True
+) -> DataFrame:
+    """Sums of effective lines per month, category and direction.
+
+    Few transactions are split, so the ledger is summed where it lies and never
+    shuffled: all rows, minus those that have splits, plus the split lines. Only
+    the split ones are looked up, an inner join Spark narrows with a bloom filter
+    of the split ids. ``n`` counts lines, so a group emptied this way disappears."""
+    rows = transactions.where(in_range(F.col("date"), start, end)).select(
+        "id", "date", "category_id", "amount_cents"
+    )
+    month = [month_of(F.col("date")).alias("month")] if by_month else []
+
+    def sums(df: DataFrame, category: str, amount: str, sign: int) -> DataFrame:
+        return df.groupBy(
+            *month, F.col(category).alias("category_id"), (F.col(amount) < 0).alias("is_out")
+        ).agg(F.sum(sign * F.col(amount)).alias("cents"), F.sum(F.lit(sign).cast("long")).alias("n"))
+
+    lines = splits.select(
+        F.col("transaction_id").alias("id"),
+        F.col("category_id").alias("line_category"),
+        F.col("amount_cents").alias("line_cents"),
+    )
+    parents = rows.join(lines.select("id").distinct(), "id")
+    keys = [*(["month"] if by_month else []), "category_id", "is_out"]
     return (
-        lines.where(in_range(F.col("date"), start, end))
-        .groupBy(*by, "category_id", (F.col("amount_cents") < 0).alias("is_out"))
-        .agg(F.sum("amount_cents").alias("cents"))
+        sums(rows, "category_id", "amount_cents", 1)
+        .unionByName(sums(parents, "category_id", "amount_cents", -1))
+        .unionByName(sums(rows.select("id", "date").join(lines, "id"), "line_category", "line_cents", 1))
+        .groupBy(*keys)
+        .agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"))
+        .where("n > 0")
     )
 
 
@@ -60,8 +86,10 @@ def _is_spend() -> Column:
     return klass.isin("base", "living", "luxury") | (klass.isNull() & F.col("is_out"))
 
 
-def spend_by_month_class(lines: DataFrame, categories: DataFrame, start: str, end: str) -> DataFrame:
-    sums = _sums_by_category(lines, start, end, month_of(F.col("date")).alias("month"))
+def spend_by_month_class(
+    transactions: DataFrame, splits: DataFrame, categories: DataFrame, start: str, end: str
+) -> DataFrame:
+    sums = _sums_by_category(transactions, splits, start, end)
     return (
         sums.join(_classes(categories), "category_id", "left")
         .where(_is_spend())
@@ -70,8 +98,10 @@ def spend_by_month_class(lines: DataFrame, categories: DataFrame, start: str, en
     )
 
 
-def income_by_month(lines: DataFrame, categories: DataFrame, start: str, end: str) -> DataFrame:
-    sums = _sums_by_category(lines, start, end, month_of(F.col("date")).alias("month"))
+def income_by_month(
+    transactions: DataFrame, splits: DataFrame, categories: DataFrame, start: str, end: str
+) -> DataFrame:
+    sums = _sums_by_category(transactions, splits, start, end)
     return (
         sums.join(_classes(categories), "category_id")
         .where(F.col("spending_class") == "income")
@@ -81,11 +111,16 @@ def income_by_month(lines: DataFrame, categories: DataFrame, start: str, end: st
 
 
 def top_categories(
-    lines: DataFrame, categories: DataFrame, start: str, end: str, k: int = TOP_CATEGORIES_SHOWN
+    transactions: DataFrame,
+    splits: DataFrame,
+    categories: DataFrame,
+    start: str,
+    end: str,
+    k: int = TOP_CATEGORIES_SHOWN,
 ) -> DataFrame:
     """Largest spend first; uncategorized spending is a group of its own."""
     return (
-        _sums_by_category(lines, start, end)
+        _sums_by_category(transactions, splits, start, end, by_month=False)
         .join(_classes(categories), "category_id", "left")
         .where(_is_spend())
         .groupBy(F.coalesce("category_name", F.lit("Uncategorized")).alias("name"), "spending_class")
@@ -115,10 +150,10 @@ def month_calendar(spark, start: str, end: str, cap: int = CALENDAR_MONTH_CAP) -
 
 
 def month_pivot_dense(
-    lines: DataFrame, categories: DataFrame, start: str, end: str
+    transactions: DataFrame, splits: DataFrame, categories: DataFrame, start: str, end: str
 ) -> DataFrame:
     """One row per calendar month with the four spending slices and income."""
-    sums = _sums_by_category(lines, start, end, month_of(F.col("date")).alias("month"))
+    sums = _sums_by_category(transactions, splits, start, end)
     tagged = sums.join(_classes(categories), "category_id", "left")
     slice_ = F.when(_is_spend(), F.coalesce("spending_class", F.lit("uncategorized"))).when(
         F.col("spending_class") == "income", F.lit("income")
@@ -130,7 +165,7 @@ def month_pivot_dense(
         .pivot("slice", [*SLICES, "income"])
         .agg(F.sum("cents"))
     )
-    calendar = month_calendar(lines.sparkSession, start, end)
+    calendar = month_calendar(transactions.sparkSession, start, end)
     zero = F.lit(0).cast("long")
     return calendar.join(wide, "month", "left").select(
         "month",

@@ -28,10 +28,6 @@ _PIVOT = _TAGGED + """
 )"""
 
 
-def lines(led):
-    return reports.effective_lines(led.transactions, led.splits)
-
-
 @query("scan_tables", "SELECT * REPLACE (date::VARCHAR AS date) FROM transactions")
 def scan_tables(led):
     return led.transactions
@@ -39,7 +35,7 @@ def scan_tables(led):
 
 @query("effective_lines", "SELECT transaction_id, account_id, date::VARCHAR AS date, category_id, amount_cents FROM lines")
 def effective_lines(led):
-    return lines(led)
+    return reports.effective_lines(led.transactions, led.splits)
 
 
 @query(
@@ -48,7 +44,7 @@ def effective_lines(led):
     + " SELECT month, spending_class, CAST(sum(amount_cents) AS BIGINT) AS total_cents FROM tagged WHERE is_spend GROUP BY 1, 2",
 )
 def spend_by_month_class(led):
-    return reports.spend_by_month_class(lines(led), led.categories, START, END)
+    return reports.spend_by_month_class(led.transactions, led.splits, led.categories, START, END)
 
 
 @query(
@@ -57,7 +53,7 @@ def spend_by_month_class(led):
     + " SELECT month, CAST(sum(amount_cents) AS BIGINT) AS total_cents FROM tagged WHERE spending_class = 'income' GROUP BY 1",
 )
 def income_by_month(led):
-    return reports.income_by_month(lines(led), led.categories, START, END)
+    return reports.income_by_month(led.transactions, led.splits, led.categories, START, END)
 
 
 @query(
@@ -67,12 +63,12 @@ def income_by_month(led):
     FROM tagged WHERE is_spend GROUP BY 1, 2 ORDER BY 3, 1 LIMIT 8""",
 )
 def top_categories(led):
-    return reports.top_categories(lines(led), led.categories, START, END)
+    return reports.top_categories(led.transactions, led.splits, led.categories, START, END)
 
 
 @query("month_pivot_dense", _PIVOT + " SELECT * FROM pivoted")
 def month_pivot_dense(led):
-    return reports.month_pivot_dense(lines(led), led.categories, START, END)
+    return reports.month_pivot_dense(led.transactions, led.splits, led.categories, START, END)
 
 
 @query(
@@ -82,7 +78,7 @@ def month_pivot_dense(led):
     income - (base + living + luxury + uncategorized) AS net, base, living, luxury FROM pivoted""",
 )
 def month_summary(led):
-    return reports.month_summary(reports.month_pivot_dense(lines(led), led.categories, START, END))
+    return reports.month_summary(month_pivot_dense(led))
 
 
 @query(

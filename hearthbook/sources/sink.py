@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.dates import month_of
+from ..session import cut_lineage
 
 KEY = ["account_id", "dedupe_hash"]
 
@@ -26,14 +27,18 @@ def append_rows(rows: DataFrame, path: str) -> None:
     repeated after a failure. One folder per month keeps the number of folders
     bounded; within it rows are clustered by account for scans of one account."""
     spark = rows.sparkSession
+    fresh = rows.dropDuplicates(KEY).withColumn("month", month_of(F.col("date")))
     known = read_ledger(spark, path)
-    fresh = rows.dropDuplicates(KEY)
     if known is not None:
-        fresh = fresh.join(known.select(*KEY), KEY, "left_anti")
+        # The hash covers the date, so only the months of this commit can hold one
+        # of its rows; there is one name per calendar month to fetch.
+        fresh = cut_lineage(fresh)
+        months = [r["month"] for r in fresh.select("month").distinct().collect()]
+        held = known.where(F.col("month").isin(months)).select(*KEY)
+        fresh = fresh.join(held, KEY, "left_anti")
     # rebalancing by month splits a hot month over many tasks and packs quiet ones
     (
-        fresh.withColumn("month", month_of(F.col("date")))
-        .hint("rebalance", F.col("month"))
+        fresh.hint("rebalance", F.col("month"))
         .sortWithinPartitions("month", "account_id", "date")
         .write.mode("append")
         .partitionBy("month")
