@@ -53,22 +53,35 @@ def _sums_by_category(
     )
     month = [month_of(F.col("date")).alias("month")] if by_month else []
 
-    def sums(df: DataFrame, category: str, amount: str, sign: int) -> DataFrame:
+    keys = [*(["month"] if by_month else []), "category_id", "is_out"]
+
+    def sums(df: DataFrame) -> DataFrame:
         return df.groupBy(
-            *month, F.col(category).alias("category_id"), (F.col(amount) < 0).alias("is_out")
-        ).agg(F.sum(sign * F.col(amount)).alias("cents"), F.sum(F.lit(sign).cast("long")).alias("n"))
+            *month, "category_id", (F.col("amount_cents") < 0).alias("is_out")
+        ).agg(
+            F.sum(F.col("sign") * F.col("amount_cents")).alias("cents"), F.sum("sign").alias("n")
+        )
 
+    one = F.lit(1).cast("long")
     lines = splits.select(
         F.col("transaction_id").alias("id"),
         F.col("category_id").alias("line_category"),
         F.col("amount_cents").alias("line_cents"),
+        one.alias("sign"),
+    )
+    parents = lines.select("id").distinct().withColumns(
+        {"line_category": F.lit(None).cast("long"), "line_cents": F.lit(None).cast("long"), "sign": -one}
+    )
+    is_line = F.col("sign") > 0
+    corrections = rows.join(lines.unionByName(parents), "id").select(
+        "date",
+        "sign",
+        F.when(is_line, F.col("line_category")).otherwise(F.col("category_id")).alias("category_id"),
+        F.when(is_line, F.col("line_cents")).otherwise(F.col("amount_cents")).alias("amount_cents"),
     )
-    parents = rows.join(lines.select("id").distinct(), "id")
-    keys = [*(["month"] if by_month else []), "category_id", "is_out"]
     return (
-        sums(rows, "category_id", "amount_cents", 1)
-        .unionByName(sums(parents, "category_id", "amount_cents", -1))
-        .unionByName(sums(rows.select("id", "date").join(lines, "id"), "line_category", "line_cents", 1))
+        sums(rows.withColumn("sign", one))
+        .unionByName(sums(corrections))
         .groupBy(*keys)
         .agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"))
         .where("n > 0")
