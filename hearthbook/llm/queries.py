@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, toxicity, url_filters
+from . import bpe, decontaminate, langid, toxicity, url_filters
 from .common import join_small, text_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(documents.where(~held))
     predicted = langid.predict(documents, model, keep=["doc_id"])
     return predicted.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op3_decontamination",
+    """
+    with docs as (
+      select row_number() over () as row, doc_id,
+             coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w
+      from documents
+    ), items as (
+      select item_id,
+             coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w
+      from benchmark where item_id is not null
+    ), windows as (
+      select distinct item_id, least(len(w), 10) as n, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') as g
+      from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as s from items where len(w) > 0)
+    ), sizes as (select distinct n from windows
+    ), grams as (
+      select row, n, s, array_to_string(w[s : s + n - 1], ' ') as g
+      from (select row, w, n, unnest(range(1, len(w) - n + 2)) as s from docs, sizes where len(w) >= n)
+    ), hits as (
+      select row, s, n, item_id from grams join windows using (n, g)
+    ), spots as (
+      select row, count(distinct p) as n_hit
+      from (select distinct row, unnest(range(s, s + n)) as p from hits) group by row
+    ), named as (
+      select row, count(*) as n_items, string_agg(id, ',' order by id) as ids
+      from (select distinct row, cast(item_id as varchar) as id from hits) group by row
+    )
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join spots using (row) left join named using (row)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
