@@ -96,12 +96,13 @@ def fit(
     tasks = max(64, 2 * labelled.sparkSession.sparkContext.defaultParallelism)
     counted = map_batches(rows.select("t", "y").coalesce(tasks), _counts, "bucket bigint, clean bigint, toxic bigint")
     counted = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = counted.where("bucket < 0").first()
-    if totals is None or not totals["clean"] or not totals["toxic"]:
-        share = 0.0 if totals is None else float(totals["toxic"] > 0)
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 40.0 * share - 20.0)
     # at most 2^18 buckets by construction
-    table = counted.where(f"bucket >= 0 and clean + toxic >= {int(least_texts)}").orderBy("bucket").toPandas()
+    table = counted.where(f"bucket < 0 or clean + toxic >= {int(least_texts)}").orderBy("bucket").toPandas()
+    totals = dict(table.iloc[0]) if len(table) else {"clean": 0, "toxic": 0}
+    if not totals["clean"] or not totals["toxic"]:
+        share = float(totals["toxic"] > 0)
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 40.0 * share - 20.0)
+    table = table[table["bucket"] >= 0]
     bucket, clean, toxic = (table[c].to_numpy() for c in ("bucket", "clean", "toxic"))
     p = (toxic + smooth) / (totals["toxic"] + 2 * smooth)
     q = (clean + smooth) / (totals["clean"] + 2 * smooth)
