@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, toxicity, url_filters
+from . import bpe, decontaminate, langid, topk, toxicity, url_filters, warc
 from .common import join_small, text_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,58 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+@query(
+    "op10_warc",
+    """
+    with own as (
+      select page_id, coalesce(html, '') as payload from pages
+    ), largest as (select payload, max(page_id) as response from own group by payload
+    ), digits as (
+      select page_id, payload, response, sha1(payload) as hex,
+             list_transform(range(32), lambda i: (('0x' || substr(sha1(payload), (i * 5 // 4 + 1)::int, 2) || '0')::int
+                 >> (7 - (i * 5) % 4)::int) & 31) as d
+      from own join largest using (payload)
+    )
+    select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes,
+           array_to_string(list_transform(d, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x + 1, 1)), '') as payload_digest,
+           case when page_id is distinct from response then 'revisit' else 'response' end as record_type,
+           case when page_id is distinct from response then response end as refers_to
+    from digits
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), folder, "2024-01-01T00:00:00Z")
+    page = lambda urn: F.nullif(F.split(urn, ":")[2], F.lit("")).cast("long")
+    return warc.read(index, folder).select(
+        page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+@query(
+    "op2_topk",
+    """
+    with v as (
+      select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+      from embeddings
+      where embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+      select a.row, a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+      from v a join v b on a.row <> b.row and len(a.q) = len(b.q)
+      where a.vec_id % 50 = 0
+    ), ranked as (
+      select *, row_number() over (partition by row order by score desc, vec_id) as rank from scored
+    )
+    select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 5
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), (F.col("vec_id") % 50 == 0).alias("is_query"), topk.quantised(F.col("embedding")).alias("vector")
+    )
+    found = topk.search(vectors, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
