@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, topk, toxicity, url_filters, warc
+from . import bpe, decontaminate, langid, suffix_dedup, topk, toxicity, url_filters, warc
 from .common import join_small, text_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = topk.search(vectors, 5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
