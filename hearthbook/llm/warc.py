@@ -107,14 +107,15 @@ def with_roles(pages: DataFrame, key: str, payload: str, least_bytes: int) -> Da
     """Rows (page, url, payload, response): ``response`` is the key of the record that
     holds the payload, null for those that are none's copy. Only keys and digests are
     grouped; a hot payload is one row per task before the shuffle."""
+    # a key that is never null, so that one shuffle of the payloads serves the join and
+    # brings repeated rows of a page into one task
     own = pages.select(
-        F.col(key).alias("page"), F.col("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload")
-    ).withColumn("digest", F.sha1("payload"))
-    ids = own.where(F.octet_length("payload") >= least_bytes).select("page", "digest").distinct()
-    largest = ids.groupBy("digest").agg(F.max("page").alias("response"))
-    roles = ids.join(largest, "digest").select(F.col("page").alias("p"), F.col("digest").alias("d"), "response")
-    out = own.join(roles, own.page.eqNullSafe(roles.p) & (own.digest == roles.d), "left")
-    return out.select("page", "url", "payload", "digest", F.when(F.col("page").eqNullSafe(F.col("response")), None).otherwise(F.col("response")).alias("response"))
+        F.col(key).alias("page"), F.concat(F.lit("k"), F.col(key).cast("string")).alias("k"), "url", F.coalesce(F.col(payload), F.lit("")).alias("payload")
+    ).withColumns({"k": F.coalesce("k", F.lit("")), "digest": F.sha1("payload")})
+    ids = own.where(F.octet_length("payload") >= least_bytes).select("k", "page", "digest").distinct()
+    largest = ids.groupBy("digest").agg(F.max("page").alias("response"), F.count("*").alias("pages")).where("pages > 1")
+    roles = ids.join(largest, "digest").where(~F.col("page").eqNullSafe(F.col("response"))).select("k", "digest", "response")
+    return own.repartition("k", "digest").join(roles, ["k", "digest"], "left").select("page", "url", "payload", "digest", "response")
 
 
 def write(pages: DataFrame, folder: str, date: str, key: str = "page_id", payload: str = "html", url: str = "url", least_bytes: int = 0) -> DataFrame:
@@ -132,7 +133,7 @@ def write(pages: DataFrame, folder: str, date: str, key: str = "page_id", payloa
         F.col("response").cast("string").alias("response"), "digest",
     )
     # a page and its copies meet in one task, in an order that the rows alone decide
-    rows = rows.repartition("page", "digest").sortWithinPartitions("page", "digest", "url")
+    rows = rows.sortWithinPartitions("page", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = store(folder)
@@ -246,6 +247,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
     bundles = index.select("bundle").distinct()
+    bundles = bundles.repartition(max(1, min(bundles.count(), 10_000)))  # Spark would merge so few rows
     return map_batches(bundles, run, RECORD)
 
 
