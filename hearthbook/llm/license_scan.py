@@ -129,10 +129,11 @@ class Scanner:
                 continue
             rarest = min((w for w in count if w in places), key=lambda w: (len(places[w]) / count[w], w))
             at, slack = template.index(rarest), 4 + len(template) // 2
-            for p in places[rarest]:
-                first = max(0, p - at - slack)
-                pairs = align(words[first : p + len(template) - at + slack], template)
-                pairs = densest(pairs, len(template))
+            # with room for insertions, and without: there two copies on end keep apart
+            for p, room in ((p, room) for p in places[rarest] for room in (0, slack)):
+                first = max(0, p - at - room)
+                pairs = align(words[first : p + len(template) - at + room], template)
+                pairs = densest(pairs)
                 share = len(pairs) / len(template)
                 if share >= self.coverage:
                     found.append((len(pairs), name, share, first + pairs[0][0], first + pairs[-1][0] + 1))
@@ -143,9 +144,9 @@ class Scanner:
         return sorted(taken, key=lambda t: t[2])
 
 
-def densest(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
-    """Drop matches at either end that lie further away than the template is long:
-    chance words of the text around."""
+def densest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Drop matches at either end that lie further away in the text than the template
+    allows: chance words of the text around."""
     while len(pairs) > 1 and pairs[1][0] - pairs[0][0] > 2 + (pairs[1][1] - pairs[0][1]) * 2:
         pairs = pairs[1:]
     while len(pairs) > 1 and pairs[-1][0] - pairs[-2][0] > 2 + (pairs[-1][1] - pairs[-2][1]) * 2:

@@ -389,9 +389,9 @@ def cut_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """All rows and columns, with the repeated bytes cut out of the text. A character
     of which any byte stays is kept whole, so the text remains UTF-8; a null text
     stays null."""
+    names, at = documents.columns, documents.columns.index(text)
     own = documents.withColumn("__text", F.col(text))
-    joined = _with_places(own, doc_id, "__text", least, hot).select(*documents.columns, "__text", "__places")
-    at = documents.columns.index(text)
+    joined = _with_places(own, doc_id, "__text", least, hot).select(*names, "__text", "__places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +405,7 @@ def cut_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     size = np.diff(np.concatenate([lead, [len(data)]]))
                     gone = np.repeat(np.logical_and.reduceat(gone, lead), size)
                 new.append(data[~gone].tobytes().decode("utf-8", "replace") if len(lead) else "")
-            columns = [pa.array(new, pa.string()) if j == at else batch.column(j) for j in range(len(documents.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=documents.columns)
+            columns = [pa.array(new, pa.string()) if j == at else batch.column(j) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_batches(joined, run, documents.schema)
