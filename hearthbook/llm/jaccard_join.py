@@ -41,7 +41,7 @@ from .common import LOWER, blocks, map_batches, utf8, written
 from .components import connected
 
 BLOCK_BYTES = 1 << 20
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 500_000
 SMALL_GROUP = 24
 BLOCK_MEMBERS = 512
 
@@ -413,14 +413,21 @@ def _large_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         sets_ = [np.frombuffer(g.as_py(), np.uint64) for g in table.column("grams")]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         other = table.column("block").to_numpy() == j if i != j else None
-        # one link ties two components; the rest of this cell's are the same news
-        seen, out = set(), []
+        # of the links only those that tie components not yet tied: fewer than members
         found = cross_links(nodes, component, sets_, other, percent)
+        root = {c: c for c in component.tolist()}
         of = dict(zip(nodes.tolist(), component.tolist(), strict=True))
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
         for a, b in found:
-            tie = (min(of[a], of[b]), max(of[a], of[b]))
-            if tie not in seen:
-                seen.add(tie)
+            x, y = top(of[a]), top(of[b])
+            if x != y:
+                root[x] = y
                 out.append((a, b))
         columns = list(zip(*out, strict=True)) or [[], []]
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
