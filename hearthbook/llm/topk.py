@@ -60,18 +60,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    """Vectors of one dimension as whole numbers in float64; exact below 2^53."""
+    """Vectors of one dimension."""
     out = [np.frombuffer(v.as_py(), "<i4" if len(v.as_py()) == 4 * dim else "<i8") for v in column]
-    return np.array(out, np.float64).reshape(len(out), dim)
+    return np.array(out, np.int64).reshape(len(out), dim)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products, as float64 where that is exact and else as Python's
-    whole numbers."""
-    if len(q) == 0 or len(x) == 0 or np.sqrt((q**2).sum(1).max() * (x**2).sum(1).max()) < 2.0**53:
-        return (q @ x.T).astype(np.int64)
-    whole = [[int(a) for a in v] for v in x.tolist()]
-    return np.array([[sum(int(a) * b for a, b in zip(v, w, strict=True)) for w in whole] for v in q.tolist()], np.int64)
+    """Exact inner products, by float64 where that is exact and else by Python's whole
+    numbers; what no long can hold is cut to its ends."""
+    a, b = q.astype(np.float64), x.astype(np.float64)
+    if len(q) == 0 or len(x) == 0 or np.sqrt((a**2).sum(1).max() * (b**2).sum(1).max()) < 2.0**53:
+        return (a @ b.T).astype(np.int64)
+    rows = x.tolist()
+    sums = [[sum(i * j for i, j in zip(v, w, strict=True)) for w in rows] for v in q.tolist()]
+    return np.array([[min(max(s, -(2**63)), 2**63 - 1) for s in own] for own in sums], np.int64)
 
 
 def _pivots(sample: dict[int, np.ndarray], largest: float, count: int) -> dict[int, np.ndarray]:
@@ -88,6 +90,7 @@ def _pivots(sample: dict[int, np.ndarray], largest: float, count: int) -> dict[i
 
 
 def _lift(x: np.ndarray, largest: float) -> np.ndarray:
+    x = x.astype(np.float64)
     return np.column_stack([x, np.sqrt(np.maximum(0, largest**2 - (x**2).sum(axis=1)))])
 
 
@@ -95,6 +98,12 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T))
 
 
+def margin(largest: float) -> tuple[float, float]:
+    """What rounding may take from a distance and from a score, with room to spare:
+    next to nothing for usual vectors, and in proportion to the largest norm."""
+    return 1e-6 * largest, 0.5 + 1e-13 * largest * largest
+
+
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     dims = batch.column("dim").to_numpy()
     for dim in np.unique(dims):
@@ -167,7 +176,8 @@ def search(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
 
     ``vectors`` holds id, is_query and vector (longs; a null vector takes no part).
     Only vectors of equal dimension are compared. Repeated rows are rows of their own:
-    a query leaves out itself, not its copies. Without other rows it has no result."""
+    a query leaves out itself, not its copies. Without other rows it has no result. A
+    score that no long can hold is cut to the largest or smallest one."""
     spark = vectors.sparkSession
     ship(spark)
     usable = vectors.select("id", F.coalesce("is_query", F.lit(False)).alias("is_query"), "vector").where("vector is not null")
@@ -195,7 +205,7 @@ def search(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
             out: list = [None] * batch.num_rows
             for dim, at in _by_dim(batch):
                 q = matrix(batch.column("vector").take(pa.array(at)), dim)
-                lifted = np.column_stack([q, np.zeros(len(q))])
+                lifted = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
                 for i, d in zip(at, _distance(lifted, centres.get(dim, np.zeros((1, dim + 1)))), strict=True):
                     out[i] = d.tolist()
             keep = [batch.column(n) for n in ("annulus", "row", "id", "dim", "norm")]
@@ -207,12 +217,11 @@ def search(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
     bounds = bounds.withColumn("least", F.when(F.col("n") >= k, F.col("least")))
     bounds = bounds.select("home", "row", "dim", "norm", "least", F.posexplode("d").alias("pivot", "d"))
     annuli = index.groupBy("annulus", "dim", "pivot").agg(F.min("r").alias("a"), F.max("r").alias("b"))
-    gap = F.greatest(F.col("a") - F.col("d"), F.col("d") - F.col("b"), F.lit(0.0))
-    best = (F.col("norm") * F.col("norm") + largest * largest - gap * gap) / 2
-    # rounding: far below 1 for usual vectors, and in proportion for large ones
-    slack = F.lit(0.5) + best * 1e-9
+    near, slack = margin(largest)
+    gap = F.greatest(F.col("a") - F.col("d") - near, F.col("d") - F.col("b") - near, F.lit(0.0))
+    best = (F.col("norm") * F.col("norm") + largest * largest - gap * gap) / 2 + slack
     visits = bounds.join(annuli, ["dim", "pivot"]).where(
-        (F.col("home") != F.col("annulus")) & (F.col("least").isNull() | (best + F.abs(slack) >= F.col("least")))
+        (F.col("home") != F.col("annulus")) & (F.col("least").isNull() | (best >= F.col("least")))
     )
     visits = written(visits.select("annulus", "row", "least", "d"), "visits")
 
@@ -236,9 +245,8 @@ def search(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
         least = np.array([-np.inf if v is None else v for v in asked.column("least").to_pylist()])
         starts = np.arange(0, len(r), RING)
         a, b = r[starts], r[np.minimum(starts + RING, len(r)) - 1]
-        gaps = np.maximum(np.maximum(a - d[:, None], d[:, None] - b), 0)
-        bound = (norm[:, None] ** 2 + largest**2 - gaps**2) / 2
-        bound += 0.5 + np.abs(bound) * 1e-9
+        gaps = np.maximum(np.maximum(a - d[:, None], d[:, None] - b) - near, 0)
+        bound = (norm[:, None] ** 2 + largest**2 - gaps**2) / 2 + slack
         kept: list[list[tuple[int, int, int | None]]] = [[] for _ in number]
         for ring in np.argsort(-bound.max(axis=0), kind="stable"):  # nearest rings first
             active = np.flatnonzero(bound[:, ring] >= least)

@@ -26,7 +26,7 @@ def best(rows, k):
     for a, (i, ask, v) in enumerate(rows):
         if not ask or v is None:
             continue
-        others = [(-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, _, w) in enumerate(rows) if b != a and w is not None and len(w) == len(v)]
+        others = [(-min(max(sum(x * y for x, y in zip(v, w, strict=True)), -(2**63)), 2**63 - 1), j) for b, (j, _, w) in enumerate(rows) if b != a and w is not None and len(w) == len(v)]
         others = sorted(others, key=lambda t: (t[0], t[1] is None, t[1] or 0))[:k]
         out += [(i, r, j, -s) for r, (s, j) in enumerate(others, 1)]
     return sorted(out, key=str)
