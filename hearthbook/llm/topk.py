@@ -217,8 +217,8 @@ def search(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
     bounds = bounds.withColumn("least", F.when(F.col("n") >= k, F.col("least")))
     bounds = bounds.select("home", "row", "dim", "norm", "least", F.posexplode("d").alias("pivot", "d"))
     annuli = index.groupBy("annulus", "dim", "pivot").agg(F.min("r").alias("a"), F.max("r").alias("b"))
-    near, slack = margin(largest)
-    gap = F.greatest(F.col("a") - F.col("d") - near, F.col("d") - F.col("b") - near, F.lit(0.0))
+    room, slack = margin(largest)
+    gap = F.greatest(F.col("a") - F.col("d") - room, F.col("d") - F.col("b") - room, F.lit(0.0))
     best = (F.col("norm") * F.col("norm") + largest * largest - gap * gap) / 2 + slack
     visits = bounds.join(annuli, ["dim", "pivot"]).where(
         (F.col("home") != F.col("annulus")) & (F.col("least").isNull() | (best >= F.col("least")))
@@ -245,7 +245,7 @@ def search(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
         least = np.array([-np.inf if v is None else v for v in asked.column("least").to_pylist()])
         starts = np.arange(0, len(r), RING)
         a, b = r[starts], r[np.minimum(starts + RING, len(r)) - 1]
-        gaps = np.maximum(np.maximum(a - d[:, None], d[:, None] - b) - near, 0)
+        gaps = np.maximum(np.maximum(a - d[:, None], d[:, None] - b) - room, 0)
         bound = (norm[:, None] ** 2 + largest**2 - gaps**2) / 2 + slack
         kept: list[list[tuple[int, int, int | None]]] = [[] for _ in number]
         for ring in np.argsort(-bound.max(axis=0), kind="stable"):  # nearest rings first
