@@ -3,8 +3,6 @@ because results are compared by these spellings."""
 
 # --- fixed values -----------------------------------------------------------
 
-SPENDING_CLASSES = ["base", "living", "luxury", "income", "transfer"]
-
 ACCOUNT_KINDS = ["transaction", "balance"]
 
 ACCOUNT_TYPES = [
@@ -32,8 +30,6 @@ DATE_FORMATS = [
 
 AMOUNT_STYLES = ["single_signed", "single_inverted", "debit_credit"]
 
-STAGED_STATUSES = ["new", "duplicate", "possible_duplicate", "excluded"]
-
 BULK_FILE_STATUSES = [
     "queued",
     "identified",

@@ -255,16 +255,18 @@ def cleared_state(snapshots: DataFrame, transactions: DataFrame) -> DataFrame:
     return transactions.join(cleared_days(snapshots, transactions), ["account_id", "date"], "left")
 
 
-def reconcile_issues(windows: DataFrame, transactions: DataFrame) -> DataFrame:
-    """What is suspect in each mismatched period: rows that equal the gap, rows
-    that are half of it (sign turned round), and repeats that add up to minus it.
+def reconcile_issues(snapshots: DataFrame, transactions: DataFrame) -> DataFrame:
+    """One row per suspect row of a mismatched period: rows that equal the gap, rows
+    that are half of it (sign turned round), and repeats among the first.
 
-    The gap side is joined on the amount it asks for, so only rows that could
-    explain a gap ever meet a window."""
-    wrong = windows.where("status = 'mismatch'").select("account_id", "from_date", "to_date", "gap_cents")
+    Each (account, day) first learns its period, one row per day, so a row meets
+    just that period and its two wanted amounts, however often an amount recurs."""
+    windows = reconcile_windows(snapshots, daily_activity(transactions))
     gap = F.col("gap_cents")
-    wanted = wrong.select(
-        "*",
+    wanted = windows.where("status = 'mismatch'").select(
+        "account_id",
+        "to_date",
+        "gap_cents",
         F.explode(
             F.array(
                 F.struct(F.lit("extra_row").alias("issue"), (-gap).alias("amount_cents")),
@@ -274,36 +276,34 @@ def reconcile_issues(windows: DataFrame, transactions: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("w"),
-    ).select("account_id", "from_date", "to_date", "gap_cents", "w.*")
-    points = transactions.groupBy("account_id", "amount_cents", "date", "description").agg(
-        F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
-    )
-    hits = points.join(wanted, ["account_id", "amount_cents"]).where(
-        "date > from_date and date <= to_date"
-    )
-    repeated = (
-        hits.where("issue = 'extra_row' and n > 1")
-        .withColumn("issue", F.lit("repeated_row"))
-    )
-    return (
-        hits.unionByName(repeated)
-        .groupBy("account_id", "to_date", "gap_cents", "issue")
-        .agg(
-            F.sum("n").alias("rows"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")
-        )
-        .withColumn(
-            "severity",
-            F.when(F.col("issue") == "repeated_row", F.lit("error"))
-            .when(F.col("issue") == "extra_row", F.lit("warning"))
-            .otherwise(F.lit("info")),
-        )
+    ).select("account_id", "to_date", "gap_cents", "w.*")
+    days = cleared_days(snapshots, transactions).where("cleared = 'mismatch'").select("account_id", "date", "to_date")
+    rows = transactions.select("id", "account_id", "date", "amount_cents", "description")
+    hits = rows.join(days, ["account_id", "date"]).join(wanted, ["account_id", "to_date", "amount_cents"])
+    alike = ["account_id", "date", "amount_cents", "description"]
+    repeats = hits.where("issue = 'extra_row'").groupBy(*alike).agg(F.count("*").alias("n")).where("n > 1")
+    repeated = hits.where("issue = 'extra_row'").join(repeats.drop("n"), alike, "left_semi").withColumn("issue", F.lit("repeated_row"))
+    issue = F.col("issue")
+    return hits.unionByName(repeated.select(*hits.columns)).select(
+        "account_id",
+        "to_date",
+        "gap_cents",
+        "id",
+        "issue",
+        F.when(issue == "repeated_row", F.lit("error")).when(issue == "extra_row", F.lit("warning")).otherwise(F.lit("info")).alias("severity"),
+        F.when(issue == "repeated_row", F.lit("the same row is there more than once and equals the gap"))
+        .when(issue == "extra_row", F.lit("one row equals the gap"))
+        .otherwise(F.lit("one row equals half the gap"))
+        .alias("message"),
+        F.when(issue == "wrong_sign", F.lit("turn its sign")).otherwise(F.lit("delete it if it is not on the statement")).alias("fix"),
     )
 
 
 def with_pending(
     transactions: DataFrame, snapshots: DataFrame, staged: DataFrame, staged_balances: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """The books as though included staged rows and balances were already in."""
+    """The books as though the given staged rows and balances, those included of
+    files under review, were already in."""
     cols = ["id", "account_id", "date", "amount_cents", "description"]
     rows = transactions.select(*cols).unionByName(staged.select(*cols))
     return rows, balance_upsert(snapshots, staged_balances)

@@ -36,8 +36,7 @@ def commit(
     classes = categories.select(F.col("id").alias("category_id"), "spending_class")
     known = memory.select("merchant", "category_id").join(classes, "category_id", "left")
     fresh = commit_rows(staged, ledger)
-    plain = F.regexp_replace("description", r" PENDING\z", "")
-    rows = fresh.withColumn("merchant", normalize_merchant(plain)).join(types, "account_id")
+    rows = fresh.withColumn("merchant", normalize_merchant(F.col("description"))).join(types, "account_id")
     blocked = guard_blocks(
         F.col("amount_cents"), F.col("account_type"), F.coalesce("spending_class", F.lit(""))
     )

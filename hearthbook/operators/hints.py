@@ -125,9 +125,7 @@ def account_links(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     there before, or the account is named (not merely its institution) in wording
     that says money moves. The rest are suggestions, with the reason."""
     valued = accounts.where("kind = 'balance'")
-    free = transactions.where(
-        "transfer_peer_id is null and transfer_account_id is null and category_id is null"
-    ).select("id", "account_id", "date", "amount_cents", "description", "merchant")
+    free = transactions.where("transfer_peer_id is null and transfer_account_id is null").select("id", "account_id", "date", "amount_cents", "description", "merchant")
     texts = free.select(F.lower("description").alias("text")).distinct()
     hits = account_hint_match(texts, valued).where("outcome = 'match'").select(
         "text", "strength", F.col("account_id").alias("hint_account_id")

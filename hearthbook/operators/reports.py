@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CALENDAR_MONTH_CAP, TOP_CATEGORIES_SHOWN
+from ..constants import TOP_CATEGORIES_SHOWN
 from ..functions.dates import month_of
 
 SLICES = ["base", "living", "luxury", "uncategorized"]
@@ -44,10 +44,10 @@ def _sums_by_category(
 ) -> DataFrame:
     """Sums of effective lines per month, category and direction.
 
-    Few transactions are split, so the ledger is summed where it lies and never
-    shuffled: all rows, minus those that have splits, plus the split lines. Only
-    the split ones are looked up, an inner join Spark narrows with a bloom filter
-    of the split ids. ``n`` counts lines, so a group emptied this way disappears."""
+    Few transactions are split, so the ledger is summed where it lies: all rows,
+    minus those that have splits, plus the split lines. Only the split ones are
+    looked up, by an inner join on the id. While the split ids are few Spark
+    broadcasts them; beyond that the join shuffles the ledger's narrow rows once. ``n`` counts lines, so a group emptied this way disappears."""
     rows = transactions.where(in_range(F.col("date"), start, end)).select(
         "id", "date", "category_id", "amount_cents"
     )
@@ -143,19 +143,19 @@ def top_categories(
     )
 
 
-def calendar_of(
-    bounds: DataFrame, first: str, last: str, cap: int = CALENDAR_MONTH_CAP
-) -> DataFrame:
-    """Every month touched by a row's [first, last], at most ``cap`` of them."""
+def calendar_of(bounds: DataFrame, first: str, last: str, cap: int | None = None) -> DataFrame:
+    """Every month touched by a row's [first, last]; with ``cap`` the first so many."""
     start = F.trunc(first, "month")
-    end = F.least(F.trunc(last, "month"), F.add_months(start, cap - 1))
+    end = F.trunc(last, "month")
+    if cap is not None:
+        end = F.least(end, F.add_months(start, cap - 1))
     months = F.when(start <= end, F.sequence(start, end, F.expr("interval 1 month"))).otherwise(
         F.array().cast("array<date>")
     )
     return bounds.select(F.explode(months).alias("m")).select(month_of(F.col("m")).alias("month"))
 
 
-def month_calendar(spark, start: str, end: str, cap: int = CALENDAR_MONTH_CAP) -> DataFrame:
+def month_calendar(spark, start: str, end: str, cap: int | None = None) -> DataFrame:
     ends = spark.range(1).select(
         F.lit(start).cast("date").alias("first"), F.lit(end).cast("date").alias("last")
     )

@@ -98,13 +98,15 @@ def close_totals(closes: DataFrame) -> DataFrame:
     )
 
 
-def statement_tie_out(lines: DataFrame, balances: DataFrame, accounts: DataFrame) -> DataFrame:
+def statement_tie_out(files: DataFrame, lines: DataFrame, balances: DataFrame, accounts: DataFrame) -> DataFrame:
     """Do a statement's lines add up to the move between its printed balances, and
-    are a debt's balances all negative? If not it is blocked."""
+    are a debt's balances all negative? If not, or if a balance is not printed, it is
+    blocked, with the first reason. ``files`` (batch_id, account_id): every file has a
+    row, with null figures where it prints no balance."""
     sums = lines.groupBy("batch_id").agg(
         F.count("*").alias("rows"), F.sum("amount_cents").alias("net_cents")
     )
-    printed = balances.groupBy("batch_id", "account_id").agg(
+    printed = balances.groupBy("batch_id").agg(
         F.max(F.when(F.col("kind") == "opening", F.col("balance_cents"))).alias("opening_cents"),
         F.max(F.when(F.col("kind") == "closing", F.col("balance_cents"))).alias("closing_cents"),
         F.max("balance_cents").alias("highest"),
@@ -113,17 +115,25 @@ def statement_tie_out(lines: DataFrame, balances: DataFrame, accounts: DataFrame
         F.col("id").alias("account_id"), is_liability(F.col("account_type")).alias("is_debt")
     )
     off = F.coalesce("net_cents", F.lit(0).cast("long")) - (F.col("closing_cents") - F.col("opening_cents"))
-    signs_ok = ~F.col("is_debt") | (F.col("highest") < 0)
+    signs_ok = ~F.coalesce("is_debt", F.lit(False)) | F.coalesce(F.col("highest") < 0, F.lit(True))
+    reason = (
+        F.when(off.isNull(), F.lit("a balance is missing"))
+        .when(off != 0, F.lit("lines and balances differ"))
+        .when(~signs_ok, F.lit("a debt shows a credit"))
+    )
     return (
-        printed.join(sums, "batch_id", "left")
-        .join(types, "account_id")
+        files.select("batch_id", "account_id")
+        .join(printed, "batch_id", "left")
+        .join(sums, "batch_id", "left")
+        .join(types, "account_id", "left")
         .select(
             "batch_id",
             "account_id",
             F.coalesce("rows", F.lit(0).cast("long")).alias("rows"),
             off.alias("off_by_cents"),
             signs_ok.alias("signs_ok"),
-            ((off != 0) | ~signs_ok).alias("blocked"),
+            reason.isNotNull().alias("blocked"),
+            reason.alias("reason"),
         )
     )
 
@@ -145,7 +155,8 @@ def statement_hold_check(
         .select("batch_id", "on_file", F.col("balance_cents").alias("printed"))
     )
     return (
-        tie_out.join(clash, "batch_id", "left")
+        tie_out.drop("reason")
+        .join(clash, "batch_id", "left")
         .select(
             "batch_id",
             "account_id",
@@ -181,6 +192,37 @@ def close_history(batches: DataFrame, sessions: DataFrame, accounts: DataFrame,
     )
 
 
+def close_sessions(sessions: DataFrame, batches: DataFrame, balances: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Past closes, one row per session, those without files included: files, rows,
+    balances, and how many rows of its files are in the ledger (import_batch_id)."""
+    files = batches.where(F.col("session_id").isNotNull()).select(
+        "session_id", F.col("id").alias("batch_id"), "period_start", "period_end", "row_count"
+    )
+    recorded = balances.groupBy("batch_id").agg(F.count("*").alias("balances"))
+    added = ledger.groupBy(F.col("import_batch_id").alias("batch_id")).agg(F.count("*").alias("inserted"))
+    per_session = (
+        files.join(recorded, "batch_id", "left")
+        .join(added, "batch_id", "left")
+        .groupBy("session_id")
+        .agg(
+            F.min("period_start").alias("period_start"),
+            F.max("period_end").alias("period_end"),
+            F.count("*").alias("statements"),
+            *[F.sum(c).alias(c) for c in ("balances", "row_count", "inserted")],
+        )
+    )
+    counts = ["statements", "balances", "row_count", "inserted"]
+    return (
+        sessions.where("purpose = 'reconcile'")
+        .select(F.col("id").alias("session_id"), F.col("status").alias("session_status"))
+        .join(per_session, "session_id", "left")
+        .select(
+            "session_id", "session_status", "period_start", "period_end",
+            *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        )
+    )
+
+
 def statement_lines_of(extracted: DataFrame) -> DataFrame:
     """Lines of extracted statements (nested, one row per statement)."""
     return extracted.select("statement_id", F.posexplode("transactions").alias("row_index", "t")).select(

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import balances as B
+from ..operators.staging import staged_included
+from . import staging
 from .registry import query
 
 WINDOWS = """
@@ -175,18 +177,29 @@ def cleared_state(led):
       WHERE w.status = 'mismatch' AND (t.amount_cents = -w.gap_cents OR t.amount_cents * 2 = -w.gap_cents)),
     named AS (SELECT *, CASE issue WHEN 'extra_row' THEN 'warning' ELSE 'info' END AS severity FROM hits
       UNION ALL SELECT * REPLACE ('repeated_row' AS issue), 'error' FROM hits WHERE issue = 'extra_row' AND n > 1)
-    SELECT account_id, to_date::VARCHAR AS to_date, gap_cents, issue, count(*) AS rows, min(id) AS first_id,
-      max(id) AS last_id, severity FROM named GROUP BY account_id, to_date, gap_cents, issue, severity""",
+    SELECT account_id, to_date::VARCHAR AS to_date, gap_cents, id, issue, severity,
+      CASE issue WHEN 'repeated_row' THEN 'the same row is there more than once and equals the gap'
+        WHEN 'extra_row' THEN 'one row equals the gap' ELSE 'one row equals half the gap' END AS message,
+      CASE issue WHEN 'wrong_sign' THEN 'turn its sign' ELSE 'delete it if it is not on the statement' END AS fix
+    FROM named""",
 )
 def reconcile_issues(led):
-    windows = B.reconcile_windows(led.snapshots, B.daily_activity(led.transactions))
-    return B.reconcile_issues(windows, led.transactions)
+    return B.reconcile_issues(led.snapshots, led.transactions)
 
 
-_PENDING = """
-, pend AS (SELECT id, account_id, date, amount_cents FROM staged),
+_PENDING = staging.STAGED + """
+, pend AS (SELECT i.id, i.account_id, i.date, i.amount_cents FROM included i JOIN batches b ON b.id = i.batch_id AND b.status = 'review'),
 ledger_plus AS (SELECT id, account_id, date, amount_cents FROM transactions UNION ALL SELECT * FROM pend),
 snap_plus AS (
+  SELECT coalesce(b.account_id, s.account_id) AS account_id, coalesce(b.date, s.date) AS date,
+    coalesce(b.balance_cents, s.balance_cents) AS balance_cents
+  FROM snapshots s FULL JOIN (SELECT p.account_id, p.date, max(balance_cents) AS balance_cents FROM statement_balances p
+    JOIN batches f ON f.id = p.batch_id AND f.status = 'review' WHERE p.kind = 'closing' GROUP BY 1, 2) b
+  ON b.account_id = s.account_id AND b.date = s.date
+)"""
+
+_UPSERT = """
+, snap_plus AS (
   SELECT coalesce(b.account_id, s.account_id) AS account_id, coalesce(b.date, s.date) AS date,
     coalesce(b.balance_cents, s.balance_cents) AS balance_cents
   FROM snapshots s FULL JOIN (SELECT account_id, date, max(balance_cents) AS balance_cents FROM statement_balances
@@ -208,14 +221,17 @@ def closing(led):
     GROUP BY p.account_id, p.to_date, p.to_cents, p.from_cents""",
 )
 def ledger_plus_pending(led):
-    rows, snaps = B.with_pending(led.transactions, led.snapshots, led.staged, closing(led))
+    review = led.batches.where("status = 'review'").select(F.col("id").alias("batch_id"))
+    rows = staged_included(staging.final(led)).join(review, "batch_id", "left_semi")
+    prints = closing(led).join(review, "batch_id", "left_semi")
+    rows, snaps = B.with_pending(led.transactions, led.snapshots, rows, prints)
     windows = B.reconcile_windows(snaps, B.daily_activity(rows))
     return windows.select("account_id", "to_date", "gap_cents")
 
 
 @query(
     "balance_upsert",
-    _PENDING + " SELECT account_id, date::VARCHAR AS date, balance_cents FROM snap_plus",
+    _UPSERT + " SELECT account_id, date::VARCHAR AS date, balance_cents FROM snap_plus",
 )
 def balance_upsert(led):
     return B.balance_upsert(led.snapshots, closing(led)).select("account_id", "date", "balance_cents")

@@ -128,26 +128,33 @@ def match_review(led):
     return O.apply_reviews(found, reviews(led, found))
 
 
-# Reports below read matches as a table of the ledger; the exact matches serve.
+# Reports below read the matches of every kind.
+
+
+def all_matches(led):
+    """Matched once per ledger; the matcher writes its results."""
+    if "order_matches" not in led.__dict__:
+        led.order_matches = O.run_matcher(led.shop_orders, led.charges)
+    return led.order_matches
 
 
 @query(
     "order_match_stats",
-    EXACT
-    + """ SELECT (SELECT count(*) FROM shop_orders) AS orders, count(DISTINCT order_id) AS matched FROM exact WHERE status = 'confirmed'""",
+    ALL
+    + """ SELECT (SELECT count(*) FROM shop_orders) AS orders, count(DISTINCT order_id) AS matched FROM matches WHERE status = 'confirmed'""",
 )
 def order_match_stats(led):
-    return O.order_match_stats(led.shop_orders, O.match_exact(led.shop_orders, led.charges))
+    return O.order_match_stats(led.shop_orders, all_matches(led))
 
 
 @query(
     "unmatched_orders",
-    EXACT
+    ALL
     + """ SELECT id, account_id, date::VARCHAR AS date, total_cents FROM shop_orders
-    WHERE id NOT IN (SELECT order_id FROM exact WHERE status = 'confirmed') ORDER BY shop_orders.date DESC, id DESC LIMIT 25""",
+    WHERE id NOT IN (SELECT order_id FROM matches WHERE status = 'confirmed') ORDER BY shop_orders.date DESC, id DESC LIMIT 25""",
 )
 def unmatched_orders(led):
-    matches = O.match_exact(led.shop_orders, led.charges)
+    matches = all_matches(led)
     return O.unmatched_orders(led.shop_orders, matches, UNMATCHED_SHOWN).select(
         "id", "account_id", "date", "total_cents"
     )
@@ -155,26 +162,26 @@ def unmatched_orders(led):
 
 @query(
     "unmatched_charge_filter",
-    EXACT
+    ALL
     + """ SELECT id, account_id, date::VARCHAR AS date, amount_cents, merchant FROM charges
     WHERE (merchant ILIKE '%AMAZON%' OR merchant ILIKE '%AMZN%') AND amount_cents < 0
-      AND id NOT IN (SELECT charge_id FROM exact WHERE status = 'confirmed')""",
+      AND id NOT IN (SELECT charge_id FROM matches WHERE status = 'confirmed')""",
 )
 def unmatched_charge_filter(led):
-    matches = O.match_exact(led.shop_orders, led.charges)
+    matches = all_matches(led)
     return O.unmatched_charges(led.charges, matches, ["%AMAZON%", "%AMZN%"])
 
 
 @query(
     "recent_matches",
-    EXACT
+    ALL
     + """, picked AS (
-      (SELECT status, order_id, charge_id, amount_cents FROM exact WHERE status = 'suggested' ORDER BY charge_id DESC, order_id DESC LIMIT 30)
-      UNION ALL (SELECT status, order_id, charge_id, amount_cents FROM exact WHERE status = 'confirmed' ORDER BY charge_id DESC, order_id DESC LIMIT 15))
+      (SELECT status, order_id, charge_id, amount_cents FROM matches WHERE status = 'suggested' ORDER BY charge_id DESC, order_id DESC LIMIT 30)
+      UNION ALL (SELECT status, order_id, charge_id, amount_cents FROM matches WHERE status = 'confirmed' ORDER BY charge_id DESC, order_id DESC LIMIT 15))
     SELECT * FROM picked""",
 )
 def recent_matches(led):
-    matches = O.match_exact(led.shop_orders, led.charges)
+    matches = all_matches(led)
     cols = ["status", "order_id", "charge_id", "amount_cents"]
     suggested = O.latest_matches(matches, "suggested", SUGGESTED_MATCHES_SHOWN).select(*cols)
     return suggested.unionByName(O.latest_matches(matches, "confirmed", CONFIRMED_MATCHES_SHOWN).select(*cols))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..constants import CALENDAR_MONTH_CAP
 from ..operators import reports
 from .registry import query
 
@@ -89,7 +90,7 @@ def month_summary(led):
 )
 def month_calendar(led):
     bounds = led.transactions.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    return reports.calendar_of(bounds, "lo", "hi")
+    return reports.calendar_of(bounds, "lo", "hi", CALENDAR_MONTH_CAP)
 
 
 @query(

@@ -167,7 +167,7 @@ def bulk_progress(led):
 @query(
     "stage_and_commit",
     STAGED
-    + """, typed AS (SELECT i.*, a.account_type, regexp_replace(regexp_replace(i.description, ' PENDING$', ''), '\\s*#\\s*\\d+.*$', '') AS merchant
+    + """, typed AS (SELECT i.*, a.account_type, regexp_replace(i.description, '\\s*#\\s*\\d+.*$', '') AS merchant
       FROM included i JOIN accounts a ON a.id = i.account_id
       WHERE NOT EXISTS (SELECT 1 FROM hashed h WHERE h.account_id = i.account_id AND h.dedupe_hash = i.dedupe_hash)),
     filed AS (SELECT t.*, CASE WHEN t.amount_cents > 0 AND c.spending_class = 'income'

@@ -226,7 +226,7 @@ def folder_account_assign(led):
 
 
 LINKS = """, cands AS (SELECT * FROM accounts WHERE kind = 'balance'),
-free_rows AS (SELECT * FROM transactions WHERE transfer_peer_id IS NULL AND transfer_account_id IS NULL AND category_id IS NULL),
+free_rows AS (SELECT * FROM transactions WHERE transfer_peer_id IS NULL AND transfer_account_id IS NULL),
 texts AS (SELECT DISTINCT lower(description) AS text FROM free_rows)""" + HINT + """
 , hist AS (SELECT account_id, merchant, min(transfer_account_id) AS target FROM transactions WHERE transfer_account_id IS NOT NULL
   GROUP BY 1, 2 HAVING count(DISTINCT transfer_account_id) = 1),
