@@ -181,31 +181,36 @@ def rules_merge(
     memory: DataFrame, categories: DataFrame, incoming: DataFrame, replace: bool = False
 ) -> DataFrame:
     """Merge a rules file (merchant, category, source) into memory by name. The
-    user's own choices beat the file; in replace mode the file is the whole list."""
+    user's own choices beat the file; in replace mode the file is the whole list. A
+    rule is there if its row is, even when its category is gone. Use counts stay."""
     names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("mine"))
     current = memory.join(names, "category_id", "left").select(
-        "merchant", "mine", F.col("source").alias("my_source")
+        "merchant", "mine", F.col("source").alias("my_source"), "use_count", F.lit(True).alias("held")
+    )
+    given = incoming.select(
+        "merchant", F.col("category").alias("theirs"), F.col("source").alias("their_source"), F.lit(True).alias("given")
     )
-    given = incoming.select("merchant", F.col("category").alias("theirs"), F.col("source").alias("their_source"))
     both = current.join(given, "merchant", "full")
     mine, theirs = F.col("mine"), F.col("theirs")
+    new, absent, same = F.col("held").isNull(), F.col("given").isNull(), mine.eqNullSafe(theirs)
     if replace:
-        outcome = F.when(theirs.isNull(), F.lit("removed")).when(mine.isNull(), F.lit("added")).otherwise(F.lit("replaced"))
+        outcome = F.when(absent, F.lit("removed")).when(new, F.lit("added")).otherwise(F.lit("replaced"))
         keep_mine = F.lit(False)
     else:
-        keep_mine = theirs.isNull() | (mine == theirs) | (F.col("my_source") == "user")
+        own_choice = F.coalesce(F.col("my_source") == "user", F.lit(False))
+        keep_mine = ~new & (absent | same | own_choice)
         outcome = (
-            F.when(mine.isNull(), F.lit("added"))
-            .when(theirs.isNull(), F.lit("untouched"))
-            .when(mine == theirs, F.lit("unchanged"))
-            .when(F.col("my_source") == "user", F.lit("kept_user"))
+            F.when(new, F.lit("added"))
+            .when(absent, F.lit("untouched"))
+            .when(same, F.lit("unchanged"))
+            .when(own_choice, F.lit("kept_user"))
             .otherwise(F.lit("updated"))
         )
-    keep_mine = F.coalesce(keep_mine & mine.isNotNull(), F.lit(False))
     return both.select(
         "merchant",
         F.when(keep_mine, mine).otherwise(theirs).alias("category"),
         F.when(keep_mine, F.col("my_source")).otherwise(F.col("their_source")).alias("source"),
+        F.coalesce("use_count", F.lit(0).cast("long")).alias("use_count"),
         outcome.alias("outcome"),
     )
 

@@ -2,9 +2,10 @@
 
 A window function sorts its whole group in one task. When one account (or the
 whole register) holds a third of all rows that task never ends, so order is
-taken in levels: inside a block of the unique id, over the blocks of a date, and
-over the dates of a group. The first level is bounded by the block width, the
-other two see one aggregated row per block or date.
+taken in levels: inside a block of the unique id, over the blocks of a larger
+block, over those of a larger one still, and over the dates of a group. A level
+sees one aggregated row per block below it, at most the block width of them for
+any 64-bit ids, dense or scattered.
 """
 
 from __future__ import annotations
@@ -17,6 +18,28 @@ from pyspark.sql import functions as F
 from ..constants import RANK_BLOCK
 
 
+LEVELS = 3  # blocks of 2^20 of blocks of 2^20 of ids leave 2^4 for the last level
+
+
+def _before(blocks: DataFrame, keys: list[str], block_col: str, n: int, block: int, levels: int) -> DataFrame:
+    """``blocks`` (keys, block_col, _m0..) with ``_before0``..: the sums over the
+    blocks of the same keys that come earlier."""
+    names = range(n)
+    if levels == 1:
+        order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
+        return blocks.select("*", *[F.coalesce(F.sum(f"_m{i}").over(order), F.lit(0)).alias(f"_before{i}") for i in names])
+    up = f"{block_col}_"
+    inside = Window.partitionBy(*keys, up).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocks.withColumn(up, F.floor(F.col(block_col) / F.lit(block)))
+    rows = rows.select("*", *[F.coalesce(F.sum(f"_m{i}").over(inside), F.lit(0)).alias(f"_in{i}") for i in names])
+    sums = rows.groupBy(*keys, up).agg(*[F.sum(f"_m{i}").alias(f"_m{i}") for i in names])
+    above = _before(sums, keys, up, n, block, levels - 1).where(" or ".join(f"_before{i} != 0" for i in names))
+    above = above.select(*keys, up, *[f"_before{i}" for i in names])
+    return rows.join(above, [*keys, up], "left").select(
+        *blocks.columns, *[(F.col(f"_in{i}") + F.coalesce(f"_before{i}", F.lit(0))).alias(f"_before{i}") for i in names]
+    )
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,15 +64,8 @@ def running(
     local = rows.select("*", *[F.sum(f"_m{i}").over(inside).alias(f"_local{i}") for i in numbers])
 
     blocks = rows.groupBy(*block_keys).agg(*[F.sum(f"_m{i}").alias(f"_m{i}") for i in numbers])
-    in_day = (
-        Window.partitionBy(*(day_keys or [F.lit(0)]))
-        .orderBy("_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = blocks.select(
-        *block_keys,
-        *[F.coalesce(F.sum(f"_m{i}").over(in_day), F.lit(0)).alias(f"_before{i}") for i in numbers],
-    )
+    offsets = _before(blocks, day_keys, "_block", len(measures), block, LEVELS)
+    offsets = offsets.select(*block_keys, *[f"_before{i}" for i in numbers])
     if date_col:
         across = (
             Window.partitionBy(*(keys or [F.lit(0)]))

@@ -139,8 +139,9 @@ INCOMING = """
   FROM suggestions s JOIN categories c ON c.id = 1 + length(merchant) % 23
 ),
 merged AS (
-  SELECT coalesce(m.merchant, i.merchant) AS merchant, c.name AS mine, m.source AS my_source, i.category AS theirs, i.source AS their_source
-  FROM merchant_memory m JOIN categories c ON c.id = CASE WHEN length(m.merchant) % 7 = 1 THEN 1 ELSE m.category_id END
+  SELECT coalesce(m.merchant, i.merchant) AS merchant, c.name AS mine, m.source AS my_source, i.category AS theirs, i.source AS their_source,
+    m.merchant IS NOT NULL AS held, i.merchant IS NOT NULL AS given, coalesce(m.use_count, 0) AS use_count
+  FROM merchant_memory m LEFT JOIN categories c ON c.id = CASE length(m.merchant) % 7 WHEN 1 THEN 1 WHEN 3 THEN 999 ELSE m.category_id END
   FULL JOIN incoming i ON i.merchant = m.merchant
 )"""
 
@@ -163,16 +164,18 @@ def incoming(led):
 
 
 def own_memory(led):
-    first = F.when(F.length("merchant") % 7 == 1, 1).otherwise(F.col("category_id")).cast("long")
+    # some rules disagree with the file, and the category of some is gone
+    size = F.length("merchant")
+    first = F.when(size % 7 == 1, 1).when(size % 7 == 3, 999).otherwise(F.col("category_id")).cast("long")
     return led.merchant_memory.withColumn("category_id", first)
 
 
 @query(
     "rules_merge",
     INCOMING
-    + """ SELECT merchant, CASE WHEN mine IS NOT NULL AND (theirs IS NULL OR mine = theirs OR my_source = 'user') THEN mine ELSE theirs END AS category,
-      CASE WHEN mine IS NOT NULL AND (theirs IS NULL OR mine = theirs OR my_source = 'user') THEN my_source ELSE their_source END AS source,
-      CASE WHEN mine IS NULL THEN 'added' WHEN theirs IS NULL THEN 'untouched' WHEN mine = theirs THEN 'unchanged'
+    + """ SELECT merchant, CASE WHEN held AND (NOT given OR mine IS NOT DISTINCT FROM theirs OR my_source = 'user') THEN mine ELSE theirs END AS category,
+      CASE WHEN held AND (NOT given OR mine IS NOT DISTINCT FROM theirs OR my_source = 'user') THEN my_source ELSE their_source END AS source,
+      use_count, CASE WHEN NOT held THEN 'added' WHEN NOT given THEN 'untouched' WHEN mine IS NOT DISTINCT FROM theirs THEN 'unchanged'
         WHEN my_source = 'user' THEN 'kept_user' ELSE 'updated' END AS outcome FROM merged""",
 )
 def rules_merge(led):
@@ -182,8 +185,8 @@ def rules_merge(led):
 @query(
     "rules_replace",
     INCOMING
-    + """ SELECT merchant, theirs AS category, their_source AS source,
-      CASE WHEN theirs IS NULL THEN 'removed' WHEN mine IS NULL THEN 'added' ELSE 'replaced' END AS outcome FROM merged""",
+    + """ SELECT merchant, theirs AS category, their_source AS source, use_count,
+      CASE WHEN NOT given THEN 'removed' WHEN NOT held THEN 'added' ELSE 'replaced' END AS outcome FROM merged""",
 )
 def rules_replace(led):
     return C.rules_merge(own_memory(led), led.categories, incoming(led), replace=True)
@@ -192,7 +195,7 @@ def rules_replace(led):
 @query(
     "rules_merge_counts",
     INCOMING
-    + """ SELECT CASE WHEN mine IS NULL THEN 'added' WHEN theirs IS NULL THEN 'untouched' WHEN mine = theirs THEN 'unchanged'
+    + """ SELECT CASE WHEN NOT held THEN 'added' WHEN NOT given THEN 'untouched' WHEN mine IS NOT DISTINCT FROM theirs THEN 'unchanged'
         WHEN my_source = 'user' THEN 'kept_user' ELSE 'updated' END AS outcome, count(*) AS rules FROM merged GROUP BY 1""",
 )
 def rules_merge_counts(led):

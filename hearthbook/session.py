@@ -1,5 +1,9 @@
 """Session settings. Everything here is a runtime SQL setting, so it can also be
-applied to a session that somebody else created."""
+applied to a session that somebody else created.
+
+Adaptive execution merges shuffle partitions but never adds any: on a large cluster
+set spark.sql.adaptive.coalescePartitions.initialPartitionNum to what the largest
+shuffle needs at some 200 MB each."""
 
 from __future__ import annotations
 
@@ -16,6 +20,8 @@ SETTINGS = {
     # accepts one more exchange rather than one task holding a third of the rows.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Streams keep their state on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
@@ -84,6 +85,15 @@ def order_history_stats(items: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def relative_path(path: Column, folder: str) -> Column:
+    """A file's path within ``folder``, on any file system: scheme and authority are
+    left out of both, as one of them may not name them."""
+    scheme = r"\A[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    root = "/" + re.sub(scheme, "", folder).strip("/")
+    inside = F.concat(F.lit("/"), F.ltrim(F.regexp_replace(path, scheme, ""), F.lit("/")))
+    return F.substr(inside, F.lit(len(root.rstrip("/")) + 2))
+
+
 def folder_scan(spark: SparkSession, folder: str, keep: list[str]) -> DataFrame:
     """Every file below a folder by its path within it; files whose name ends in
     none of ``keep`` are listed as skipped. Contents are not read."""
@@ -91,10 +101,8 @@ def folder_scan(spark: SparkSession, folder: str, keep: list[str]) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     )
     wanted = reduce(lambda a, b: a | b, [F.lower("path").endswith(k.lower()) for k in keep])
-    root = folder.rstrip("/").split("://")[-1]
-    inside = F.regexp_replace("path", r"\A[a-z]+:/*(?=/)", "")
     return files.select(
-        F.substr(inside, F.lit(len(root) + 2)).alias("rel_path"),
+        relative_path(F.col("path"), folder).alias("rel_path"),
         F.col("length").alias("size_bytes"),
         F.when(wanted, F.lit("kept")).otherwise(F.lit("skipped")).alias("status"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,22 +14,24 @@ KEY = ["account_id", "dedupe_hash"]
 
 
 def read_ledger(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
-    """The ledger at ``path``, or None before its first commit."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        return None
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    """The ledger at ``path``, or None before its first commit. With ``schema`` (of
+    the rows and ``month``) a ledger without any file yet is an empty one."""
+    try:
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
     """Add the rows whose (account, hash) the ledger lacks, so that a commit may be
-    repeated after a failure. One folder per month keeps the number of folders
+    repeated after a failure, also one that left an empty folder. Two commits at the
+    same time may both add a row: let one stream or job write a ledger. One folder per month keeps the number of folders
     bounded; within it rows are clustered by account for scans of one account."""
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(KEY).withColumn("month", month_of(F.col("date")))
-    known = read_ledger(spark, path)
+    known = read_ledger(spark, path, fresh.schema)
     if known is not None:
         # The hash covers the date, so only the months of this commit can hold one
         # of its rows; there is one name per calendar month to fetch.

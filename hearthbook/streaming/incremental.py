@@ -12,29 +12,43 @@ from ..sources.sink import append_rows
 UPLOAD_SCHEMA = "file_id long, row_index long, account_id long, signature string, record map<string,string>"
 
 
-def ledger_rows(uploads: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Mapped upload rows with their account and dedupe hash. The row index is
-    unique within an account's uploads of one delivery."""
-    known = uploads.dropDuplicates(["account_id", "file_id", "row_index"]).join(
-        mappings, ["account_id", "signature"]
+PROBLEM_SCHEMA = "account_id long, file_id long, row_index long, signature string, problem string"
+
+
+def read_uploads(uploads: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows, problems) of upload rows.
+
+    A line's occurrence is counted within its file, so what two files share is the
+    same however they are delivered. A row whose header nobody has mapped, or that
+    cannot be read, is a problem; blank lines are neither."""
+    once = uploads.dropDuplicates(["account_id", "file_id", "row_index"])
+    known = mappings.select("account_id", "signature").distinct()
+    unknown = once.join(known, ["account_id", "signature"], "left_anti").select(
+        "account_id", "file_id", "row_index", "signature", F.lit("unknown header").alias("problem")
     )
-    own = ["account_id"]
-    rows = mapped_rows(map_records(known, carry=own), own)
-    return with_dedupe_key(rows, ["account_id"], "row_index").select(
+    own = ["account_id", "signature"]
+    read = map_records(once.join(mappings, own), carry=own)
+    rows = with_dedupe_key(mapped_rows(read, own), ["account_id", "file_id"], "row_index").select(
         "account_id", "date", "amount_cents", "description", "dedupe_hash"
     )
+    bad = read.where("outcome = 'error'").select("account_id", "file_id", "row_index", "signature", "problem")
+    return rows, unknown.unionByName(bad)
 
 
 def incremental_ingest(
-    spark: SparkSession, folder: str, mappings: DataFrame, ledger_path: str, checkpoint: str
+    spark: SparkSession, folder: str, mappings: DataFrame, ledger_path: str, checkpoint: str, problem_path: str
 ) -> None:
-    """Run until all files now in ``folder`` are in the ledger. The checkpoint
-    remembers files; the sink's key makes redelivered rows harmless, so a batch
-    that is repeated after a lost executor adds nothing twice."""
+    """Run until all files now in ``folder`` are in the ledger or, row by row, among
+    the problems. The checkpoint remembers files; the sink's key makes redelivered
+    rows harmless, and problems of a batch replace those of its earlier attempt, so a
+    batch that is repeated after a lost executor adds nothing twice. A header that has
+    been mapped since comes back by delivering its files again."""
     feed = spark.readStream.schema(UPLOAD_SCHEMA).option("recursiveFileLookup", "true").json(folder)
 
-    def land(batch: DataFrame, _: int) -> None:
-        append_rows(ledger_rows(batch, mappings), ledger_path)
+    def land(batch: DataFrame, number: int) -> None:
+        rows, problems = read_uploads(batch, mappings)
+        problems.write.mode("overwrite").parquet(f"{problem_path}/batch={number}")
+        append_rows(rows, ledger_path)
 
     run = (
         feed.writeStream.foreachBatch(land)
@@ -45,13 +59,18 @@ def incremental_ingest(
     run.awaitTermination()
 
 
-def event_dedupe_stream(
-    spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, delay: str = "2 days"
-) -> None:
-    """Drop redeliveries of an event that arrive within ``delay`` of it; state older
-    than that is released, so it stays bounded by the delay, not by the feed."""
+def read_problems(spark: SparkSession, problem_path: str) -> DataFrame:
+    """Rows that wait for somebody, each once."""
+    columns = [c.split()[0] for c in PROBLEM_SCHEMA.split(", ")]  # not the batch's number
+    return spark.read.schema(PROBLEM_SCHEMA).parquet(problem_path).select(*columns).distinct()
+
+
+def event_dedupe_stream(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> None:
+    """Each event once, however late it or its redelivery comes: no watermark, as that
+    would drop events that come late for the first time. The state holds every
+    event_id; `session.tune` keeps it in RocksDB, on disk and not on the heap."""
     feed = spark.readStream.schema(schema).parquet(folder)
-    once = feed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    once = feed.dropDuplicates(["event_id"])
     run = (
         once.select("event_id", "user_id", "event_type", F.col("amount_cents"))
         .writeStream.format("parquet")
