@@ -40,8 +40,9 @@ from .common import map_batches, utf8, written
 
 LEAST = 400
 HOT = 4096
-CHUNK_BYTES = 1 << 21
-PIECE_BYTES = 1 << 21
+FEW = 500_000  # keys of 16 bytes that may be broadcast
+CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 PLACE_BITS = 23
 
 OCCURRENCE = "anchor bigint, context binary, key binary, doc string, first bigint, last bigint, weight bigint"
@@ -269,10 +270,19 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
+def _only(texts: DataFrame, keys: DataFrame, few: int = FEW) -> DataFrame:
+    """Those ``texts`` whose key is among ``keys``, where they lie, if the keys are
+    counted to be few; else all, and the join to come sorts them out."""
+    if keys.limit(few + 1).count() > few:
+        return texts
+    return texts.join(F.broadcast(keys.select(F.col("key").alias("__k"))), F.col("key") == F.col("__k"), "left_semi")
+
+
 def _bodies(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """``wanted`` (anchor, context, weight, key, doc, first, last) with the bytes of
     each context. The places of one text come together in one row."""
     places = wanted.groupBy("key", "doc").agg(F.collect_list(F.struct("anchor", "context", "weight", "first", "last")).alias("places"))
+    documents = _only(documents, places.select("key").distinct())
     joined = documents.join(places.withColumnsRenamed({"key": "k", "doc": "d"}), (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")))
     place = "anchor bigint, context binary, weight bigint, key binary, doc string, base bigint, body binary"
 
@@ -342,9 +352,18 @@ def removed(size: int, places, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _with_places(documents: DataFrame, doc_id: str, text: str, least: int, hot: int) -> DataFrame:
-    places = find_repeats(documents, doc_id, text, least, hot).withColumnsRenamed({"key": "__key", "places": "__places"})
-    return documents.withColumn("__key", text_key(F.col(text))).join(places, "__key", "left").drop("__key")
+def _with_places(documents: DataFrame, doc_id: str, text: str, least: int, hot: int, few: int = FEW) -> DataFrame:
+    """``documents`` with ``__places``. If few texts have any, only those are shuffled."""
+    places = written(find_repeats(documents, doc_id, text, least, hot), "places").withColumnsRenamed({"key": "__k", "places": "__places"})
+    keyed = documents.withColumn("__key", text_key(F.col(text)))
+    same = F.col("__key") == F.col("__k")
+    if places.limit(few + 1).count() > few:
+        return keyed.join(places, same, "left").drop("__key", "__k")
+    marked = F.broadcast(places.select(F.col("__k").alias("__m")))
+    one = F.col("__key") == F.col("__m")
+    hit = keyed.join(marked, one, "left_semi").hint("merge").join(places, same).drop("__key", "__k")
+    rest = keyed.join(marked, one, "left_anti").drop("__key")
+    return hit.unionByName(rest.withColumn("__places", F.lit(None).cast(dict(places.dtypes)["__places"])))
 
 
 def _masks(batch: pa.RecordBatch, least: int) -> Iterator[tuple[bytes, np.ndarray]]:
