@@ -325,3 +325,59 @@ def test_memory_ranks(spark):
     ai = spark.createDataFrame([("A", 9, "ai"), ("B", 9, "ai"), ("C", 9, "ai")], "merchant string, category_id long, source string")
     got = {r["merchant"]: (r["category_id"], r["source"], r["use_count"]) for r in C.memory_upsert(memory, ai).collect()}
     assert got == {"A": (1, "user", 4), "B": (9, "ai", 2), "C": (9, "ai", 1)}
+
+
+def test_running_sums_with_scattered_ids(spark):
+    """Hashed 64-bit ids in one hot group: small blocks, so every level is used."""
+    rng = random.Random(11)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)] + list(range(50))
+    rows = [(1 if i % 3 else 2, dt.date(2024, 1, 1 + i % 5), x, i % 7 - 3) for i, x in enumerate(ids)]
+    df = spark.createDataFrame(rows, "k long, date date, id long, v long")
+    got = {(r["k"], r["id"]): r["upto"] for r in running(df, ["k"], "id", {"upto": F.col("v")}, "date", block=1 << 20).collect()}
+    small = {(r["k"], r["id"]): r["upto"] for r in running(df, ["k"], "id", {"upto": F.col("v")}, "date", block=4).collect()}
+    want, total = {}, {1: 0, 2: 0}
+    for k, date, x, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        total[k] += v
+        want[k, x] = total[k]
+    assert got == want == small
+
+
+def test_linked_rows_may_have_a_category(spark):
+    from hearthbook.operators.hints import account_links
+
+    accounts = spark.createDataFrame(
+        [(1, "Everyday", "Bank", "1111", "transaction", "checking"), (2, "Brokerage", "Fund", "2222", "balance", "investment")],
+        "id long, name string, institution string, last_four string, kind string, account_type string",
+    )
+    day = dt.date(2024, 1, 1)
+    rows = [(1, 1, day, -5, "TRANSFER TO BROKERAGE", "TRANSFER", None, None, None), (2, 1, day, -5, "TRANSFER TO BROKERAGE", "TRANSFER", 3, None, None),
+            (3, 1, day, -5, "TRANSFER TO BROKERAGE", "TRANSFER", None, 7, None)]
+    txns = spark.createDataFrame(
+        rows, "id long, account_id long, date date, amount_cents long, description string, merchant string, category_id long, transfer_peer_id long, transfer_account_id long"
+    )
+    assert sorted(r["id"] for r in account_links(txns, accounts).where("link").collect()) == [1, 2]
+
+
+def test_a_rule_survives_its_category(spark):
+    from hearthbook.operators.categorize import rules_merge
+
+    memory = spark.createDataFrame([("A", 1, "user", 4), ("B", 99, "ai", 2)], "merchant string, category_id long, source string, use_count long")
+    categories = spark.createDataFrame([(1, "Travel", "luxury")], "id long, name string, spending_class string")
+    given = spark.createDataFrame([("C", "Gifts", "ai")], "merchant string, category string, source string")
+    got = sorted(tuple(r) for r in rules_merge(memory, categories, given).fillna("none").collect())
+    assert got == [("A", "Travel", "user", 4, "untouched"), ("B", "none", "ai", 2, "untouched"), ("C", "Gifts", "ai", 0, "added")]
+
+
+def test_a_statement_without_a_balance_is_held(spark):
+    from hearthbook.operators.statements import statement_hold_check, statement_tie_out
+
+    day = dt.date(2024, 1, 31)
+    files = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "batch_id long, account_id long")
+    lines = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "batch_id long, amount_cents long")
+    prints = [(1, 1, "opening", day, 0), (1, 1, "closing", day, 5), (2, 1, "closing", day, 5)]
+    balances = spark.createDataFrame(prints, "batch_id long, account_id long, kind string, date date, balance_cents long")
+    accounts = spark.createDataFrame([(1, "checking")], "id long, account_type string")
+    out = statement_tie_out(files, lines, balances, accounts)
+    assert {r["batch_id"]: r["blocked"] for r in out.collect()} == {1: False, 2: True, 3: True}
+    on_file = spark.createDataFrame([], "account_id long, date date, balance_cents long")
+    assert sorted(r["batch_id"] for r in statement_hold_check(out, balances, on_file).collect()) == [2, 3]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearthbook.operators import reports
 from hearthbook.sources import files, rules
 from hearthbook.sources.sink import append_rows, read_ledger
-from hearthbook.streaming.incremental import event_dedupe_stream
+from hearthbook.streaming.incremental import event_dedupe_stream, incremental_ingest, read_problems
 
 
 def test_csv_rows_keep_their_place(spark, tmp_path):
@@ -68,8 +68,70 @@ def test_event_stream_over_two_runs(spark, tmp_path):
 
     deliver([1, 2, 2, 3])
     deliver([3, 4, 2, 5])  # redelivered in a later run
+    deliver([4000, -20_000, 7])  # one is weeks older than all before, for the first time
+    deliver([-20_001, -20_000, 4001])
     got = sorted(r["event_id"] for r in spark.read.parquet(out).collect())
-    assert got == [1, 2, 3, 4, 5]
+    assert got == [-20_001, -20_000, 1, 2, 3, 4, 5, 7, 4000, 4001]
+
+
+def test_sink_after_a_commit_without_rows(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    schema = "account_id long, dedupe_hash string, date date, amount_cents long"
+    append_rows(spark.createDataFrame([], schema), path)
+    (tmp_path / "ledger").mkdir(exist_ok=True)  # what a failed commit leaves
+    append_rows(spark.createDataFrame([(1, "h", dt.date(2024, 1, 5), 10)], schema), path)
+    append_rows(spark.createDataFrame([(1, "h", dt.date(2024, 1, 5), 10)], schema), path)
+    assert read_ledger(spark, path).count() == 1
+
+
+def test_ingest_is_the_same_in_one_delivery_or_two(spark, tmp_path):
+    mapping = spark.createDataFrame(
+        [(1, "date|text|amount", "Date", "YYYY-MM-DD", ["Text"], "single_signed", "Amount", None, None, None)],
+        "account_id long, signature string, date_column string, date_format string, description_columns array<string>, "
+        "amount_style string, amount_column string, debit_column string, credit_column string, balance_column string",
+    )
+
+    def line(file, row, date="2024-01-02", amount="-5.00", signature="date|text|amount"):
+        return (file, row, 1, signature, {"Date": date, "Text": "coffee", "Amount": amount})
+
+    schema = "file_id long, row_index long, account_id long, signature string, record map<string,string>"
+    first = [line(10, 0), line(10, 1), line(11, 0, signature="unheard|of"), line(12, 0, date="soon"), line(12, 1, amount="lots")]
+    second = [line(20, 0), line(20, 1, date="2023-12-31"), line(21, 0, signature="unheard|of")]
+    seen = []
+    for deliveries in ([first + second], [first, second], [second, first]):
+        root = tmp_path / str(len(seen))
+        folder, ledger, checkpoint, problems = (str(root / n) for n in ("inbox", "ledger", "stream", "problems"))
+        for i, rows in enumerate(deliveries):
+            spark.createDataFrame(rows, schema).write.json(f"{folder}/{i}")
+            incremental_ingest(spark, folder, mapping, ledger, checkpoint, problems)
+        rows = sorted((str(r["date"]), r["amount_cents"]) for r in read_ledger(spark, ledger).collect())
+        bad = sorted((r["file_id"], r["row_index"], r["problem"]) for r in read_problems(spark, problems).collect())
+        seen.append((rows, bad))
+    assert seen[0] == seen[1] == seen[2]
+    # two equal lines of one file are genuine; the third, of an overlapping file, is not
+    assert seen[0][0] == [("2023-12-31", -500), ("2024-01-02", -500), ("2024-01-02", -500)]
+    assert [b[:2] for b in seen[0][1]] == [(11, 0), (12, 0), (12, 1), (21, 0)]
+
+
+def test_paths_within_a_folder(spark):
+    cases = [
+        ("hdfs://nn:8020/in/a/x.pdf", "hdfs://nn:8020/in"), ("hdfs://nn:8020/in/a/x.pdf", "/in/"),
+        ("s3a://bkt/in/a/x.pdf", "s3a://bkt/in/"), ("file:/in/a/x.pdf", "/in"), ("file:///in/a/x.pdf", "file:/in"),
+        ("s3a://bkt/a/x.pdf", "s3a://bkt"),
+    ]
+    for path, folder in cases:
+        df = spark.createDataFrame([(path,)], "path string")
+        assert df.select(files.relative_path(F.col("path"), folder)).first()[0] == "a/x.pdf", (path, folder)
+
+
+def test_a_pivot_over_twenty_years_keeps_all_money(spark):
+    from hearthbook.sources.tables import categories
+
+    rows = [(i, 1, dt.date(2000 + i // 12, 1 + i % 12, 3), -100, 8) for i in range(240)]
+    txns = spark.createDataFrame(rows, "id long, account_id long, date date, amount_cents long, category_id long")
+    splits = spark.createDataFrame([], "transaction_id long, category_id long, amount_cents long")
+    got = reports.month_pivot_dense(txns, splits, categories(spark), "2000-01-01", "2019-12-31").collect()
+    assert len(got) == 240 and sum(r["living"] for r in got) == 24_000
 
 
 def test_month_pivot_against_effective_lines(spark):
