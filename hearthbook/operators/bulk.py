@@ -28,10 +28,17 @@ def bulk_progress(files: DataFrame) -> DataFrame:
     )
 
 
+def under_review(df: DataFrame, batches: DataFrame) -> DataFrame:
+    """What belongs to files that are neither committed nor discarded."""
+    open_files = batches.where("status = 'review'").select(F.col("id").alias("batch_id"))
+    return df.join(open_files, "batch_id", "left_semi")
+
+
 def commit(
     staged: DataFrame, ledger: DataFrame, accounts: DataFrame, categories: DataFrame, memory: DataFrame
 ) -> DataFrame:
-    """The new ledger rows of a commit, filed from memory where that is allowed."""
+    """The new ledger rows of a commit, filed from memory where that is allowed.
+    ``staged`` is of files under review."""
     types = accounts.select(F.col("id").alias("account_id"), "account_type")
     classes = categories.select(F.col("id").alias("category_id"), "spending_class")
     known = memory.select("merchant", "category_id").join(classes, "category_id", "left")
@@ -48,18 +55,23 @@ def commit(
     )
 
 
-def commit_stats(staged: DataFrame, committed: DataFrame) -> DataFrame:
-    """Per file: staged, inserted, skipped."""
-    added = committed.groupBy("batch_id").agg(F.count("*").alias("n"))
+def commit_stats(staged: DataFrame, committed: DataFrame, balance_effects: DataFrame) -> DataFrame:
+    """Per file: staged, inserted and skipped rows, rows filed from memory, and
+    balances that are new or replace another (``effect`` of balance_replace_check)."""
+    added = committed.groupBy("batch_id").agg(F.count("*").alias("n"), F.count("category_id").alias("filed"))
+    recorded = balance_effects.where("effect != 'already_on_file'").groupBy("batch_id").agg(F.count("*").alias("balances"))
     zero = F.lit(0).cast("long")
     return (
         staged.groupBy("batch_id")
         .agg(F.count("*").alias("staged_rows"))
         .join(added, "batch_id", "left")
+        .join(recorded, "batch_id", "left")
         .select(
             "batch_id",
             "staged_rows",
             F.coalesce("n", zero).alias("inserted"),
             (F.col("staged_rows") - F.coalesce("n", zero)).alias("skipped"),
+            F.coalesce("filed", zero).alias("auto_categorized"),
+            F.coalesce("balances", zero).alias("balances_recorded"),
         )
     )

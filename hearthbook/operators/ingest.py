@@ -193,11 +193,15 @@ def _first_header(headers: Column, needles: Sequence[str]) -> Column:
     return F.coalesce(*[containing(n) for n in needles])
 
 
+def guessed_date_column(headers: Column) -> Column:
+    return F.coalesce(_first_header(headers, DATE_NEEDLES), F.try_element_at(headers, F.lit(1)))
+
+
 def heuristic_mappings(files: DataFrame, kind: str = "transactions") -> DataFrame:
     """Guess a mapping per file from its ``headers`` array and ``sample`` (the
     first non-blank value of each header, as a map)."""
     headers = F.col("headers")
-    date_column = F.coalesce(_first_header(headers, DATE_NEEDLES), F.try_element_at(headers, F.lit(1)))
+    date_column = guessed_date_column(headers)
     sample = F.coalesce(F.try_element_at(F.col("sample"), date_column), F.lit(""))
     debit, credit = _first_header(headers, DEBIT_NEEDLES), _first_header(headers, CREDIT_NEEDLES)
     amount = _first_header(headers, AMOUNT_NEEDLES)
@@ -224,17 +228,18 @@ def heuristic_mappings(files: DataFrame, kind: str = "transactions") -> DataFram
     )
 
 
-def first_samples(records: DataFrame) -> DataFrame:
-    """Per file the first non-blank value of each header, as a map: the sample a
-    guess is made from. A file's headers are few, so the map is small."""
-    cells = records.select("file_id", "row_index", F.explode("record").alias("header", "value"))
+def first_samples(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Per file the first non-blank value of its date column, which its headers
+    decide, as a map: the sample a guess is made from. One cell per row is read."""
+    dates = files.select("file_id", guessed_date_column(F.col("headers")).alias("header"))
+    cells = records.join(dates, "file_id").select(
+        "file_id", "row_index", "header", F.try_element_at("record", F.col("header")).alias("value")
+    )
     firsts = (
         cells.where(trim_blanks(F.coalesce("value", F.lit(""))) != "")
         .groupBy("file_id", "header")
         .agg(F.min_by("value", "row_index").alias("value"))
     )
-    return firsts.groupBy("file_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("header", "value"))).alias("sample")
-    )
+    return firsts.select("file_id", F.create_map("header", "value").alias("sample"))
 
 

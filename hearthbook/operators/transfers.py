@@ -212,20 +212,27 @@ def rejected_pair_anti(pairs: DataFrame, rejections: DataFrame) -> DataFrame:
 def auto_link(
     transactions: DataFrame, rejections: DataFrame, window: int = TRANSFER_WINDOW_DAYS
 ) -> DataFrame:
-    """The obvious pairs: each leg is the other's only candidate."""
+    """The obvious pairs: each leg is the other's only candidate. Both legs name the
+    same two ids, so a pair is a group of two; one aggregate finds them."""
     single = leg_candidates(transactions, rejections, window).where("candidates = 1")
-    outs = single.where("is_out").select(
-        F.col("id").alias("out_id"),
-        F.col("only_partner_id").alias("in_id"),
-        F.col("account_id").alias("out_account_id"),
-        "amount_cents",
-        "nearest_days",
-    )
-    ins = single.where("not is_out").select(
-        F.col("id").alias("in_id"), F.col("account_id").alias("in_account_id")
-    )
-    return outs.join(ins, "in_id").select(
-        "out_id", "in_id", "out_account_id", "in_account_id", "amount_cents", F.col("nearest_days").alias("day_diff")
+    pair = [F.least("id", "only_partner_id").alias("a"), F.greatest("id", "only_partner_id").alias("b")]
+
+    def leg(is_out: bool, column: str):
+        return F.max(F.when(F.col("is_out") == is_out, F.col(column)))
+
+    return (
+        single.groupBy(*pair)
+        .agg(
+            F.count("*").alias("legs"),
+            leg(True, "id").alias("out_id"),
+            leg(False, "id").alias("in_id"),
+            leg(True, "account_id").alias("out_account_id"),
+            leg(False, "account_id").alias("in_account_id"),
+            leg(True, "amount_cents").alias("amount_cents"),
+            leg(True, "nearest_days").alias("day_diff"),
+        )
+        .where("legs = 2")
+        .drop("a", "b", "legs")
     )
 
 

@@ -155,7 +155,7 @@ def saved_mapping_lookup(led):
     FROM signed s LEFT JOIN firsts USING (file_id)""",
 )
 def heuristic_mapping(led):
-    samples = I.first_samples(led.records)
+    samples = I.first_samples(led.records, led.upload_files)
     guessed = I.heuristic_mappings(led.upload_files.join(samples, "file_id", "left"))
     return guessed.select(
         "file_id",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..constants import BULK_FILE_STATUSES, BULK_RUNS_SHOWN, IMPORT_HISTORY_SHOWN
 from ..operators import staging as S
 from ..operators import bulk
+from ..operators.balances import balance_replace_check
 from .ingest import OCCURRENCE
 from .registry import query
 
@@ -164,30 +165,38 @@ def bulk_progress(led):
     return bulk.bulk_progress(led.bulk_files)
 
 
+COMMITTED = STAGED + """, typed AS (SELECT i.*, a.account_type, regexp_replace(i.description, '\\s*#\\s*\\d+.*$', '') AS merchant
+  FROM included i JOIN accounts a ON a.id = i.account_id JOIN batches b ON b.id = i.batch_id AND b.status = 'review'
+  WHERE NOT EXISTS (SELECT 1 FROM hashed h WHERE h.account_id = i.account_id AND h.dedupe_hash = i.dedupe_hash)),
+filed AS (SELECT t.*, CASE WHEN t.amount_cents > 0 AND c.spending_class = 'income'
+    AND t.account_type IN ('credit_card','line_of_credit','mortgage','loan') THEN NULL ELSE k.category_id END AS category_id
+  FROM typed t LEFT JOIN merchant_memory k ON k.merchant = t.merchant LEFT JOIN categories c ON c.id = k.category_id)"""
+
+
+def committed(led):
+    rows = bulk.under_review(final(led), led.batches)
+    return rows, bulk.commit(rows, hashed_ledger(led), led.accounts, led.categories, led.merchant_memory)
+
+
 @query(
     "stage_and_commit",
-    STAGED
-    + """, typed AS (SELECT i.*, a.account_type, regexp_replace(i.description, '\\s*#\\s*\\d+.*$', '') AS merchant
-      FROM included i JOIN accounts a ON a.id = i.account_id
-      WHERE NOT EXISTS (SELECT 1 FROM hashed h WHERE h.account_id = i.account_id AND h.dedupe_hash = i.dedupe_hash)),
-    filed AS (SELECT t.*, CASE WHEN t.amount_cents > 0 AND c.spending_class = 'income'
-        AND t.account_type IN ('credit_card','line_of_credit','mortgage','loan') THEN NULL ELSE k.category_id END AS category_id
-      FROM typed t LEFT JOIN merchant_memory k ON k.merchant = t.merchant LEFT JOIN categories c ON c.id = k.category_id)
-    SELECT id, batch_id, account_id, date::VARCHAR AS date, amount_cents, merchant, category_id FROM filed""",
+    COMMITTED + " SELECT id, batch_id, account_id, date::VARCHAR AS date, amount_cents, merchant, category_id FROM filed",
 )
 def stage_and_commit(led):
-    return bulk.commit(final(led), hashed_ledger(led), led.accounts, led.categories, led.merchant_memory).select(
-        "id", "batch_id", "account_id", "date", "amount_cents", "merchant", "category_id"
-    )
+    return committed(led)[1].select("id", "batch_id", "account_id", "date", "amount_cents", "merchant", "category_id")
 
 
 @query(
     "commit_stats",
-    STAGED
-    + """, added AS (SELECT batch_id, count(*) AS inserted FROM included GROUP BY 1)
-    SELECT f.batch_id, count(*) AS staged_rows, coalesce(max(a.inserted), 0) AS inserted, count(*) - coalesce(max(a.inserted), 0) AS skipped
-    FROM final f LEFT JOIN added a ON a.batch_id = f.batch_id GROUP BY 1""",
+    COMMITTED
+    + """, added AS (SELECT batch_id, count(*) AS n, count(category_id) AS filed FROM filed GROUP BY 1),
+    recorded AS (SELECT p.batch_id, count(*) AS n FROM statement_balances p LEFT JOIN snapshots s ON s.account_id = p.account_id AND s.date = p.date
+      WHERE s.balance_cents IS DISTINCT FROM p.balance_cents GROUP BY 1)
+    SELECT f.batch_id, count(*) AS staged_rows, coalesce(max(a.n), 0) AS inserted, count(*) - coalesce(max(a.n), 0) AS skipped,
+      coalesce(max(a.filed), 0) AS auto_categorized, coalesce(max(r.n), 0) AS balances_recorded
+    FROM final f JOIN batches b ON b.id = f.batch_id AND b.status = 'review'
+    LEFT JOIN added a ON a.batch_id = f.batch_id LEFT JOIN recorded r ON r.batch_id = f.batch_id GROUP BY 1""",
 )
 def commit_stats(led):
-    rows = final(led)
-    return bulk.commit_stats(rows, S.commit_rows(rows, hashed_ledger(led)))
+    rows, new = committed(led)
+    return bulk.commit_stats(rows, new, balance_replace_check(led.statement_balances, led.snapshots))
