@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import EDGE, documents, sentence
+from llm_data import EDGE, documents, sentence
 from pyspark.sql import functions as F
 
 from hearthbook.llm import components, decontaminate, jaccard_join, suffix_dedup

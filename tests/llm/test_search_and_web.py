@@ -5,7 +5,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import EDGE
+from llm_data import EDGE
 from pyspark.sql import functions as F
 
 import corpus_pipeline

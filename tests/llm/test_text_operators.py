@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from conftest import EDGE, LONG, documents
+from llm_data import EDGE, LONG, documents
 from pyspark.sql import functions as F
 
 from hearthbook.llm import bpe, langid, license_scan, toxicity
