@@ -6,12 +6,14 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +59,40 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+_TEMPORARY: list[list[str]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that ``written`` makes inside are removed at the end, but for those to
+    keep. What leaves the block must not read the others any more. On a file system
+    that pyarrow does not know they stay until the shared folder is emptied."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        for path in _TEMPORARY.pop():
+            try:
+                system, inner = store(path)
+                system.delete_dir(inner)
+            except (OSError, pa.ArrowInvalid, NotImplementedError):
+                continue
+
+
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder."""
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back. ``keep``:
+    the table outlives the innermost ``temporary`` block."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
+    blocks_ = _TEMPORARY[:-1] if keep else _TEMPORARY
+    if blocks_:
+        blocks_[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, map_batches, utf8, written
+from .common import LOWER, blocks, map_batches, temporary, utf8, written
 from .components import connected
 
 BLOCK_BYTES = 1 << 20
@@ -297,17 +297,64 @@ def _read_groups(groups: DataFrame, fn, schema: str) -> DataFrame:
     return map_batches(groups, run, schema)
 
 
-def _leaders(pairs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(node, leader, groups): the first node of a group leads the others."""
+LED = np.dtype([("node", "<i8"), ("leader", "<i8"), ("groups", "<i8")])
+
+
+def _summed(led: np.ndarray) -> np.ndarray:
+    """One entry per (node, leader), with the number of groups."""
+    led = led[np.lexsort((led["leader"], led["node"]))]
+    if not len(led):
+        return led
+    first = np.flatnonzero(np.concatenate([[True], (led["node"][1:] != led["node"][:-1]) | (led["leader"][1:] != led["leader"][:-1])]))
+    out = led[first]
+    out["groups"] = np.add.reduceat(led["groups"], first)
+    return out
+
+
+def _leaders(pairs: np.ndarray) -> np.ndarray:
+    """The first node of a group leads all of it."""
     first, size = _runs(pairs["key"])
     leader = np.repeat(pairs["node"][first], size)
-    both = np.rec.fromarrays([leader, pairs["node"]], dtype=PAIRS)[leader != pairs["node"]]
-    both = both[np.lexsort((both["node"], both["key"]))]
-    if not len(both):
-        return (np.zeros(0, np.int64),) * 3
-    start = np.flatnonzero(np.concatenate([[True], (both["key"][1:] != both["key"][:-1]) | (both["node"][1:] != both["node"][:-1])]))
-    count = np.diff(np.concatenate([start, [len(both)]]))
-    return both["node"][start], both["key"][start].view(np.int64), count
+    return _summed(np.rec.fromarrays([pairs["node"], leader, np.ones(len(pairs), np.int64)], dtype=LED))
+
+
+def _stars(groups: DataFrame, parts: int) -> DataFrame:
+    """(node, leader) for every node of a group: the leader it shares most groups
+    with, null for a node that only leads. Entries travel packed, by node."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("pairs"):
+                led = _leaders(np.frombuffer(raw.as_py(), PAIRS))
+                part = (mixed(led["node"].view(np.uint64) + A3) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                led, part = led[order], part[order]
+                first, size = _runs(part)
+                packed = [led[x : x + n].tobytes() for x, n in zip(first.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(packed, pa.binary())], names=["part", "led"])
+
+    def best(held: list[np.ndarray]) -> pa.RecordBatch:
+        led = _summed(np.concatenate(held))
+        shared = np.where(led["leader"] == led["node"], 0, led["groups"])
+        led, shared = (x[np.lexsort((led["leader"], shared, led["node"]))] for x in (led, shared))
+        last = np.flatnonzero(np.concatenate([led["node"][1:] != led["node"][:-1], [True]]))
+        led, shared = led[last], shared[last]
+        return pa.RecordBatch.from_arrays([pa.array(led["node"]), pa.array(led["leader"], mask=shared == 0)], names=["node", "leader"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now and held:
+                    yield best(held)
+                    held = []
+                now = part
+                held.append(np.frombuffer(raw.as_py(), LED))
+        if held:
+            yield best(held)
+
+    dealt = map_batches(groups, deal, "part bigint, led binary")
+    return map_batches(dealt.repartition("part").sortWithinPartitions("part"), gather, "node bigint, leader bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -463,9 +510,18 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     with its like. Repeated rows and equal sets link. A null doc_id is larger than any
     other. Other columns are left out, so none can clash; no rows give no rows."""
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    with temporary():
+        rows, named = _named(texts, width, percent)
+    out = rows.join(named, "node", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _named(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, node) of every row, and (node, component_id) of every node."""
     seed = 0
     while True:
-        rows = written(_nodes(texts, width, seed), "nodes")
+        rows = written(_nodes(texts, width, seed), "nodes", keep=True)
         nodes = rows.where("n > 0").groupBy("node").agg(
             F.min("id").alias("id"), F.max("n").alias("n"), F.min("check").alias("c"), F.max("check").alias("d")
         )
@@ -477,13 +533,11 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     buckets = max(8, int(total * 0.4) // BUCKET_ROWS + 1)
     groups = written(_groups(_packed_keys(texts, width, percent, seed, buckets)), "groups")
 
-    involved = _read_groups(groups, lambda p: [np.unique(p["node"])], "node bigint").distinct()
-    wanted = written(nodes.join(involved, "node").select("id", "node"), "involved")
+    stars = written(_stars(groups, buckets), "leaders")
+    wanted = written(nodes.join(stars, "node").select("id", "node"), "involved")
     sets = written(_gather_sets(texts, wanted, width, seed), "sets")
 
-    stars = _read_groups(groups, _leaders, "node bigint, leader bigint, groups bigint")
-    stars = stars.groupBy("node", "leader").agg(F.sum("groups").alias("groups"))
-    stars = stars.groupBy("node").agg(F.max(F.struct("groups", "leader")).alias("best")).select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
+    stars = stars.where("leader is not null").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     found = written(_verified(stars, sets, percent), "stars")
     part = written(connected(found, "a", "b"), "part")
 
@@ -500,10 +554,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     part = connected(every, "a", "b")
     least = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = least.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = least.join(names, "component").select("node", "component_id")
-    out = rows.join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows, written(least.join(names, "component").select("node", "component_id"), "named", keep=True)
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

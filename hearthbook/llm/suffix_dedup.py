@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8, written
+from .common import map_batches, temporary, utf8, written
 
 LEAST = 400
 HOT = 4096
@@ -354,7 +354,9 @@ def removed(size: int, places, least: int) -> np.ndarray:
 
 def _with_places(documents: DataFrame, doc_id: str, text: str, least: int, hot: int, few: int = FEW) -> DataFrame:
     """``documents`` with ``__places``. If few texts have any, only those are shuffled."""
-    places = written(find_repeats(documents, doc_id, text, least, hot), "places").withColumnsRenamed({"key": "__k", "places": "__places"})
+    with temporary():
+        places = written(find_repeats(documents, doc_id, text, least, hot), "places", keep=True)
+    places = places.withColumnsRenamed({"key": "__k", "places": "__places"})
     keyed = documents.withColumn("__key", text_key(F.col(text)))
     same = F.col("__key") == F.col("__k")
     if places.limit(few + 1).count() > few:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, written
+from .common import map_batches, ship, temporary, written
 
 PIVOTS = 48
 SAMPLE = 2048
@@ -178,8 +178,12 @@ def search(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
     Only vectors of equal dimension are compared. Repeated rows are rows of their own:
     a query leaves out itself, not its copies. Without other rows it has no result. A
     score that no long can hold is cut to the largest or smallest one."""
-    spark = vectors.sparkSession
-    ship(spark)
+    with temporary():
+        return written(_search(vectors, k, pivots), "found", keep=True)
+
+
+def _search(vectors: DataFrame, k: int, pivots: int) -> DataFrame:
+    ship(vectors.sparkSession)
     usable = vectors.select("id", F.coalesce("is_query", F.lit(False)).alias("is_query"), "vector").where("vector is not null")
     index, centres, largest = build_index(usable, pivots)
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shared_folder
+from .common import map_batches, shared_folder, store
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
@@ -45,13 +45,6 @@ INDEX = "record_id string, bundle string, frame int, offset bigint, length bigin
 RECORD = "record_id string, record_type string, refers_to string, target_uri string, payload_digest string, payload_bytes bigint"
 
 
-def store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder."""
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def _urn(key: str | None, copy: int) -> str:
     return f"<urn:page:{'' if key is None else quote(key, safe='')}:{copy}>"
 
