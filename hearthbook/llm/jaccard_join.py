@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,15 @@ def scheme(number: int, percent: int) -> Scheme:
     starts = band_starts(percent)
     largest = starts[number + 1] - 1
     differ = (100 - percent) * (largest + largest * 100 // percent) // (100 + percent)
-    spare = 1 + (differ + 1) // 50
+    # leave out so many segments that the smallest sets drop all those of less than two
+    # n-grams (Poisson), with some room
+    spare, most = 1, 1 + (differ + 1) // 2
+    while spare < most:
+        m = differ + 1 + spare
+        mean = starts[number] / m
+        if spare >= 1 + 1.2 * m * exp(-mean) * (1 + mean):
+            break
+        spare += 1
     return Scheme(number, differ, differ + 1 + spare, spare)
 
 
@@ -215,7 +224,9 @@ def _nodes(texts: DataFrame, width: int, seed: int) -> DataFrame:
     return map_batches(texts, run, f"id {kind}, n bigint, node bigint, check bigint")
 
 
-PAIRS = np.dtype([("key", "<u8"), ("node", "<i8")])
+KEYED = np.dtype([("key", "<u8"), ("node", "<i8")])
+#: What travels: within a bucket 32 bits of the key do; a clash is one more candidate.
+PAIRS = np.dtype([("key", "<u4"), ("node", "<i8")])
 
 
 def _unique(pairs: np.ndarray) -> np.ndarray:
@@ -239,7 +250,7 @@ def _packed_keys(texts: DataFrame, width: int, percent: int, seed: int, buckets:
             for _, sets in _sets(batch, width):
                 node = np.array([node_of(s, seed)[0] for s in sets], np.int64)
                 row, key = all_keys(sets, percent)
-                held.append(np.rec.fromarrays([key, node[row]], dtype=PAIRS))
+                held.append(np.rec.fromarrays([key, node[row]], dtype=KEYED))
                 if sum(len(h) for h in held) >= 2_000_000:
                     yield by_bucket(_unique(np.concatenate(held)))
                     held = []
@@ -251,8 +262,8 @@ def _packed_keys(texts: DataFrame, width: int, percent: int, seed: int, buckets:
         order = np.argsort(bucket, kind="stable")
         pairs, bucket = pairs[order], bucket[order]
         first, size = _runs(bucket)
-        raw = pairs.tobytes()
-        parts = [raw[16 * a : 16 * (a + s)] for a, s in zip(first.tolist(), size.tolist(), strict=True)]
+        raw, width_ = np.rec.fromarrays([pairs["key"] >> np.uint64(32), pairs["node"]], dtype=PAIRS).tobytes(), PAIRS.itemsize
+        parts = [raw[width_ * a : width_ * (a + s)] for a, s in zip(first.tolist(), size.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(parts, pa.binary())], names=["bucket", "pairs"])
 
     return map_batches(texts, run, "bucket bigint, pairs binary")
@@ -285,13 +296,13 @@ def _groups(packed: DataFrame) -> DataFrame:
 
 
 def _read_groups(groups: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` of the (sorted) pairs of each bucket gives columns."""
+    """``fn`` of the bucket and its (sorted) pairs gives columns."""
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("pairs"):
-                columns = fn(np.frombuffer(raw.as_py(), PAIRS))
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("pairs"), strict=True):
+                columns = fn(bucket, np.frombuffer(raw.as_py(), PAIRS))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return map_batches(groups, run, schema)
@@ -541,7 +552,7 @@ def _named(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     found = written(_verified(stars, sets, percent), "stars")
     part = written(connected(found, "a", "b"), "part")
 
-    members = _read_groups(groups, lambda p: [p["key"].view(np.int64), p["node"]], "key bigint, node bigint")
+    members = _read_groups(groups, lambda b, p: [p["key"].astype(np.int64) | b << 32, p["node"]], "key bigint, node bigint")
     members = members.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     # keys whose nodes are of one component have nothing left to find
     split = members.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
