@@ -97,10 +97,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
             own = np.sort(grams[a : b - width + 1])
             out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif b > a:
-            one = np.uint64(b - a)
+            one = np.array([b - a], np.uint64)
             for x in h[a:b]:
-                one = mixed(np.array([one * A3 + x], np.uint64))[0]
-            out.append(np.array([one], np.uint64))
+                one = mixed(one * A3 + x)
+            out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
