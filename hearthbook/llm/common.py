@@ -26,11 +26,16 @@ UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_ASCII = UPPER_ASCII.lower()
 
 
+ROWS = 1000
+
 _SHIPPED: WeakSet[SparkContext] = WeakSet()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once per application."""
+    """Hand this package to the Python workers, once per application, and texts in
+    batches of ROWS: a batch is held several times over, in Spark and in Python."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(ROWS):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     if spark.sparkContext not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         folder = Path(tempfile.mkdtemp(prefix="hearthbook-package-"))
@@ -152,14 +157,16 @@ def add_columns(
     kind = df.sparkSession.createDataFrame([], added).schema
     new = {f.name.lower() for f in kind.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    source = df.select(*[df[c] for c in kept], df[text].alias("__text"))
+    own = text in kept  # else it travels behind the kept columns
+    source = df.select(*[df[c] for c in kept], *([] if own else [df[text].alias("__text")]))
+    at = kept.index(text) if own else len(kept)
     schema = source.select(*kept).schema
     for field in kind.fields:
         schema = schema.add(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch.column(batch.num_columns - 1))
+            out = fn(batch.column(at))
             columns = [batch.column(i) for i in range(len(kept))]
             arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
             for field in kind.fields:
