@@ -25,8 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    own = docs.withColumn("__text", F.col("text"))
-    predicted = langid.predict(own, model, "__text", keep=docs.columns)
+    predicted = langid.predict(docs, model, keep=docs.columns)
     return predicted.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
@@ -51,9 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with token ids, their number, and the decoded text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    own = docs.withColumn("__text", F.col("text"))
-    encoded = bpe.encode_texts(own, path, public_tokenizers.PATTERN, "__text", keep=docs.columns)
-    decoded = bpe.decode_ids(encoded.withColumn("__ids", F.col("ids")), path, public_tokenizers.PATTERN, "__ids", keep=encoded.columns)
+    encoded = bpe.encode_texts(docs, path, public_tokenizers.PATTERN, keep=docs.columns)
+    decoded = bpe.decode_ids(encoded, path, public_tokenizers.PATTERN, keep=encoded.columns)
     return decoded.withColumn("decoded", F.decode("decoded", "UTF-8"))
 
 
