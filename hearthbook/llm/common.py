@@ -47,9 +47,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """``mapInArrow`` on workers that know this package."""
+    """``mapInArrow`` on workers that know this package. A worker lives on, so it gives
+    back what a partition took."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, blocks, map_batches, temporary, utf8, written
 from .components import connected
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+HELD_KEYS = 400_000
 BUCKET_ROWS = 500_000
 SMALL_GROUP = 24
 BLOCK_MEMBERS = 512
@@ -81,7 +82,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     edge[offsets] = True
     begins = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])))
     ends = np.flatnonzero(word & (edge[1:] | np.concatenate([~word[1:], [True]]))) + 1
-    up, down = _powers(1 << max(21, int(n).bit_length()))
+    up, down = _powers(1 << max(19, int(n).bit_length()))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUE[data] * up[:n], out=total[1:])
     h = mixed((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
@@ -251,7 +252,7 @@ def _packed_keys(texts: DataFrame, width: int, percent: int, seed: int, buckets:
                 node = np.array([node_of(s, seed)[0] for s in sets], np.int64)
                 row, key = all_keys(sets, percent)
                 held.append(np.rec.fromarrays([key, node[row]], dtype=KEYED))
-                if sum(len(h) for h in held) >= 2_000_000:
+                if sum(len(h) for h in held) >= HELD_KEYS:
                     yield by_bucket(_unique(np.concatenate(held)))
                     held = []
         if held:
