@@ -6,9 +6,13 @@ increasing subsequence of their places is kept, and the gaps between are aligned
 the same way. Coverage is the share of the template's words that matched.
 
 A text is a candidate for a template only if it holds enough of its words, counted
-with multiplicity, to reach the asked coverage, so nothing is missed. The stretches
-lie around every occurrence of the template word that is rarest in that text. Texts
-are scanned whole, where they lie; nothing is shuffled.
+with multiplicity, to reach the asked coverage. A copy with that coverage may lack m
+words, so of any m + 1 places of the template it matches one at least: the stretches
+lie around every occurrence of the words at the m + 1 places whose words are rarest in
+that text. A stretch with too few template words to reach the coverage is not aligned.
+Beside stretches already taken the search goes on with what lies between them. A copy
+may have half the template's length and four words inserted on either side of a seed.
+Texts are scanned whole, where they lie; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
 from math import ceil
 
 import pyarrow as pa
@@ -123,26 +129,55 @@ class Scanner:
         for i, w in enumerate(words):
             if w in present:
                 places[w].append(i)
-        found = []
-        for name, template, count in self.templates:
-            if sum(min(n, len(places.get(w, ()))) for w, n in count.items()) < self.coverage * len(template):
+        searches = []
+        for number, (_, template, count) in enumerate(self.templates):
+            need = max(1, ceil(self.coverage * len(template) - 1e-9))
+            if sum(min(n, len(places.get(w, ()))) for w, n in count.items()) < need:
                 continue
-            rarest = min((w for w in count if w in places), key=lambda w: (len(places[w]) / count[w], w))
-            at, slack = template.index(rarest), 4 + len(template) // 2
-            # with room for insertions, and without: there two copies on end keep apart
-            for p, room in ((p, room) for p in places[rarest] for room in (0, slack)):
-                first = max(0, p - at - room)
-                pairs = align(words[first : p + len(template) - at + room], template)
-                pairs = densest(pairs)
-                share = len(pairs) / len(template)
-                if share >= self.coverage:
-                    found.append((len(pairs), name, share, first + pairs[0][0], first + pairs[-1][0] + 1))
+            # any copy matches one of so many places, whichever words it lacks
+            seeds = sorted(range(len(template)), key=lambda j: (len(places.get(template[j], ())), j))[: len(template) - need + 1]
+            starts = sorted({p - j for j in seeds for p in places.get(template[j], ())})
+            total = [0, *accumulate(w in count for w in words)]
+            searches.append((number, need, starts, total))
         taken: list[tuple[str, float, int, int]] = []
-        for _, name, share, a, b in sorted(found, key=lambda f: (-f[0], f[3] - f[4], f[2], f[1])):
-            if all(b <= x or a >= y for _, _, x, y in taken):
-                taken.append((name, share, a, b))
+        free = [(0, len(words))]
+        while free:
+            found = [f for number, need, starts, total in searches for a, b in free for f in self._stretches(words, number, need, starts, total, a, b)]
+            new = []
+            for _, name, share, a, b in sorted(found, key=lambda f: (-f[0], f[3] - f[4], f[2], f[1])):
+                if all(b <= x or a >= y for _, _, x, y in new):
+                    new.append((name, share, a, b))
+            taken += new
+            # what is left of the parts that had a stretch
+            ends = sorted((a, b) for _, _, a, b in new)
+            rest = []
+            for x, y in free:
+                own = [(a, b) for a, b in ends if x <= a and b <= y]
+                if own:
+                    bounds = [x, *[e for pair in own for e in pair], y]
+                    rest += [(a, b) for a, b in zip(bounds[::2], bounds[1::2], strict=True) if a < b]
+            free = rest
         return sorted(taken, key=lambda t: t[2])
 
+    def _stretches(self, words: list[str], number: int, need: int, starts: list[int], total: list[int], low: int, high: int) -> Iterator[tuple[int, str, float, int, int]]:
+        """Stretches of words low..high that reach the coverage of a template, around
+        its assumed ``starts``: (matched words, name, share, first, after)."""
+        name, template, count = self.templates[number]
+        size = len(template)
+        slack = 4 + size // 2
+        # with room for insertions, and without: there two copies on end keep apart
+        for start in starts[bisect_left(starts, low - size) : bisect_left(starts, high)]:
+            for room in (0, slack):
+                first, after = max(low, start - room), min(high, start + size + room)
+                if after - first < need or total[after] - total[first] < need:
+                    continue
+                here = Counter(words[first:after])
+                if sum(min(n, here[w]) for w, n in count.items()) < need:
+                    continue
+                pairs = densest(align(words[first:after], template))
+                if len(pairs) >= need:
+                    yield len(pairs), name, len(pairs) / size, first + pairs[0][0], first + pairs[-1][0] + 1
+
 
 def densest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Drop matches at either end that lie further away in the text than the template

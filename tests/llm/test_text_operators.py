@@ -119,3 +119,23 @@ def test_licenses(spark, edge, empty):
     want = docs.where(F.expr(" or ".join(f"contains(text, '{x}')" for x in lines))).select("doc_id").collect()
     got = registered.QUERIES["op4_license_scan"](spark, "/root/testdata/sf0.01").where("n_spans > 0").select("doc_id").collect()
     assert sorted(want) == sorted(got)
+
+
+def test_edited_licenses(spark):
+    """An edited copy is found wherever the words it lacks stand, beside an intact one too."""
+    mit = license_scan.TEMPLATES["MIT"]
+    edited, other = mit.replace("The above", "The foregoing"), mit.replace("granted", "given").replace("subject", "liable")
+    rows = [
+        (1, f"{edited} {LONG} above a notice"), (2, f"{mit} {LONG} {edited}"), (3, f"{edited} {mit}"),
+        (4, f"{other} x y {edited} x {mit}"), (5, f"{mit} above {LONG} {other} granted a subject"),
+    ]
+    out = {r["doc_id"]: r for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert [out[i]["n_spans"] for i in range(1, 6)] == [1, 2, 2, 3, 2]
+    assert out[1]["spans"] == "MIT:0-87" and out[3]["spans"] == "MIT:0-87,MIT:87-174"
+    scanner, rng, size = license_scan.Scanner({"MIT": mit}, 0.8), random.Random(3), 87
+    words = license_scan.WORD.findall(mit.lower())
+    for _ in range(60):
+        copies = [[f"q{rng.randrange(10**6)}" if i in gone else w for i, w in enumerate(words)] for gone in (set(rng.sample(range(1, size - 1), rng.randint(0, 17))) for _ in range(3))]
+        around = [rng.choices([*words, "river", "stone"], k=3) + [f"z{i}" for i in range(200)] for _ in range(4)]
+        text = [*around[0], *(w for copy, more in zip(copies, around[1:], strict=True) for w in copy + more)]
+        assert len(scanner.spans(" ".join(text))) == 3
