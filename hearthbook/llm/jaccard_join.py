@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, blocks, map_batches, temporary, utf8, written
 from .components import connected
+from .suffix_dedup import text_key
 
 BLOCK_BYTES = 1 << 18
 HELD_KEYS = 400_000
@@ -206,7 +207,8 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndar
 
 
 def _nodes(texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """(id, n, node, check) of every row."""
+    """(id, n, node, check) of every row; a column ``key`` of the texts goes along."""
+    more = ["key"] if "key" in texts.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +219,12 @@ def _nodes(texts: DataFrame, width: int, seed: int) -> DataFrame:
                 node += [b[0] for b in both]
                 check += [b[1] for b in both]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())],
-                names=["id", "n", "node", "check"],
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), *map(batch.column, more)],
+                names=["id", "n", "node", "check", *more],
             )
 
     kind = dict(texts.dtypes)["id"]
-    return map_batches(texts, run, f"id {kind}, n bigint, node bigint, check bigint")
+    return map_batches(texts, run, f"id {kind}, n bigint, node bigint, check bigint" + (", key binary" if more else ""))
 
 
 KEYED = np.dtype([("key", "<u8"), ("node", "<i8")])
@@ -530,7 +532,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def _named(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, node) of every row, and (node, component_id) of every node."""
+    """(id, n, node) of every row, with ``key`` if the texts have one, and (node,
+    component, component_id) of every node."""
     seed = 0
     while True:
         rows = written(_nodes(texts, width, seed), "nodes", keep=True)
@@ -541,6 +544,7 @@ def _named(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         if nodes.where("c <> d").isEmpty():
             break
         seed += 1  # two sets with one 64-bit hash: take another hash
+    texts = texts.select("id", "text")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(8, int(total * 0.4) // BUCKET_ROWS + 1)
     groups = written(_groups(_packed_keys(texts, width, percent, seed, buckets)), "groups")
@@ -566,13 +570,31 @@ def _named(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     part = connected(every, "a", "b")
     least = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = least.groupBy("component").agg(F.min("id").alias("component_id"))
-    return rows, written(least.join(names, "component").select("node", "component_id"), "named", keep=True)
+    return rows, written(least.join(names, "component").select("node", "component", "component_id"), "named", keep=True)
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents`` that stay when one of each group of near duplicates
-    does, the one with the smallest doc_id; texts without words stay. Of repeated
-    rows with that doc_id all stay, as nothing tells them apart."""
-    ids = near_duplicates(documents, doc_id, text, width, percent)
-    gone = ids.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents[doc_id] == F.col("__gone"), "left_anti")
+    does: the one with the smallest doc_id, a null one last; of several with that
+    doc_id the one whose text's key is smallest, and any one of rows equal in both.
+    Texts without words are in no group and stay."""
+    key = text_key(F.col(text).cast("string"))
+    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), key.alias("key"))
+    with temporary():
+        rows, named = _named(texts, width, percent)
+    copies = rows.where("n > 0").groupBy("id", "key", "node").agg(F.count("*").alias("copies"))
+    copies = copies.join(named.select("node", "component"), "node")
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("key"))
+    first = copies.groupBy("component").agg(F.min(order).alias("first"))
+    stays = order.eqNullSafe(F.col("first"))
+    fate = copies.join(first, "component").select(F.col("id").alias("__id"), F.col("key").alias("__of"), "copies", stays.alias("stays"))
+    # rows that are alone in their group, or come first in it and only once, are not named
+    fate = written(fate.where("not stays or copies > 1"), "fate")
+
+    keyed = documents.withColumn("__key", key)
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))
+    out = keyed.join(fate, same, "left_anti")
+    repeated = fate.where("stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__key"]))
+    return out.select(*documents.columns)

@@ -70,6 +70,24 @@ def test_near_duplicate_edges(spark, edge, empty):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 7, 10, 12, 13]
 
 
+def test_one_of_each_group_stays(spark):
+    """Repeated rows and null ids too, and what stays outlives the cut of repeats."""
+    long, near, alone = sentence(21, 200), sentence(22, 200), sentence(23, 200)
+    rows = [(5, long)] * 40 + [(None, long)] * 3 + [(None, near)] * 2 + [(None, near + " more"), (3, alone), (None, alone)]
+    rows += [(8, sentence(24, 90)), (8, sentence(25, 90)), (8, sentence(24, 90)), (9, sentence(25, 90) + " end")]
+    rows += [(11, "!!! ..."), (11, "   "), (12, "   ")]
+    frame = documents(spark, rows).repartition(3)
+    kept = jaccard_join.keep_one(frame)
+    assert kept.columns == frame.columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    first = [t for i, t in got if not i]
+    assert len(first) == 1 and first[0] in (near, near + " more")
+    want = [(3, alone), (5, long), (8, sentence(24, 90)), (8, sentence(25, 90)), (11, "!!! ..."), (11, "   "), (12, "   ")]
+    assert got[1:] == sorted(want)
+    cut = suffix_dedup.cut_repeats(kept, least=256).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in cut) == got
+
+
 def test_keys_of_linked_sets_meet():
     """The pigeonhole with left-out segments, on pairs at the threshold."""
     rng = np.random.default_rng(2)
