@@ -21,7 +21,9 @@ strings first have to meet:
    corpus shares) is not gathered: its windows go round again with a longer anchor,
    at last as long as the window, where a context is its anchor.
 
-Every step is exact for all inputs; the text is shuffled once for the contexts of
+Strings of equal words are found in the same way: a text becomes eight bytes a word.
+
+Every step is exact for all inputs, words by 64-bit hashes; the text is shuffled once for the contexts of
 step 3 and once for the result, and all that lies between is narrow.
 """
 
@@ -30,13 +32,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b, sha256
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, temporary, utf8, written
+from .common import blocks, map_batches, temporary, utf8, written
 
 LEAST = 400
 HOT = 4096
@@ -44,6 +47,10 @@ FEW = 500_000  # keys of 16 bytes that may be broadcast
 CHUNK_BYTES = 1 << 20
 PIECE_BYTES = 1 << 19
 PLACE_BITS = 23
+WORD_BYTES = 8
+
+BLANK = np.zeros(256, bool)
+BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 OCCURRENCE = "anchor bigint, context binary, key binary, doc string, first bigint, last bigint, weight bigint"
 
@@ -303,12 +310,57 @@ def _bodies(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return map_batches(joined.select("key", "doc", "body", "places"), run, place)
 
 
-def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the rows begin and end; words stand between ASCII blanks."""
+    word = ~BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])[: len(data)]))
+    ends = np.flatnonzero(word & (edge[1:] | np.concatenate([~word[1:], [True]])[: len(data)])) + 1
+    return begins, ends
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and the n + 1 places where the rows' words begin."""
+    begins, ends = word_bounds(data, offsets)
+    size = ends - begins
+    first = np.concatenate([[0], np.cumsum(size)])
+    inside = np.arange(first[-1]) - np.repeat(first[:-1], size)  # place in the own word
+    up = np.full(max(1, int(size.max(initial=0))), 0x9E3779B97F4A7C15, np.uint64)
+    up[0] = 1
+    np.multiply.accumulate(up, out=up)
+    value = _powers()[2][data[np.repeat(begins, size) + inside]] * up[inside]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    code = total[first[1:]] - total[first[:-1]] + size.astype(np.uint64)
+    code = (code ^ (code >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return code ^ (code >> np.uint64(29)), np.searchsorted(begins, offsets)
+
+
+def _in_words(texts: DataFrame) -> DataFrame:
+    """``texts`` (key, doc, body) with the codes of the words as their bodies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("body"))
+            for a, b in blocks(offsets, PIECE_BYTES):
+                codes, at = word_codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                raw = codes.astype("<u8").tobytes()
+                bodies = [raw[x * WORD_BYTES : y * WORD_BYTES] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("doc"), pa.array(bodies, pa.binary())], names=["key", "doc", "body"])
+
+    return map_batches(texts, run, "key binary, doc string, body binary")
+
+
+def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT, in_words: bool = False) -> DataFrame:
     """(key, places): for every distinct text with repeated bytes the ranges
     (first, last) of window starts that are repeated; the bytes from ``first`` up to
-    ``last + least`` go. ``key`` is ``text_key`` of the text."""
+    ``last + least`` go. ``key`` is ``text_key`` of the text. ``in_words``: places and
+    ``least`` are bytes of the text's words, WORD_BYTES each."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = documents.select(text_key(F.col(text)).alias("key"), F.col(doc_id).cast("string").alias("doc"), body.alias("body"))
+    if in_words:
+        texts = _in_words(texts)
     long_enough = texts.where(F.octet_length("body") >= least)
     zero = F.lit(0).cast("long")
     now = long_enough.select("key", "doc", zero.alias("base"), F.lit(1).cast("long").alias("weight"), zero.alias("group"), "body")
@@ -352,11 +404,18 @@ def removed(size: int, places, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _with_places(documents: DataFrame, doc_id: str, text: str, least: int, hot: int, few: int = FEW) -> DataFrame:
-    """``documents`` with ``__places``. If few texts have any, only those are shuffled."""
+def _with_places(documents: DataFrame, doc_id: str, text: str, least: int, hot: int, few: int = FEW, words: int = 0) -> DataFrame:
+    """``documents`` with ``__places``, and ``__words`` if strings of ``words`` words are
+    asked. If few texts have any, only those are shuffled."""
     with temporary():
         places = written(find_repeats(documents, doc_id, text, least, hot), "places", keep=True)
+    added = ["__places"]
     places = places.withColumnsRenamed({"key": "__k", "places": "__places"})
+    if words:
+        with temporary():
+            more = written(find_repeats(documents, doc_id, text, words * WORD_BYTES, hot, in_words=True), "word-places", keep=True)
+        added.append("__words")
+        places = written(places.join(more.withColumnsRenamed({"key": "__k", "places": "__words"}), "__k", "full"), "all-places")
     keyed = documents.withColumn("__key", text_key(F.col(text)))
     same = F.col("__key") == F.col("__k")
     if places.limit(few + 1).count() > few:
@@ -365,18 +424,39 @@ def _with_places(documents: DataFrame, doc_id: str, text: str, least: int, hot:
     one = F.col("__key") == F.col("__m")
     hit = keyed.join(marked, one, "left_semi").hint("merge").join(places, same).drop("__key", "__k")
     rest = keyed.join(marked, one, "left_anti").drop("__key")
-    return hit.unionByName(rest.withColumn("__places", F.lit(None).cast(dict(places.dtypes)["__places"])))
+    return hit.unionByName(rest.withColumns({c: F.lit(None).cast(dict(places.dtypes)[c]) for c in added}))
 
 
-def _masks(batch: pa.RecordBatch, least: int) -> Iterator[tuple[bytes, np.ndarray]]:
-    data, offsets = utf8(batch.column("__text"))
-    places = batch.column("__places")
-    values = places.values
-    first, last = values.field("first").to_numpy(), values.field("last").to_numpy()
+def _ranges(places: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The (first, last) of every row; a null has none."""
+    first, last = places.values.field("first").to_numpy(), places.values.field("last").to_numpy()
     bounds = places.offsets.to_numpy()
-    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+    for i in range(len(places)):
         x, y = (bounds[i], bounds[i + 1]) if places[i].is_valid else (0, 0)
-        yield data[a:b], removed(b - a, (first[x:y], last[x:y]), least)
+        yield first[x:y], last[x:y]
+
+
+def removed_words(data: np.ndarray, places, words: int) -> np.ndarray:
+    """Which bytes lie in repeated strings of ``words`` words, blanks between included."""
+    begins, ends = word_bounds(data, np.array([0, len(data)]))
+    first, last = -(-places[0] // WORD_BYTES), places[1] // WORD_BYTES  # whole words
+    whole = first <= last
+    gone = removed(len(begins), (first[whole], last[whole]), words)
+    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    change = np.zeros(len(data) + 1, np.int8)
+    change[begins[np.flatnonzero(edge == 1)]] = 1
+    change[ends[np.flatnonzero(edge == -1) - 1]] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def _masks(batch: pa.RecordBatch, least: int, words: int = 0) -> Iterator[tuple[bytes, np.ndarray]]:
+    data, offsets = utf8(batch.column("__text"))
+    in_words = _ranges(batch.column("__words")) if words else repeat(None)
+    for a, b, places, more in zip(offsets[:-1], offsets[1:], _ranges(batch.column("__places")), in_words, strict=False):
+        gone = removed(b - a, places, least)
+        if more is not None and len(more[0]):
+            gone |= removed_words(data[a:b], more, words)
+        yield data[a:b], gone
 
 
 def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
@@ -406,18 +486,20 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     return map_batches(joined.select("doc_id", "__text", "__places"), run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def cut_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
+def cut_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT, words: int = 0) -> DataFrame:
     """All rows and columns, with the repeated bytes cut out of the text. A character
     of which any byte stays is kept whole, so the text remains UTF-8; a null text
-    stays null."""
+    stays null. ``words``: strings of so many equal words that also start elsewhere are
+    cut as well, however few their bytes and whatever blanks are between."""
     names, at = documents.columns, documents.columns.index(text)
     own = documents.withColumn("__text", F.col(text))
-    joined = _with_places(own, doc_id, "__text", least, hot).select(*names, "__text", "__places")
+    added = ["__places", "__words"] if words else ["__places"]
+    joined = _with_places(own, doc_id, "__text", least, hot, words=words).select(*names, "__text", *added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = []
-            for i, (data, gone) in enumerate(_masks(batch, least)):
+            for i, (data, gone) in enumerate(_masks(batch, least, words)):
                 if not batch.column(at)[i].is_valid:
                     new.append(None)
                     continue

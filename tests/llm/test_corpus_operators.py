@@ -186,6 +186,33 @@ def test_a_text_longer_than_a_piece(spark, monkeypatch):
     assert found == [(p, h) for f, l, h in zip(*whole[1:], strict=True) for p in range(f, l + 1)]
 
 
+def test_repeated_strings_of_words(spark):
+    """51 short words go though they are few bytes, 50 stay; against brute force."""
+    rng = random.Random(4)
+    word = lambda n: ["".join(rng.choice("abéd") for _ in range(rng.randint(1, 3))) for _ in range(n)]
+    passage, fifty, texts = word(51), word(50), []
+    for i in range(6):
+        own = [f"{w}{i}x{j}" for j, w in enumerate(word(60))]
+        texts.append(own[:20] + (passage if i < 2 else fifty if i < 4 else word(9)) + own[20:])
+    texts[5] += passage[:30] + ["and"] + passage[30:] + word(100)
+    texts += [["no"] * 51, ["on"] * 52, []]
+    assert len(" ".join(passage).encode()) < 256
+    at = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    rows, want = [], []
+    for i, t in enumerate(texts):
+        rows.append((i, ("  \n" if i == 1 else " ").join(t)))
+        gone = {j for s in range(len(t) - 50) if at[tuple(t[s : s + 51])] > 1 for j in range(s, s + 51)}
+        want.append([w for j, w in enumerate(t) if j not in gone])
+    for hot in (suffix_dedup.HOT, 1):
+        out = suffix_dedup.cut_repeats(documents(spark, rows).repartition(2), least=10_000, hot=hot, words=51)
+        assert [t.split() for _, t in sorted((r["doc_id"], r["text"]) for r in out.collect())] == want
+    assert len(want[0]) == 60 and len(want[2]) == 110 and want[6] == texts[6] and not want[7]
+    import corpus_pipeline
+
+    docs = documents(spark, rows[:6]).select("doc_id", "text", "n_chars")
+    assert min(len(r["text"].split()) for r in corpus_pipeline.repeats(spark, docs, "").where("doc_id < 2").collect()) == 60
+
+
 def windows_brute(docs, items, size=10):
     import re
 
