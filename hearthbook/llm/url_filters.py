@@ -44,9 +44,9 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): the page's url and what it redirects or canonically links to. Only
+    """(src, dst): the page's url and all it redirects or canonically links to. Only
     absolute targets name a url; others and links to itself are no edges."""
-    targets = F.array(F.regexp_extract(F.col(html), CANONICAL, 1), F.regexp_extract(F.col(html), REFRESH, 1))
+    targets = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1)) for pattern in (CANONICAL, REFRESH)])
     marked = F.col(html).rlike("(?i)canonical|http-equiv")  # most pages stop here
     found = pages.where(F.col(url).isNotNull() & marked).select(F.col(url).alias("src"), F.explode(targets).alias("dst"))
     return found.where((F.instr("dst", "://") > 0) & (F.col("src") != F.col("dst"))).distinct()

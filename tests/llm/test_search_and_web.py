@@ -132,6 +132,22 @@ def test_url_aliases(spark):
     assert url_filters.judge(other, registered.URL_RULES, extra).first()["verdict"] == "block"
 
 
+def test_all_links_of_a_page_are_aliases(spark):
+    link = '<link rel="canonical" href="{}">'
+    fresh = ("<META content='3; URL={}' HTTP-EQUIV=refresh>", '<meta http-equiv="refresh" content="0;url={}">')
+    a, b = "http://b.net/fr/1", "http://o.org/2"
+    pages = [
+        (1, "http://x.org/1", link.format("/relative") + link.format(b) + link.format(a)),
+        (2, "http://x.org/2", fresh[0].format("/relative") + fresh[1].format("http://o.org/3") + fresh[0].format(a)),
+        (3, b, ""), (4, "http://o.org/3", None), (5, "http://x.org/5", link.format("/relative") + fresh[1].format(a)),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    edges = {tuple(r) for r in url_filters.alias_edges(frame).collect()}
+    assert edges == {(pages[0][1], a), (pages[0][1], b), (pages[1][1], a), (pages[1][1], "http://o.org/3"), (pages[4][1], a)}
+    out = url_filters.judge(frame, registered.URL_RULES).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == dict.fromkeys(range(1, 6), "block")
+
+
 def test_pipeline(spark, tmp_path):
     """Planted cases go; clean documents stay whole."""
     base = spark.read.parquet(f"{SF}/documents.parquet")
