@@ -21,6 +21,7 @@ REPEATED_WORDS = 51
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and null texts, go: they have no language (``und``).
+    Which other language the model predicts, and its score, decide nothing here.
     The model learns from the stage's own labelled rows that are not held out. A table
     without labelled rows has no languages to learn; then all with a letter stay."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
