@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, langid, license_scan, suffix_dedup, topk, toxicity, url_filters, warc
+from . import bpe, decontaminate, jaccard_join, langid, license_scan, quality, suffix_dedup, topk, toxicity, url_filters, warc
 from .common import join_small, text_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op13_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = text_remainder(F.col("doc_id"), 3) == 1
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(F.col("quality").isNotNull() & ~held)
+    model = quality.fit(join_small(documents.where(~held), labels, ["doc_id"]))
+    scored = quality.score_texts(documents, model, keep=["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
