@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, langid, license_scan, quality, suffix_dedup, topk, toxicity, url_filters, warc
+from . import bpe, decontaminate, jaccard_join, langid, license_scan, merkle, quality, suffix_dedup, topk, toxicity, url_filters, warc
 from .common import join_small, text_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ URL_RULES = [
 ]
 
 
+#: crc32 of the text ``k``, unsigned, in DuckDB: eight shifts per byte.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+        regexp_extract_all(k, '.', 0, 's'), lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: xor(xor(c, greatest(x, 0)) >> 1, (xor(c, greatest(x, 0)) & 1) * 3988292384)), 4294967295)"""
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -239,3 +245,61 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(join_small(documents.where(~held), labels, ["doc_id"]))
     scored = quality.score_texts(documents, model, keep=["doc_id"])
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def _sql_field(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::varchar)) || ':' || {column}::varchar, '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(_sql_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: Siblings before and behind a node ``p`` of its run in the tree ``t`` at level ``l``.
+_SQL_SIDES = """
+      select t, l, p, coalesce(string_agg(d, '') over (run rows between unbounded preceding and 1 preceding), '') as a,
+             coalesce(string_agg(d, '') over (run rows between 1 following and unbounded following), '') as b
+      from {nodes} where n > 1 window run as (partition by t, l, p // 3 order by p)"""
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    with recursive docs as (
+      select row_number() over () as row, doc_id, coalesce('=' || source, '') as t, {_sql_leaf("text")} as leaf,
+             case when ({CRC32_SQL}) % 2 = 0 then {_sql_leaf("replace(text, chr(10), '')")} end as other
+      from (select *, doc_id::varchar as k from documents)
+    ), placed as (
+      select *, row_number() over (partition by t order by doc_id nulls first, leaf) - 1 as p, count(*) over (partition by t) as n from docs
+    ), nodes(t, l, p, n, d) as (
+      select t, 0, p, n, leaf from placed
+      union all
+      select t, l + 1, p // 3, (n + 2) // 3, sha256(string_agg(d, '' order by p)) from nodes where n > 1 group by t, l, p // 3, n
+    ), sides as ({_SQL_SIDES.format(nodes="nodes")}
+    ), subroots as (
+      select t as g, d, row_number() over (order by t) - 1 as p, count(*) over () as n from nodes where n = 1
+    ), tops(t, l, p, n, d) as (
+      select '', 0, p, n, d from subroots
+      union all
+      select t, l + 1, p // 3, (n + 2) // 3, sha256(string_agg(d, '' order by p)) from tops where n > 1 group by t, l, p // 3, n
+    ), top_sides as ({_SQL_SIDES.format(nodes="tops")}
+    ), up(row, t, l, p, n, proof, folded) as (
+      select row, t, 0, p, n, '', coalesce(other, leaf) from placed
+      union all
+      select row, t, l + 1, p // 3, (n + 2) // 3, proof || a || b, sha256(a || folded || b) from up join sides using (t, l, p) where n > 1
+    ), above(row, t, l, p, n, proof, folded) as (
+      select row, '', 0, s.p, s.n, proof, folded from up join subroots s on s.g = up.t where up.n = 1
+      union all
+      select row, t, l + 1, p // 3, (n + 2) // 3, proof || a || b, sha256(a || folded || b) from above join top_sides using (t, l, p) where n > 1
+    )
+    select doc_id, leaf, s.d as subroot, r.d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = r.d as verified
+    from above join docs using (row) join subroots s on s.g = docs.t cross join (select d from tops where n = 1) r where above.n = 1
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    parts = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    damaged = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    other = F.when(damaged, merkle.leaf(*parts, F.translate("text", "\n", "")))
+    found = merkle.manifest(documents, "source", "doc_id", merkle.leaf(*parts, F.col("text")), carry=other)
+    return merkle.audited(found, "doc_id")
