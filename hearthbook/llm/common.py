@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkContext, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII upper case to lower case; every other byte stays.
@@ -115,6 +115,50 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int = 1_0
     return left.join(F.broadcast(right) if few else right.hint("merge"), on)
 
 
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, the place in the group by ``order`` from 0, and ``n``, the
+    size of the group (text, not null); a written table. A range sort numbers the rows
+    of each partition, and the totals, one row per group and partition, shift them. Rows
+    that agree in group and order lie in one partition and follow in any order."""
+    ordered = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    schema = ordered.select("*", F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq")).schema
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, count = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            g = batch.column(batch.schema.get_field_index(group))
+            if not len(g):
+                continue
+            new = np.ones(len(g), bool)
+            new[0] = g[0].as_py() != last
+            new[1:] = pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)
+            at = np.arange(len(g))
+            seq = at - np.maximum.accumulate(np.where(new, at, -count))
+            last, count = g[len(g) - 1].as_py(), int(seq[-1]) + 1
+            columns = [*batch.columns, pa.array(np.full(len(g), part, np.int32)), pa.array(seq)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "seq"])
+
+    table = written(map_batches(ordered, number, schema), "numbered")
+    own = Window.partitionBy(group)
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = table.groupBy(group, "part").agg(F.count("*").alias("m")).select(
+        group, "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(own).alias("n")
+    )
+    return table.join(totals, [group, "part"]).withColumn("pos", F.col("seq") + F.col("before")).drop("part", "seq", "before")
+
+
+def group_key(value: Column) -> Column:
+    """Any value as text that is not null; sorted, null comes first, then bytewise."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def field(value: Column) -> Column:
+    """A value as text that cannot run into the next one: byte count, colon, value; a
+    dash for null."""
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER_ASCII, LOWER_ASCII)
 

@@ -24,14 +24,11 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, temporary, written
+from .common import field, group_key, map_batches, numbered, temporary, written
 
 ARITY = 3
 LEVELS = 8
@@ -39,13 +36,6 @@ LEVELS = 8
 EMPTY = hashlib.sha256(b"").digest()
 
 
-def field(value: Column) -> Column:
-    """A value as text that cannot run into the next one: byte count, colon, value; a
-    dash for null."""
-    text = value.cast("string")
-    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
-
-
 def leaf(*values: Column) -> Column:
     """Digest of a row, 32 bytes."""
     return F.unhex(F.sha2(F.concat(*[field(v) for v in values]), 256))
@@ -125,39 +115,6 @@ def proof_hash(witness: bytes) -> str:
     return hashlib.sha256("".join(d.hex() for a, b in steps(witness) for d in (*a, *b)).encode()).hexdigest()
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` (g, k, digest, ...) with pos, the place in g by (k, digest) from 0, and
-    n, the size of g. A range sort numbers rows within partitions; the totals, one row
-    per group and partition, shift them."""
-    rows = rows.withColumn("copy", F.monotonically_increasing_id())
-    ordered = rows.repartitionByRange("g", "k", "digest", "copy").sortWithinPartitions("g", "k", "digest", "copy").drop("copy")
-    schema = ordered.select("*", F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq")).schema
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, count = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            g = batch.column(batch.schema.get_field_index("g"))
-            if not len(g):
-                continue
-            new = np.ones(len(g), bool)
-            new[0] = g[0].as_py() != last
-            new[1:] = pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)
-            at = np.arange(len(g))
-            start = np.maximum.accumulate(np.where(new, at, -count))
-            seq = at - start
-            last, count = g[len(g) - 1].as_py(), int(seq[-1]) + 1
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(len(g), part, np.int32)), pa.array(seq)], names=[*batch.schema.names, "part", "seq"]
-            )
-
-    table = written(map_batches(ordered, number, schema), "leaves")
-    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = table.groupBy("g", "part").agg(F.count("*").alias("m")).select(
-        "g", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("g")).alias("n")
-    )
-    return table.join(totals, ["g", "part"]).withColumn("pos", F.col("seq") + F.col("before")).drop("part", "seq", "before")
-
-
 @dataclass
 class _Block:
     """Reads sorted rows of blocks and hands over one block after the other."""
@@ -264,17 +221,17 @@ def manifest(
     one row has that leaf as subroot; a single group's subroot is the root. An empty
     table gives no rows. Names of other columns play no part."""
     size = arity**levels
-    g = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+    g = group_key(F.col(group))
     carried = F.lit(None).cast("binary") if carry is None else carry
     rows = df.select(g.alias("g"), F.col(key).alias("k"), digest.alias("digest"), carried.alias("carried"))
     with temporary():
-        leaves = _numbered(rows)
+        leaves = numbered(rows.withColumn("copy", F.monotonically_increasing_id()), "g", ["k", "digest", "copy"]).drop("copy")
         own = _rounds(leaves, arity, size)
         done = [t.where("n = 1").select("g", "digest") for t in own[1:]]
         subroots = done[0]
         for t in done[1:]:
             subroots = subroots.unionByName(t)
-        tops = _numbered(subroots.select(F.lit("").alias("g"), F.col("g").alias("k"), "digest"))
+        tops = numbered(subroots.select(F.lit("").alias("g"), F.col("g").alias("k"), "digest"), "g", ["k"])
         above = _rounds(tops, arity, size)
         root = above[-1].where("n = 1").select("digest").first()
         root = F.lit(bytes(root[0]) if root else EMPTY)

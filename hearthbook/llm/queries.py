@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, langid, license_scan, merkle, quality, suffix_dedup, topk, toxicity, url_filters, warc
-from .common import join_small, text_remainder
+from . import bpe, decontaminate, jaccard_join, langid, license_scan, merkle, quality, suffix_dedup, topk, toxicity, turns, url_filters, warc
+from .common import group_key, join_small, text_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -303,3 +303,84 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(damaged, merkle.leaf(*parts, F.translate("text", "\n", "")))
     found = merkle.manifest(documents, "source", "doc_id", merkle.leaf(*parts, F.col("text")), carry=other)
     return merkle.audited(found, "doc_id")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The damage that op12 repairs, by a hash of conversation and turn."""
+    key = F.concat(*[F.coalesce(x, F.lit(" ")) for x in (F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))])
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(key) % 20).alias("fault")
+    )
+    fault = F.col("fault")
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1)))
+    role = F.when(fault == 4, "user").otherwise(F.col("role"))
+    return rows.where(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy"))
+
+
+@query(
+    "op12_conversation_repair",
+    f"""
+    with recursive keyed as (
+      select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+             coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k
+      from conversations
+    ), convs as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)
+    ), hashed as (select c, turn, role, text, {CRC32_SQL} % 20 as fault from keyed join convs on keyed.conv_id is not distinct from convs.conv_id
+    ), damaged as (
+      select c, turn, case when fault = 4 then 'user' else role end as role,
+             case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+      from hashed, (values (1), (2)) copies(copy) where fault <> 0 and (copy = 1 or fault = 3)
+    ), ordered as (
+      select *, row_number() over (partition by c order by turn nulls first, role, sha256(text)) as i,
+             not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank, not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') as cut
+      from damaged
+    ), faults as (
+      select c, turn, role, text, i, left(role, 1) as initial,
+             case when blank then 'blank' when row_number() over (partition by c, role, text order by i) > 1 then 'duplicate'
+                  when cut then 'truncated' else '' end as fault,
+             lag(left(role, 1)) over (partition by c order by i) || left(role, 1) not in ('su', 'ua', 'au') as illegal
+      from ordered
+    ), counted as (
+      select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) as n,
+             count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+             count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where illegal) as illegal
+      from faults group by c
+    ), inserts(t, j, u, o) as (values
+      (0, 0, 0, []::varchar[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']),
+      (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+      (2, 0, 2, []), (2, 1, 3, ['assistant:']), (3, 0, 3, []), (3, 1, 2, ['user:'])
+    ), moves(t, op, initial, u, price) as (values
+      (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0),
+      (0, 'R', null, 2, 2), (1, 'R', null, 2, 2), (3, 'R', null, 2, 2), (2, 'R', null, 3, 2),
+      (0, 'D', null, 0, 3), (1, 'D', null, 1, 3), (2, 'D', null, 2, 3), (3, 'D', null, 3, 3)
+    ), best(c, i, t, cost, audit, turns) as (
+      select c, 0::bigint, s.u, (2 * j)::bigint, repeat('I', j), s.o from counted, inserts s where s.t = 0
+      union all
+      select c, i, u, cost, audit, turns from (
+        select b.c, f.i, s.u, b.cost + m.price + 2 * s.j + case when m.op <> 'D' and f.fault = 'truncated' then 1 else 0 end as cost,
+               b.audit || m.op || repeat('I', s.j) as audit,
+               b.turns || case m.op when 'D' then [] when 'K' then [f.role || ':' || f.text]
+                 else [case m.u when 2 then 'user:' else 'assistant:' end || f.text] end || s.o as turns
+        from best b join faults f on f.c = b.c and f.i = b.i + 1
+        join moves m on m.t = b.t and (m.initial is null or m.initial = f.initial) and (m.op = 'D' or f.fault not in ('blank', 'duplicate'))
+        join inserts s on s.t = m.u
+      ) qualify row_number() over (partition by c, u order by cost, audit) = 1
+    ), ended as (
+      select c, cost, audit, turns from best join counted using (c) where i = n and t in (0, 3)
+      qualify row_number() over (partition by c order by cost, audit) = 1
+    )
+    select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+           coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit,
+           sha256(coalesce(array_to_string(turns, chr(10)), '')) as repaired_sha256
+    from convs left join counted using (c) left join ended using (c)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    repaired, account = turns.repair(damaged(conversations))
+    every = conversations.select("conv_id").distinct().select("conv_id", group_key(F.col("conv_id")).alias("c"))
+    out = every.join(account.drop("conv_id"), "c", "left").join(turns.digests(repaired), "c", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in turns.ACCOUNT[:-1]]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256")
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
