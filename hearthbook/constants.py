@@ -91,7 +91,3 @@ STATEMENT_MATCH_WINDOW_DAYS = 5
 ORDER_MATCH_WINDOW_DAYS = 10
 REGISTER_PAGE_SIZE = 50
 TOP_CATEGORIES_SHOWN = 8
-
-# Rows of one (group, block) that a ranking task sorts at most; ids are unique,
-# so a block of this id width can never hold more rows than this.
-RANK_BLOCK = 1 << 20

@@ -26,17 +26,20 @@ def one_to_one(
 
     ``offsets`` lists the allowed ``left.day - right.day`` in order of
     preference and must cover a whole range. Each round pairs all it can at one
-    offset, lowest ids first. Returns left_id, right_id, days (the offset) and
-    how many partners each side had before anything was taken."""
+    offset, lowest ids first. Returns the keys, left_id, right_id, days (the offset)
+    and how many partners each side had before anything was taken."""
     keys = list(keys)
     lo, hi = min(offsets), max(offsets)
     if sorted(offsets) != list(range(lo, hi + 1)):
         raise ValueError("offsets must cover a whole range of days")
 
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    # both are written out, so nothing before them is done again
+    ranked_left = positions(left.select(*keys, "day", "left_id"), [*keys, "day"], "left_id", name="l_pos")
+    ranked_right = positions(right.select(*keys, "day", "right_id"), [*keys, "day"], "right_id", name="r_pos")
     days = (
-        left.select(*keys, "day", one.alias("l"), zero.alias("r"))
-        .unionByName(right.select(*keys, "day", zero.alias("l"), one.alias("r")))
+        ranked_left.select(*keys, "day", one.alias("l"), zero.alias("r"))
+        .unionByName(ranked_right.select(*keys, "day", zero.alias("l"), one.alias("r")))
         .groupBy(*keys, "day")
         .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     )
@@ -102,10 +105,6 @@ def one_to_one(
         .select(*keys, "day", "left_choices", "f.*")
     )
 
-    ranked_left = positions(left.select(*keys, "day", "left_id"), [*keys, "day"], "left_id", name="l_pos")
-    ranked_right = positions(
-        right.select(*keys, "day", "right_id"), [*keys, "day"], "right_id", name="r_pos"
-    )
     placed = (
         ranked_left.join(flows, [*keys, "day"])
         .where("l_pos > l_from and l_pos <= l_from + n")
@@ -120,7 +119,7 @@ def one_to_one(
         )
     )
     return placed.join(ranked_right, [*keys, "day", "r_pos"]).select(
-        "left_id", "right_id", "days", "left_choices", "right_choices"
+        *keys, "left_id", "right_id", "days", "left_choices", "right_choices"
     )
 
 

@@ -1,43 +1,111 @@
 """Ranks, running totals and neighbours that survive a hot group.
 
 A window function sorts its whole group in one task. When one account (or the
-whole register) holds a third of all rows that task never ends, so order is
-taken in levels: inside a block of the unique id, over the blocks of a larger
-block, over those of a larger one still, and over the dates of a group. A level
-sees one aggregated row per block below it, at most the block width of them for
-any 64-bit ids, dense or scattered.
+whole register) holds a third of all rows that task never ends, so rows are
+sorted once by range over (keys, date, id), which cuts a large group wherever
+its rows lie. A narrow pass then adds up within each partition. Only groups cut
+by a partition's edge need more: the totals of the first and last group of each
+partition, two rows of it at most, are added to what comes later.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import RANK_BLOCK
+from ..session import cut_lineage
 
 
-LEVELS = 3  # blocks of 2^20 of blocks of 2^20 of ids leave 2^4 for the last level
-
-
-def _before(blocks: DataFrame, keys: list[str], block_col: str, n: int, block: int, levels: int) -> DataFrame:
-    """``blocks`` (keys, block_col, _m0..) with ``_before0``..: the sums over the
-    blocks of the same keys that come earlier."""
-    names = range(n)
-    if levels == 1:
-        order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
-        return blocks.select("*", *[F.coalesce(F.sum(f"_m{i}").over(order), F.lit(0)).alias(f"_before{i}") for i in names])
-    up = f"{block_col}_"
-    inside = Window.partitionBy(*keys, up).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = blocks.withColumn(up, F.floor(F.col(block_col) / F.lit(block)))
-    rows = rows.select("*", *[F.coalesce(F.sum(f"_m{i}").over(inside), F.lit(0)).alias(f"_in{i}") for i in names])
-    sums = rows.groupBy(*keys, up).agg(*[F.sum(f"_m{i}").alias(f"_m{i}") for i in names])
-    above = _before(sums, keys, up, n, block, levels - 1).where(" or ".join(f"_before{i} != 0" for i in names))
-    above = above.select(*keys, up, *[f"_before{i}" for i in names])
-    return rows.join(above, [*keys, up], "left").select(
-        *blocks.columns, *[(F.col(f"_in{i}") + F.coalesce(f"_before{i}", F.lit(0))).alias(f"_before{i}") for i in names]
+def _narrow(df: DataFrame, keys: list[str], sums: list[str], carry: list[str]) -> DataFrame:
+    """Per partition of sorted rows: ``_part``; ``_first`` and ``_last``, the place
+    at an edge of the partition; ``_run``, 1 in the first group; ``_end``, the last
+    row of its group; inclusive sums ``_local_<c>`` and values of the row before
+    and behind, ``_up_<c>`` and ``_down_<c>``, within the group and the partition."""
+    added = df.select(
+        "*",
+        F.lit(0).alias("_part"),
+        *[F.lit(False).alias(c) for c in ("_first", "_last", "_end")],
+        F.lit(0).cast("long").alias("_run"),
+        *[F.lit(0).cast("long").alias(f"_local_{c}") for c in sums],
+        *[F.when(F.lit(False), F.col(c)).alias(f"{side}_{c}") for side in ("_up", "_down") for c in carry],
     )
+    at = {c: i for i, c in enumerate(df.columns)}
+    names = added.columns
+
+    # a closure, so that workers need nothing but it
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        before = None  # the last row of the batch before this one, as a batch
+        totals, groups = [0] * len(sums), 0
+
+        def changes(batch, other):
+            """Does each row begin a group, ``other`` being the row before the first?"""
+            new = np.zeros(len(batch), bool)
+            new[0] = other is None
+            for k in keys:
+                column = batch.column(at[k])
+                new[1:] |= column[1:].to_numpy(zero_copy_only=False) != column[:-1].to_numpy(zero_copy_only=False)
+                new[0] |= other is not None and other.column(at[k])[0].as_py() != column[0].as_py()
+            return new
+
+        def shifted(column, ends, one, down):
+            """The column moved by one row, ``one`` at its open end, null past ends."""
+            kind = column.type
+            one = pa.nulls(1, kind) if one is None else one
+            parts = [column[1:], one] if down else [one, column[:-1]]
+            moved = pa.concat_arrays([x.cast(kind) for x in parts])
+            return pc.if_else(pa.array(ends), pa.nulls(len(column), kind), moved)
+
+        def done(batch, behind):
+            nonlocal before, groups
+            n = len(batch)
+            new = changes(batch, before)
+            end = np.append(new[1:], behind is None or changes(behind, batch.slice(n - 1))[0])
+            number = groups + np.cumsum(new)
+            groups = int(number[-1])
+            start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            columns = [*batch.columns, pa.array(np.full(n, part, np.int32))]
+            edge = np.zeros(n, bool)
+            edge[0] = before is None
+            columns.append(pa.array(edge))
+            edge = np.zeros(n, bool)
+            edge[-1] = behind is None
+            columns += [pa.array(edge), pa.array(end), pa.array(number.astype(np.int64))]
+            for i, c in enumerate(sums):
+                run_ = np.concatenate([[0], np.cumsum(batch.column(at[c]).to_numpy(zero_copy_only=False))])
+                own = run_[1:] - np.where(start < 0, -totals[i], run_[np.maximum(start, 0)])
+                totals[i] = int(own[-1])
+                columns.append(pa.array(own.astype(np.int64)))
+            for c in carry:
+                one = None if before is None else before.column(at[c])
+                columns.append(shifted(batch.column(at[c]), new, one, False))
+            for c in carry:
+                one = None if behind is None else behind.column(at[c])[:1]
+                columns.append(shifted(batch.column(at[c]), end, one, True))
+            before = batch.slice(n - 1)
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        held = None
+        for batch in batches:
+            if len(batch):
+                if held is not None:
+                    yield done(held, batch.slice(0, 1))
+                held = batch
+        if held is not None:
+            yield done(held, None)
+
+    return cut_lineage(df.mapInArrow(run, added.schema))
+
+
+def _sorted(df: DataFrame, order: list[str], tasks: int | None) -> DataFrame:
+    ranged = df.repartitionByRange(*([tasks] if tasks else []), *order)
+    return ranged.sortWithinPartitions(*order)
 
 
 def running(
@@ -46,49 +114,25 @@ def running(
     id_col: str,
     measures: dict[str, Column],
     date_col: str | None = None,
-    block: int = RANK_BLOCK,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums in (date_col, id_col) order within ``keys``.
-
-    ``id_col`` must be a unique whole number within ``keys`` and no key may be
-    null."""
-    day_keys = [*keys, *([date_col] if date_col else [])]
-    block_keys = [*day_keys, "_block"]
-    rows = df.withColumn("_block", F.floor(F.col(id_col) / F.lit(block)))
-    for i, measure in enumerate(measures.values()):
-        rows = rows.withColumn(f"_m{i}", measure)
-    inside = Window.partitionBy(*block_keys).orderBy(id_col).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    """Add inclusive running sums of whole numbers in (date_col, id_col) order
+    within ``keys``. No key may be null. ``tasks``: partitions of the sort, else as
+    the session says. The sorted rows are written out."""
+    keys = list(keys)
+    sums = [f"_m{i}" for i in range(len(measures))]
+    rows = df.select("*", *[F.coalesce(m.cast("long"), F.lit(0)).alias(c) for c, m in zip(sums, measures.values(), strict=True)])
+    placed = _narrow(_sorted(rows, [*keys, *([date_col] if date_col else []), id_col], tasks), keys, sums, [])
+    # the last row of a partition's first and last group holds that group's total
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = placed.where("_end and (_run = 1 or _last)").select(
+        *keys, "_part", *[F.coalesce(F.sum(f"_local_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums]
     )
-    numbers = range(len(measures))
-    local = rows.select("*", *[F.sum(f"_m{i}").over(inside).alias(f"_local{i}") for i in numbers])
-
-    blocks = rows.groupBy(*block_keys).agg(*[F.sum(f"_m{i}").alias(f"_m{i}") for i in numbers])
-    offsets = _before(blocks, day_keys, "_block", len(measures), block, LEVELS)
-    offsets = offsets.select(*block_keys, *[f"_before{i}" for i in numbers])
-    if date_col:
-        across = (
-            Window.partitionBy(*(keys or [F.lit(0)]))
-            .orderBy(date_col)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        days = blocks.groupBy(*day_keys).agg(*[F.sum(f"_m{i}").alias(f"_m{i}") for i in numbers])
-        days = days.select(
-            *day_keys,
-            *[F.coalesce(F.sum(f"_m{i}").over(across), F.lit(0)).alias(f"_day{i}") for i in numbers],
-        )
-        offsets = offsets.join(days, day_keys).select(
-            *block_keys, *[(F.col(f"_before{i}") + F.col(f"_day{i}")).alias(f"_before{i}") for i in numbers]
-        )
-    # Most groups fit in one block and start at zero: only the others are joined,
-    # a side that AQE broadcasts whenever it turns out small.
-    started = offsets.where(" or ".join(f"_before{i} != 0" for i in numbers))
-    return local.join(started, block_keys, "left").select(
+    # one row per partition at most: the first group of it, if that began earlier
+    offsets = edges.where(" or ".join(f"_before_{c} != 0" for c in sums))
+    return placed.join(F.broadcast(offsets), [*keys, "_part"], "left").select(
         *[F.col(c) for c in df.columns],
-        *[
-            (F.col(f"_local{i}") + F.coalesce(f"_before{i}", F.lit(0))).alias(name)
-            for i, name in enumerate(measures)
-        ],
+        *[(F.col(f"_local_{c}") + F.coalesce(f"_before_{c}", F.lit(0))).alias(name) for c, name in zip(sums, measures, strict=True)],
     )
 
 
@@ -98,10 +142,10 @@ def positions(
     id_col: str,
     date_col: str | None = None,
     name: str = "position",
-    block: int = RANK_BLOCK,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add the 1-based place of each row in its group."""
-    return running(df, keys, id_col, {name: F.lit(1).cast("long")}, date_col, block)
+    return running(df, keys, id_col, {name: F.lit(1)}, date_col, tasks)
 
 
 def with_neighbors(
@@ -110,30 +154,36 @@ def with_neighbors(
     id_col: str,
     date_col: str,
     carry: Sequence[str],
-    block: int = RANK_BLOCK,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add ``prev_<c>`` / ``next_<c>`` for each carried column, prev being the
     later row in (date, id) order as in a register that lists newest first.
 
-    Rows are cut into runs of ``block`` positions; the rows at a run's edge are
-    also sent to the run beside it, so one shuffle gives everybody neighbours."""
-    placed = positions(df, keys, id_col, date_col, "_pos", block)
-    run = F.floor(F.col("_pos") / F.lit(block))
-    copies = F.array_distinct(
-        F.array(
-            run,
-            F.floor((F.col("_pos") - 1) / F.lit(block)),
-            F.floor((F.col("_pos") + 1) / F.lit(block)),
-        )
+    Only the first and last row of a partition look further, at the nearest rows of
+    the partitions beside it."""
+    keys, carry = list(keys), list(carry)
+    placed = _narrow(_sorted(df, [*keys, date_col, id_col], tasks), keys, [], carry)
+    edge = placed.where("_first or _last").select(
+        "_part", "_first", "_last", *keys, *[F.col(c).alias(f"_own_{c}") for c in carry]
     )
-    spread = placed.withColumn("_home", run).withColumn("_run", F.explode(copies))
-    order = Window.partitionBy(*keys, "_run").orderBy("_pos")
-    out = spread.select(
-        "*",
-        *[F.lead(c).over(order).alias(f"prev_{c}") for c in carry],
-        *[F.lag(c).over(order).alias(f"next_{c}") for c in carry],
+    order = Window.partitionBy(F.lit(0)).orderBy("_part", F.desc("_first"))  # two rows per partition at most
+    same = [F.lit(True), *[F.lag(k).over(order) == F.col(k) for k in keys]]
+    other = [F.lit(True), *[F.lead(k).over(order) == F.col(k) for k in keys]]
+    above, below = same[0], other[0]
+    for a, b in zip(same, other, strict=True):
+        above, below = above & a, below & b
+    edge = edge.select(
+        "_part",
+        "_first",
+        "_last",
+        *[F.when(F.col("_first") & above, F.lag(f"_own_{c}").over(order)).alias(f"_far_up_{c}") for c in carry],
+        *[F.when(F.col("_last") & below, F.lead(f"_own_{c}").over(order)).alias(f"_far_down_{c}") for c in carry],
+    )
+    return placed.join(F.broadcast(edge), ["_part", "_first", "_last"], "left").select(
+        *[F.col(c) for c in df.columns],
+        *[F.coalesce(f"_down_{c}", f"_far_down_{c}").alias(f"prev_{c}") for c in carry],
+        *[F.coalesce(f"_up_{c}", f"_far_up_{c}").alias(f"next_{c}") for c in carry],
     )
-    return out.where(F.col("_run") == F.col("_home")).drop("_pos", "_home", "_run")
 
 
 def lookup(

@@ -31,10 +31,10 @@ def hot_rows(rng, n):
         yield (i * 7 + 1, "a" if hot else rng.choice("abcd"), day(0 if hot else rng.randrange(5)), rng.randrange(-9, 10))
 
 
-def test_running_levels(spark):
+def test_running_over_cut_groups(spark):
     rows = list(hot_rows(random.Random(1), 300))
     df = spark.createDataFrame(rows, "id long, k string, d date, v long")
-    out = running(df, ["k"], "id", {"n": F.lit(1).cast("long"), "s": F.col("v")}, "d", block=16).collect()
+    out = running(df, ["k"], "id", {"n": F.lit(1).cast("long"), "s": F.col("v")}, "d", tasks=9).collect()
     want = {}
     for key in "abcd":
         n = s = 0
@@ -47,7 +47,7 @@ def test_running_levels(spark):
 def test_positions_without_date(spark):
     rows = list(hot_rows(random.Random(2), 200))
     df = spark.createDataFrame(rows, "id long, k string, d date, v long")
-    out = positions(df, ["k"], "id", block=8).collect()
+    out = positions(df, ["k"], "id", tasks=7).collect()
     for key in "abcd":
         placed = sorted((r["id"], r["position"]) for r in out if r["k"] == key)
         assert [p for _, p in placed] == list(range(1, len(placed) + 1))
@@ -56,7 +56,7 @@ def test_positions_without_date(spark):
 def test_neighbors(spark):
     rows = list(hot_rows(random.Random(3), 150))
     df = spark.createDataFrame(rows, "id long, k string, d date, v long")
-    out = {r["id"]: r for r in with_neighbors(df, [], "id", "d", ["id"], block=8).collect()}
+    out = {r["id"]: r for r in with_neighbors(df, [], "id", "d", ["id"], tasks=11).collect()}
     order = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]), reverse=True)]
     assert len(out) == len(rows)
     for i, key in enumerate(order):
@@ -328,13 +328,13 @@ def test_memory_ranks(spark):
 
 
 def test_running_sums_with_scattered_ids(spark):
-    """Hashed 64-bit ids in one hot group: small blocks, so every level is used."""
+    """Hashed 64-bit ids in one hot group, cut into many partitions."""
     rng = random.Random(11)
     ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)] + list(range(50))
     rows = [(1 if i % 3 else 2, dt.date(2024, 1, 1 + i % 5), x, i % 7 - 3) for i, x in enumerate(ids)]
     df = spark.createDataFrame(rows, "k long, date date, id long, v long")
-    got = {(r["k"], r["id"]): r["upto"] for r in running(df, ["k"], "id", {"upto": F.col("v")}, "date", block=1 << 20).collect()}
-    small = {(r["k"], r["id"]): r["upto"] for r in running(df, ["k"], "id", {"upto": F.col("v")}, "date", block=4).collect()}
+    got = {(r["k"], r["id"]): r["upto"] for r in running(df, ["k"], "id", {"upto": F.col("v")}, "date").collect()}
+    small = {(r["k"], r["id"]): r["upto"] for r in running(df, ["k"], "id", {"upto": F.col("v")}, "date", tasks=40).collect()}
     want, total = {}, {1: 0, 2: 0}
     for k, date, x, v in sorted(rows, key=lambda r: (r[1], r[2])):
         total[k] += v
