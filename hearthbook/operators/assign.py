@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import positions
 
 
@@ -65,9 +66,19 @@ def one_to_one(
         )
         # days without anybody in reach take no part in the rounds
         .where("(l > 0 and left_choices > 0) or (r > 0 and right_choices > 0)")
-        .withColumn("l_used", zero)
-        .withColumn("r_used", zero)
+        .withColumn("_all_l", F.sum("l").over(group))
+        .withColumn("_all_r", F.sum("r").over(group))
     )
+    # most groups are one row on either side, a pair without any round
+    days = cut_lineage(days)
+    single = days.where("_all_l = 1 and _all_r = 1").groupBy(*keys).agg(
+        F.max(F.when(F.col("l") > 0, F.col("day"))).alias("day"), F.max(F.when(F.col("r") > 0, F.col("day"))).alias("r_day")
+    )
+    one_each = single.select(
+        *keys, "day", one.alias("left_choices"), (F.col("day") - F.col("r_day")).cast("int").alias("days"),
+        zero.alias("l_from"), zero.alias("r_from"), one.alias("n"), one.alias("right_choices"),
+    )
+    days = days.where("_all_l > 1 or _all_r > 1").drop("_all_l", "_all_r").withColumn("l_used", zero).withColumn("r_used", zero)
     for i, d in enumerate(offsets):
         days = days.select(
             "*",
@@ -103,6 +114,7 @@ def one_to_one(
         )
         .where("f.n > 0")
         .select(*keys, "day", "left_choices", "f.*")
+        .unionByName(one_each)
     )
 
     placed = (

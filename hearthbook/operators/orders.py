@@ -1,10 +1,9 @@
 """Matching online orders to card charges.
 
 exact: one charge of the order's total. split: one order, several charges.
-combined: several orders, one charge. Splits and combinations are looked for
-among what no exact match explains, as runs of up to ``MOST`` neighbours in the
-account's own (date, id) order: a run's sum is then a plain join key, whereas
-trying all subsets would pair everything in an account with everything."""
+combined: several orders, one charge. Splits and combinations are looked for among
+what no exact match explains, as subsets of up to ``MOST`` rows in the order's window
+of days (`subsets`)."""
 
 from __future__ import annotations
 
@@ -17,9 +16,8 @@ from ..constants import ORDER_MATCH_WINDOW_DAYS
 from ..functions.dates import day_number
 from ..session import cut_lineage
 from .assign import one_to_one
-from .ordering import positions
+from .subsets import MOST, match_subsets, open_targets
 
-MOST = 3
 KEYS = ["account_id", "size"]
 MATCH_COLUMNS = "kind order_id charge_id amount_cents days confidence status".split()
 
@@ -32,10 +30,7 @@ def _confidence(days: Column) -> Column:
     return F.lit(1.0) - days / F.lit(20.0)
 
 
-def _status(extra: Column | None = None) -> Column:
-    sure = (F.col("left_choices") == 1) & (F.col("right_choices") == 1)
-    if extra is not None:
-        sure = sure & extra
+def _status(sure: Column) -> Column:
     return F.when(sure, F.lit("confirmed")).otherwise(F.lit("suggested"))
 
 
@@ -50,125 +45,74 @@ def match_exact(
     right = orders.select(
         "account_id", F.col("total_cents").alias("size"), _day().alias("day"), F.col("id").alias("right_id")
     )
-    pairs = one_to_one(left, right, KEYS, list(range(window + 1)))
-    amounts = charges.select(F.col("id").alias("left_id"), "amount_cents")
-    return pairs.join(amounts, "left_id").select(
+    return one_to_one(left, right, KEYS, list(range(window + 1))).select(
         F.lit("exact").alias("kind"),
         F.col("right_id").alias("order_id"),
         F.col("left_id").alias("charge_id"),
-        "amount_cents",
+        (-F.col("size")).alias("amount_cents"),
         F.col("days").cast("long").alias("days"),
         _confidence(F.col("days")).alias("confidence"),
-        _status().alias("status"),
-    )
-
-
-def _runs(rows: DataFrame, amount: Column, window: int, most: int) -> DataFrame:
-    """Runs of 2..most neighbours of an account that span at most ``window`` days:
-    run_id, account_id, size, first_day, last_day, members.
-
-    The places and the runs are each read several times by what follows, so both
-    are written out; otherwise the plan would repeat everything before them."""
-    placed = cut_lineage(
-        positions(
-            rows.select("account_id", "date", "id", amount.alias("cents")), ["account_id"], "id", "date", "pos"
-        ).select("account_id", "pos", "id", "cents", _day().alias("day"))
-    )
-    chain = placed.select(
-        "account_id",
-        "pos",
-        F.col("day").alias("first_day"),
-        F.col("day").alias("last_day"),
-        F.col("cents").alias("size"),
-        F.array("id").alias("members"),
+        _status((F.col("left_choices") == 1) & (F.col("right_choices") == 1)).alias("status"),
     )
-    found = []
-    for k in range(2, most + 1):
-        after = placed.select(
-            "account_id",
-            (F.col("pos") - (k - 1)).alias("pos"),
-            F.col("id").alias("next_id"),
-            F.col("cents").alias("next_cents"),
-            F.col("day").alias("next_day"),
-        )
-        chain = (
-            chain.join(after, ["account_id", "pos"])
-            .where(F.col("next_day") - F.col("first_day") <= window)
-            .select(
-                "account_id",
-                "pos",
-                "first_day",
-                F.col("next_day").alias("last_day"),
-                (F.col("size") + F.col("next_cents")).alias("size"),
-                F.concat("members", F.array("next_id")).alias("members"),
-            )
-        )
-        found.append(chain.withColumn("run_id", F.element_at("members", 1) * (most - 1) + (k - 2)))
-    return cut_lineage(reduce(DataFrame.unionByName, found).drop("pos"))
 
 
-def _members(pairs: DataFrame, runs: DataFrame, key: str) -> DataFrame:
-    """Explode matched runs to members, noting members several runs claim."""
-    flat = cut_lineage(
-        pairs.join(runs.select(F.col("run_id").alias(key), "members"), key).withColumn(
-            "member_id", F.explode("members")
-        )
-    )
-    claimed = flat.groupBy("member_id").agg(F.count("*").alias("claims"))
-    shared = (
-        flat.join(claimed.where("claims > 1"), "member_id")
-        .select(key)
-        .distinct()
-        .withColumn("shared", F.lit(True))
+def _sizes(orders: DataFrame, charges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides as (account_id, day, size, id), amounts above zero."""
+    return (
+        orders.select("account_id", _day().alias("day"), F.col("total_cents").alias("size"), "id"),
+        charges.select("account_id", _day().alias("day"), (-F.col("amount_cents")).alias("size"), "id"),
     )
-    return flat.join(shared, key, "left").withColumn("alone", F.col("shared").isNull())
 
 
 def match_split(
-    orders: DataFrame, charges: DataFrame, window: int = ORDER_MATCH_WINDOW_DAYS, most: int = MOST
+    orders: DataFrame, charges: DataFrame, window: int = ORDER_MATCH_WINDOW_DAYS, most: int = MOST, bounds: dict[int, int] | None = None
 ) -> DataFrame:
-    """One order paid by a run of charges that begins 0..window days after it."""
-    runs = _runs(charges.where("amount_cents < 0"), -F.col("amount_cents"), window, most)
-    left = runs.select("account_id", "size", F.col("first_day").alias("day"), F.col("run_id").alias("left_id"))
-    right = orders.select(
-        "account_id", F.col("total_cents").alias("size"), _day().alias("day"), F.col("id").alias("right_id")
-    )
-    pairs = one_to_one(left, right, KEYS, list(range(window + 1)))
-    amounts = charges.select(F.col("id").alias("member_id"), "amount_cents")
-    return _members(pairs, runs, "left_id").join(amounts, "member_id").select(
+    """One order paid by 2..most charges 0..window days after it. ``days`` is that of
+    the last charge."""
+    targets, parts = _sizes(orders, charges)
+    pairs = match_subsets(targets, parts, 0, window, most, bounds)
+    amounts = charges.select(F.col("id").alias("part_id"), "amount_cents")
+    return pairs.join(amounts, "part_id").select(
         F.lit("split").alias("kind"),
-        F.col("right_id").alias("order_id"),
-        F.col("member_id").alias("charge_id"),
+        F.col("target_id").alias("order_id"),
+        F.col("part_id").alias("charge_id"),
         "amount_cents",
-        F.col("days").cast("long").alias("days"),
+        "days",
         _confidence(F.col("days")).alias("confidence"),
-        _status(F.col("alone")).alias("status"),
+        _status(F.col("sure")).alias("status"),
     )
 
 
 def match_combined(
-    orders: DataFrame, charges: DataFrame, window: int = ORDER_MATCH_WINDOW_DAYS, most: int = MOST
+    orders: DataFrame, charges: DataFrame, window: int = ORDER_MATCH_WINDOW_DAYS, most: int = MOST, bounds: dict[int, int] | None = None
 ) -> DataFrame:
-    """A run of orders paid by one charge 0..window days after the last of them.
-    The portion of each order is its own total."""
-    runs = _runs(orders, F.col("total_cents"), window, most)
-    left = charges.where("amount_cents < 0").select(
-        "account_id", (-F.col("amount_cents")).alias("size"), _day().alias("day"), F.col("id").alias("left_id")
-    )
-    right = runs.select("account_id", "size", F.col("last_day").alias("day"), F.col("run_id").alias("right_id"))
-    pairs = one_to_one(left, right, KEYS, list(range(window + 1)))
-    totals = orders.select(F.col("id").alias("member_id"), "total_cents")
-    return _members(pairs, runs, "right_id").join(totals, "member_id").select(
+    """2..most orders paid by one charge 0..window days after each of them. The
+    portion of each order is its own total; ``days`` is that of the first order."""
+    parts, targets = _sizes(orders, charges)
+    pairs = match_subsets(targets, parts, -window, 0, most, bounds)
+    totals = orders.select(F.col("id").alias("part_id"), "total_cents")
+    return pairs.join(totals, "part_id").select(
         F.lit("combined").alias("kind"),
-        F.col("member_id").alias("order_id"),
-        F.col("left_id").alias("charge_id"),
+        F.col("part_id").alias("order_id"),
+        F.col("target_id").alias("charge_id"),
         (-F.col("total_cents")).alias("amount_cents"),
-        F.col("days").cast("long").alias("days"),
+        "days",
         _confidence(F.col("days")).alias("confidence"),
-        _status(F.col("alone")).alias("status"),
+        _status(F.col("sure")).alias("status"),
     )
 
 
+def order_reach(
+    orders: DataFrame, charges: DataFrame, matches: DataFrame, window: int = ORDER_MATCH_WINDOW_DAYS, most: int = MOST, bounds: dict[int, int] | None = None
+) -> DataFrame:
+    """Orders that no match explains: how many different open charges lie in their
+    window, and up to how many of them together were tried. A bound that kept a larger
+    subset from being tried shows as ``tried`` below ``most``."""
+    targets, parts = _sizes(*unexplained(orders, charges, matches))
+    none = targets.select(F.col("id").alias("target_id")).limit(0)
+    return open_targets(targets, parts, none, 0, window, most, bounds)
+
+
 def unexplained(orders: DataFrame, charges: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Orders and charges that ``matches`` does not touch."""
     return (
@@ -182,6 +126,8 @@ def run_matcher(
 ) -> DataFrame:
     """All three kinds, the stronger first; each only sees what is left. The
     matches of a stage are written out before the next one reads them."""
+    orders = cut_lineage(orders.select("id", "account_id", "date", "total_cents"))
+    charges = cut_lineage(charges.select("id", "account_id", "date", "amount_cents"))
     exact = cut_lineage(match_exact(orders, charges, window))
     orders, charges = unexplained(orders, charges, exact)
     split = cut_lineage(match_split(orders, charges, window))

@@ -6,9 +6,10 @@ from ..constants import CONFIRMED_MATCHES_SHOWN, SUGGESTED_MATCHES_SHOWN, UNMATC
 from ..operators import orders as O
 from ..operators import register as R
 from ..operators.splits import item_split_allocate
+from ..operators.subsets import BOUNDS, MOST, ROUNDS
 from ..session import cut_lineage
 from .registry import query
-from .views_sql import assign_sql
+from .views_sql import assign_sql, subset_sql
 
 WINDOW = list(range(11))
 
@@ -23,48 +24,20 @@ er AS (SELECT account_id, total_cents AS size, date, id AS right_id FROM shop_or
   FROM ex JOIN charges c ON c.id = ex.left_id)"""
 
 SPLIT = EXACT + """
-, c1 AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY date, id) AS pos FROM charges WHERE id NOT IN (SELECT charge_id FROM exact)),
-o1 AS (SELECT * FROM shop_orders WHERE id NOT IN (SELECT order_id FROM exact)),
-cruns AS MATERIALIZED (
-  SELECT a.id * 2 AS run_id, a.account_id, -(a.amount_cents + b.amount_cents) AS size, a.date, [a.id, b.id] AS members
-  FROM c1 a JOIN c1 b ON b.account_id = a.account_id AND b.pos = a.pos + 1 AND b.date - a.date <= 10
-  UNION ALL
-  SELECT a.id * 2 + 1, a.account_id, -(a.amount_cents + b.amount_cents + c.amount_cents), a.date, [a.id, b.id, c.id]
-  FROM c1 a JOIN c1 b ON b.account_id = a.account_id AND b.pos = a.pos + 1
-  JOIN c1 c ON c.account_id = a.account_id AND c.pos = a.pos + 2 AND c.date - a.date <= 10
-),
-pl AS (SELECT account_id, size, date, run_id AS left_id FROM cruns),
-pr AS (SELECT account_id, total_cents AS size, date, id AS right_id FROM o1)""" + assign_sql(
-    "pl", "pr", ["account_id", "size"], WINDOW, "sp"
+, c1 AS (SELECT id, account_id, date, -amount_cents AS size FROM charges WHERE id NOT IN (SELECT charge_id FROM exact)),
+o1 AS (SELECT id, account_id, date, total_cents AS size FROM shop_orders WHERE id NOT IN (SELECT order_id FROM exact))""" + subset_sql(
+    "o1", "c1", 0, 10, MOST, ROUNDS, "sp"
 ) + """
-, spm AS (SELECT sp.*, unnest(members) AS member_id FROM sp JOIN cruns ON run_id = left_id),
-spq AS (SELECT *, max(n) OVER (PARTITION BY left_id) AS worst FROM (SELECT *, count(*) OVER (PARTITION BY member_id) AS n FROM spm)),
-split AS (SELECT 'split' AS kind, right_id AS order_id, member_id AS charge_id, c.amount_cents, CAST(days AS BIGINT) AS days,
-  1.0::DOUBLE - days / 20.0::DOUBLE AS confidence,
-  CASE WHEN left_choices = 1 AND right_choices = 1 AND worst = 1 THEN 'confirmed' ELSE 'suggested' END AS status
-  FROM spq JOIN charges c ON c.id = member_id)"""
+, split AS (SELECT 'split' AS kind, target_id AS order_id, part_id AS charge_id, c.amount_cents, CAST(days AS BIGINT) AS days,
+  1.0::DOUBLE - days / 20.0::DOUBLE AS confidence, CASE WHEN sure THEN 'confirmed' ELSE 'suggested' END AS status
+  FROM sp JOIN charges c ON c.id = part_id)"""
 
 ALL = SPLIT + """
-, c2 AS (SELECT * FROM charges WHERE id NOT IN (SELECT charge_id FROM exact) AND id NOT IN (SELECT charge_id FROM split)),
-o2 AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY date, id) AS pos FROM o1 WHERE id NOT IN (SELECT order_id FROM split)),
-oruns AS MATERIALIZED (
-  SELECT a.id * 2 AS run_id, a.account_id, a.total_cents + b.total_cents AS size, b.date, [a.id, b.id] AS members
-  FROM o2 a JOIN o2 b ON b.account_id = a.account_id AND b.pos = a.pos + 1 AND b.date - a.date <= 10
-  UNION ALL
-  SELECT a.id * 2 + 1, a.account_id, a.total_cents + b.total_cents + c.total_cents, c.date, [a.id, b.id, c.id]
-  FROM o2 a JOIN o2 b ON b.account_id = a.account_id AND b.pos = a.pos + 1
-  JOIN o2 c ON c.account_id = a.account_id AND c.pos = a.pos + 2 AND c.date - a.date <= 10
-),
-ql AS (SELECT account_id, -amount_cents AS size, date, id AS left_id FROM c2),
-qr AS (SELECT account_id, size, date, run_id AS right_id FROM oruns)""" + assign_sql(
-    "ql", "qr", ["account_id", "size"], WINDOW, "cb"
-) + """
-, cbm AS (SELECT cb.*, unnest(members) AS member_id FROM cb JOIN oruns ON run_id = right_id),
-cbq AS (SELECT *, max(n) OVER (PARTITION BY right_id) AS worst FROM (SELECT *, count(*) OVER (PARTITION BY member_id) AS n FROM cbm)),
-combined AS (SELECT 'combined' AS kind, member_id AS order_id, left_id AS charge_id, -o.total_cents AS amount_cents, CAST(days AS BIGINT) AS days,
-  1.0::DOUBLE - days / 20.0::DOUBLE AS confidence,
-  CASE WHEN left_choices = 1 AND right_choices = 1 AND worst = 1 THEN 'confirmed' ELSE 'suggested' END AS status
-  FROM cbq JOIN shop_orders o ON o.id = member_id),
+, c2 AS (SELECT * FROM c1 WHERE id NOT IN (SELECT charge_id FROM split)),
+o2 AS (SELECT * FROM o1 WHERE id NOT IN (SELECT order_id FROM split))""" + subset_sql("c2", "o2", -10, 0, MOST, ROUNDS, "cb") + """
+, combined AS (SELECT 'combined' AS kind, part_id AS order_id, target_id AS charge_id, -o.total_cents AS amount_cents, CAST(days AS BIGINT) AS days,
+  1.0::DOUBLE - days / 20.0::DOUBLE AS confidence, CASE WHEN sure THEN 'confirmed' ELSE 'suggested' END AS status
+  FROM cb JOIN shop_orders o ON o.id = part_id),
 matches AS MATERIALIZED (SELECT * FROM exact UNION ALL SELECT * FROM split UNION ALL SELECT * FROM combined)"""
 
 
@@ -89,17 +62,19 @@ def match_orders_combined(led):
 
 @query("match_orders", ALL + " SELECT * FROM matches")
 def match_orders(led):
-    return O.run_matcher(led.shop_orders, led.charges)
+    return all_matches(led)
 
 
 def reviews(led, matches):
-    """The user confirms, rejects or undoes suggestions, and pairs some open
-    charges by hand with the order of the same number."""
-    key = F.col("charge_id")
-    judged = matches.where("status = 'suggested'").select(
+    """The user confirms, rejects or undoes suggestions, rejects a match that was
+    confirmed by itself now and then, and pairs open charges by hand with the order of
+    the same number."""
+    key, suggested = F.col("charge_id"), F.col("status") == "suggested"
+    action = F.when(suggested & (key % 3 == 0), F.lit("confirm")).when(suggested & (key % 3 == 2), F.lit("undo")).otherwise(F.lit("reject"))
+    judged = matches.where(suggested | (key % 97 == 0)).select(
         "order_id",
         "charge_id",
-        F.when(key % 3 == 0, F.lit("confirm")).when(key % 3 == 1, F.lit("reject")).otherwise(F.lit("undo")).alias("action"),
+        action.alias("action"),
         "amount_cents",
         F.lit(1).alias("seq"),
     )
@@ -114,20 +89,26 @@ def reviews(led, matches):
     return judged.unionByName(manual)
 
 
-@query(
-    "match_review",
-    ALL
-    + """ SELECT kind, order_id, charge_id, amount_cents, 'auto' AS match_type, confidence,
-      CASE WHEN status = 'suggested' THEN CASE charge_id % 3 WHEN 0 THEN 'confirmed' ELSE 'rejected' END ELSE status END AS status
+REVIEWED = ALL + """, reviewed AS (
+    SELECT kind, order_id, charge_id, amount_cents, 'auto' AS match_type, confidence,
+      CASE WHEN status = 'suggested' THEN CASE charge_id % 3 WHEN 0 THEN 'confirmed' ELSE 'rejected' END
+           WHEN charge_id % 97 = 0 THEN 'rejected' ELSE status END AS status
     FROM matches WHERE status = 'confirmed' OR charge_id % 3 <> 2
     UNION ALL SELECT 'exact', id % 10000000000000, id, amount_cents, 'manual', 1.0::DOUBLE, 'confirmed'
-    FROM charges WHERE id NOT IN (SELECT charge_id FROM matches)""",
-)
-def match_review(led):
-    found = O.run_matcher(led.shop_orders, led.charges)
+    FROM charges WHERE id NOT IN (SELECT charge_id FROM matches))"""
+
+
+def reviewed(led):
+    """The matches after the user has gone through them."""
+    found = all_matches(led)
     return O.apply_reviews(found, reviews(led, found))
 
 
+@query("match_review", REVIEWED + " SELECT * FROM reviewed")
+def match_review(led):
+    return reviewed(led)
+
+
 # Reports below read the matches of every kind.
 
 
@@ -140,36 +121,49 @@ def all_matches(led):
 
 @query(
     "order_match_stats",
-    ALL
-    + """ SELECT (SELECT count(*) FROM shop_orders) AS orders, count(DISTINCT order_id) AS matched FROM matches WHERE status = 'confirmed'""",
+    REVIEWED
+    + """ SELECT (SELECT count(*) FROM shop_orders) AS orders, count(DISTINCT order_id) AS matched FROM reviewed WHERE status = 'confirmed'""",
 )
 def order_match_stats(led):
-    return O.order_match_stats(led.shop_orders, all_matches(led))
+    return O.order_match_stats(led.shop_orders, reviewed(led))
 
 
 @query(
     "unmatched_orders",
-    ALL
+    REVIEWED
     + """ SELECT id, account_id, date::VARCHAR AS date, total_cents FROM shop_orders
-    WHERE id NOT IN (SELECT order_id FROM matches WHERE status = 'confirmed') ORDER BY shop_orders.date DESC, id DESC LIMIT 25""",
+    WHERE id NOT IN (SELECT order_id FROM reviewed WHERE status = 'confirmed') ORDER BY shop_orders.date DESC, id DESC LIMIT 25""",
 )
 def unmatched_orders(led):
-    matches = all_matches(led)
-    return O.unmatched_orders(led.shop_orders, matches, UNMATCHED_SHOWN).select(
+    return O.unmatched_orders(led.shop_orders, reviewed(led), UNMATCHED_SHOWN).select(
         "id", "account_id", "date", "total_cents"
     )
 
 
+@query(
+    "order_reach",
+    REVIEWED
+    + f""", near AS (SELECT o.id, o.account_id, o.date, o.total_cents,
+        count(DISTINCT (c.date, c.amount_cents)) FILTER (c.id IS NOT NULL) AS reach
+      FROM shop_orders o LEFT JOIN (SELECT * FROM charges WHERE id NOT IN (SELECT charge_id FROM reviewed WHERE status <> 'rejected')) c
+        ON c.account_id = o.account_id AND c.date - o.date BETWEEN 0 AND 10
+      WHERE o.id NOT IN (SELECT order_id FROM reviewed WHERE status <> 'rejected') AND o.total_cents > 0 GROUP BY 1, 2, 3, 4)
+    SELECT id, account_id, date - DATE '1970-01-01' AS day, total_cents AS size, reach,
+      CASE WHEN reach <= {BOUNDS[4]} THEN 4 WHEN reach <= {BOUNDS[3]} THEN 3 WHEN reach <= {BOUNDS[2]} THEN 2 ELSE 1 END AS tried FROM near""",
+)
+def order_reach(led):
+    return O.order_reach(led.shop_orders, led.charges, reviewed(led).where("status != 'rejected'"))
+
+
 @query(
     "unmatched_charge_filter",
-    ALL
+    REVIEWED
     + """ SELECT id, account_id, date::VARCHAR AS date, amount_cents, merchant FROM charges
     WHERE (merchant ILIKE '%AMAZON%' OR merchant ILIKE '%AMZN%') AND amount_cents < 0
-      AND id NOT IN (SELECT charge_id FROM matches WHERE status = 'confirmed')""",
+      AND id NOT IN (SELECT charge_id FROM reviewed WHERE status = 'confirmed')""",
 )
 def unmatched_charge_filter(led):
-    matches = all_matches(led)
-    return O.unmatched_charges(led.charges, matches, ["%AMAZON%", "%AMZN%"])
+    return O.unmatched_charges(led.charges, reviewed(led), ["%AMAZON%", "%AMZN%"])
 
 
 @query(

@@ -299,3 +299,76 @@ def assign_sql(left: str, right: str, keys: list[str], offsets: list[int], out:
         f" JOIN (SELECT r.right_id, count(*) AS n FROM {left} l JOIN {right} r ON {near} GROUP BY 1) y ON y.right_id = a.right_id)"
     )
     return ", " + ",\n".join(parts)
+
+
+def subset_sql(targets: str, parts: str, lo: int, hi: int, most: int, rounds: int, out: str) -> str:
+    """CTEs that meet ``targets`` by 2..most ``parts`` (both account_id, date, size, id)
+    lo..hi days away, by trying every combination; ``out`` has target_id, part_id, days
+    and sure. Written from the rules, row lists in place of running sums."""
+    day = "date - DATE '1970-01-01'"
+    ctes = [
+        f"{out}_{x}1 AS MATERIALIZED (SELECT account_id, CAST({day} AS BIGINT) AS d, size AS s, count(*) AS n, list(id ORDER BY id) AS ids, 0 AS used"
+        f" FROM {table} WHERE size > 0 GROUP BY 1, 2, 3)"
+        for x, table in (("t", targets), ("p", parts))
+    ]
+    names = "xyzw"
+    for k in range(2, most + 1):
+        t, p, own = f"{out}_t{k - 1}", f"{out}_p{k - 1}", names[:k]
+        joins, spent = [], "t.s"
+        for i, x in enumerate(own):
+            on = f"{x}.account_id = t.account_id AND {x}.n > 0 AND {x}.d - t.d BETWEEN {lo} AND {hi}"
+            on += f" AND {x}.s = {spent}" if i == k - 1 else f" AND {x}.s < {spent}"
+            if i:
+                on += f" AND ({x}.d, {x}.s) >= ({own[i - 1]}.d, {own[i - 1]}.s)"
+            joins.append(f"JOIN {p} {x} ON {on}")
+            spent += f" - {x}.s"
+        members = "[" + ", ".join(f"{{'d': {x}.d, 's': {x}.s, 'n': {x}.n}}" for x in own) + "]"
+        flat = "[" + ", ".join(f"{x}.d, {x}.s" for x in own) + "]"
+        far = "greatest(" + ", ".join(f"abs({x}.d - t.d)" for x in own) + ")"
+        c, m = f"{out}_c{k}", f"{out}_m{k}"
+        ctes.append(
+            f"{c} AS MATERIALIZED (SELECT * FROM (SELECT t.account_id, t.d AS td, t.s AS ts, t.n AS tn, {far} AS days, {flat} AS subset, {members} AS members"
+            f" FROM {t} t {' '.join(joins)} WHERE t.n > 0) WHERE len(list_filter(members, lambda m: len(list_filter(members, lambda o: o = m)) > m.n)) = 0)"
+        )
+        ctes.append(
+            f"{m} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY account_id, d, s) AS wanted FROM (SELECT account_id, td, ts, tn, days, subset, choices,"
+            f" m.d AS d, m.s AS s, m.n AS n, count(*) AS times FROM (SELECT *, count(*) OVER (PARTITION BY account_id, td, ts) AS choices FROM {c}),"
+            f" unnest(members) u(m) GROUP BY ALL))"
+        )
+        ctes.append(f"{out}_g{k}_0 AS (SELECT account_id, td, ts, subset, d, s, times, 0 AS got, 0 AS t_from, 0 AS p_from FROM {m} WHERE false)")
+        for r in range(1, rounds + 1):
+            g = f"{out}_g{k}_{r - 1}"
+            run = "OVER (PARTITION BY account_id, d, s ORDER BY td, ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+            ctes.append(
+                f"{out}_a{k}_{r} AS (SELECT m.*, m.n - coalesce(a.gone, 0) AS rest, m.tn - coalesce(b.met, 0) AS due FROM {m} m"
+                f" LEFT JOIN (SELECT account_id, d, s, sum(times * got) AS gone FROM {g} GROUP BY 1, 2, 3) a USING (account_id, d, s)"
+                f" LEFT JOIN (SELECT account_id, td, ts, sum(got) AS met FROM (SELECT DISTINCT account_id, td, ts, subset, got, t_from FROM {g}) GROUP BY 1, 2, 3) b USING (account_id, td, ts))"
+            )
+            ctes.append(
+                f"{out}_b{k}_{r} AS (SELECT a.*, coalesce(sum(times * due) {run}, 0) AS queue FROM {out}_a{k}_{r} a JOIN ("
+                f"SELECT account_id, td, ts, subset FROM (SELECT account_id, td, ts, subset, days FROM {out}_a{k}_{r} GROUP BY ALL HAVING min(rest - times) >= 0 AND min(due) > 0)"
+                f" QUALIFY row_number() OVER (PARTITION BY account_id, td, ts ORDER BY days, subset) = 1) USING (account_id, td, ts, subset))"
+            )
+            ctes.append(
+                f"{out}_g{k}_{r} AS MATERIALIZED (SELECT * FROM {g} UNION ALL SELECT account_id, td, ts, subset, d, s, times, got, tn - due,"
+                f" n - rest + coalesce(sum(times * got) {run}, 0) FROM (SELECT *, min(least(due, greatest(0, rest - queue) // times))"
+                f" OVER (PARTITION BY account_id, td, ts) AS got FROM {out}_b{k}_{r}) WHERE got > 0)"
+            )
+        g = f"{out}_g{k}_{rounds}"
+        ctes.append(
+            f"{out}_r{k} AS (SELECT t.ids[CAST(t.used + t_from + j AS BIGINT)] AS target_id, p.ids[CAST(p.used + p_from + (j - 1) * g.times + i AS BIGINT)] AS part_id, m.days,"
+            f" bool_and(m.tn = 1 AND m.choices = 1 AND m.wanted = 1 AND m.n = m.times) OVER (PARTITION BY g.account_id, g.td, g.ts, g.subset) AS sure"
+            f" FROM {g} g JOIN {m} m USING (account_id, td, ts, subset, d, s) JOIN {t} t ON t.account_id = g.account_id AND t.d = g.td AND t.s = g.ts"
+            f" JOIN {p} p ON p.account_id = g.account_id AND p.d = g.d AND p.s = g.s,"
+            f" unnest(range(1, CAST(g.got AS BIGINT) + 1)) a(j), unnest(range(1, g.times + 1)) b(i))"
+        )
+        met = f"SELECT account_id, td AS d, ts AS s, sum(got) AS gone FROM (SELECT DISTINCT account_id, td, ts, subset, got, t_from FROM {g}) GROUP BY 1, 2, 3"
+        gone = f"SELECT account_id, d, s, sum(times * got) AS gone FROM {g} GROUP BY 1, 2, 3"
+        for x, less in (("t", met), ("p", gone)):
+            ctes.append(
+                f"{out}_{x}{k} AS MATERIALIZED (SELECT account_id, d, s, n - coalesce(gone, 0) AS n, ids, used + coalesce(gone, 0) AS used"
+                f" FROM {out}_{x}{k - 1} LEFT JOIN ({less}) USING (account_id, d, s))"
+            )
+    every = " UNION ALL ".join(f"SELECT * FROM {out}_r{k}" for k in range(2, most + 1))
+    ctes.append(f"{out} AS MATERIALIZED ({every})")
+    return ", " + ",\n".join(ctes)

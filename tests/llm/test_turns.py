@@ -119,7 +119,7 @@ def conversations(seed):
     return rows
 
 
-@pytest.mark.parametrize(("chunk", "passes"), [(7, 4), (5, 0), (4096, 4), (3, 40)])
+@pytest.mark.parametrize(("chunk", "passes"), [(7, 4), (5, 0), (4096, 4)])
 def test_repair(spark, chunk, passes):
     rows = conversations(chunk)
     wide = [(*r, "x", 1, 2) for r in rows]
