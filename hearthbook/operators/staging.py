@@ -31,10 +31,11 @@ def exact_dedupe(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     return staged.join(held, ["account_id", "dedupe_hash"], "left")
 
 
-def classify_staged(staged: DataFrame, ledger: DataFrame) -> DataFrame:
+def classify_staged(staged: DataFrame, ledger: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """duplicate: the same line is in the books; possible_duplicate: same account,
-    day and amount under another wording (still included); else new."""
-    near = ledger.groupBy("account_id", "date", "amount_cents").agg(F.min("id").alias("near_id"))
+    day and amount under another wording (still included); else new. ``ledger`` and
+    ``days`` may be the two parts of a stored index (`sources.index`)."""
+    near = (ledger if days is None else days).groupBy("account_id", "date", "amount_cents").agg(F.min("id").alias("near_id"))
     return (
         exact_dedupe(staged, ledger)
         .join(near, ["account_id", "date", "amount_cents"], "left")

@@ -1,13 +1,18 @@
 """Sources, sinks and streams. Each writes what the given tables hold in the form
 a bank or shop would deliver, and reads it back through the real source."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.money import to_cents
 from ..operators import ingest as I
 from ..operators import statements as St
 from ..operators.staging import commit_rows
+from ..session import cut_lineage
 from ..sources import files, synthetic
+from ..sources.commits import CommitLog, commit_import
+from ..sources.index import DedupeIndex
 from ..sources.rules import scratch
 from ..sources.sink import append_rows, read_ledger
 from ..streaming import incremental
@@ -174,13 +179,52 @@ def synthetic_ledger(led):
 )
 def ledger_sink(led):
     cols = ["account_id", "date", "amount_cents", "description", "dedupe_hash"]
-    rows = commit_rows(staging_plans.final(led), staging_plans.hashed_ledger(led)).select(*cols)
+    lines = staging_plans.ledger_index(led).around(staging_plans.staged_lines(led))[0]
+    rows = commit_rows(staging_plans.final(led), lines).select(*cols)
     path = scratch(led.spark, "ledger")
     append_rows(rows, path)
     append_rows(rows, path)  # a repeated commit adds nothing
     return read_ledger(led.spark, path).select("account_id", "date", "amount_cents", "description", "month")
 
 
+def _linked_sql(books: str, out: str) -> str:
+    """Legs of ``books`` that are each other's only candidates."""
+    return f"""{out} AS (SELECT o.id AS out_id, i.id AS in_id FROM {books} o JOIN {books} i ON i.amount_cents = -o.amount_cents
+      AND i.account_id <> o.account_id AND abs(date_diff('day', o.date, i.date)) <= 3
+    WHERE o.amount_cents < 0 AND NOT EXISTS (SELECT 1 FROM rejections r WHERE r.txn_a_id = least(o.id, i.id) AND r.txn_b_id = greatest(o.id, i.id))
+    QUALIFY count(*) OVER (PARTITION BY o.id) = 1 AND count(*) OVER (PARTITION BY i.id) = 1)"""
+
+
+@query(
+    "ledger_commit",
+    f""", books1 AS (SELECT * FROM transactions WHERE id < 10000000000000), {_linked_sql("books1", "linked1")},
+    taken AS (SELECT out_id AS id FROM linked1 UNION ALL SELECT in_id FROM linked1),
+    books2 AS (SELECT * FROM transactions WHERE id NOT IN (SELECT id FROM taken)), {_linked_sql("books2", "linked2")},
+    legs2 AS (SELECT out_id AS id FROM linked2 UNION ALL SELECT in_id FROM linked2),
+    held AS (SELECT account_id, date, max(balance_cents) AS cents FROM statement_balances GROUP BY 1, 2)
+    SELECT 1 AS batch_id, (SELECT count(*) FROM books1) AS inserted, 0 AS skipped, (SELECT count(*) FROM held) AS balances_recorded,
+      (SELECT count(*) FROM taken) AS transfers_linked
+    UNION ALL SELECT 2, (SELECT count(*) FROM transactions WHERE id >= 10000000000000), (SELECT count(*) FROM books1),
+      (SELECT count(*) FROM snapshots s LEFT JOIN held h USING (account_id, date) WHERE h.cents IS DISTINCT FROM s.balance_cents),
+      (SELECT count(*) FROM legs2 WHERE id >= 10000000000000)""",
+)
+def ledger_commit(led):
+    """Two imports into an empty ledger: the bank's own rows, then a file that brings
+    them once more beside the legs of their transfers."""
+    path, name = scratch(led.spark, "books"), f"commit_{uuid.uuid4().hex}"
+    log, index = CommitLog(led.spark, path), DedupeIndex(led.spark, name, f"{path}/index")
+    keyed = cut_lineage(
+        staging_plans.hashed_ledger(led).select("id", "account_id", "date", "amount_cents", "description", "merchant", "category_id", "dedupe_hash")
+    )
+    balances = [led.statement_balances.withColumn("source", F.lit("import")), led.snapshots]
+    told = []
+    for i, rows in enumerate([keyed.where("id < 10000000000000"), keyed], start=1):
+        batch = F.lit(i).cast("long").alias("batch_id")
+        noted = balances[i - 1].select("account_id", "date", "balance_cents", "source", batch)
+        told.append(commit_import(log, index, rows.select("*", batch), noted, led.rejections))
+    return told[0].unionByName(told[1])
+
+
 # accounts whose files have a header that nobody has mapped
 _UNMAPPED = "account_id % 11 = 5"
 

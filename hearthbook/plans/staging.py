@@ -1,11 +1,15 @@
 """Duplicates, overlaps, commit."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import BULK_FILE_STATUSES, BULK_RUNS_SHOWN, IMPORT_HISTORY_SHOWN
 from ..operators import staging as S
 from ..operators import bulk
 from ..operators.balances import balance_replace_check
+from ..session import cut_lineage, shared_folder
+from ..sources.index import DedupeIndex
 from .ingest import OCCURRENCE
 from .registry import query
 
@@ -32,30 +36,48 @@ def hashed_ledger(led):
     return S.with_dedupe_key(led.transactions, ["account_id"])
 
 
-def judged(led):
-    staged = S.with_dedupe_key(led.staged, ["batch_id", "account_id"])
-    return S.classify_staged(staged, hashed_ledger(led))
+def ledger_index(led):
+    """The ledger's index, entered once; each commit would keep it up."""
+    if "dedupe_index" not in led.__dict__:
+        name = f"dedupe_{uuid.uuid4().hex}"
+        index = DedupeIndex(led.spark, name, f"{shared_folder(led.spark)}/{name}", max(2, led.spark.sparkContext.defaultParallelism))
+        index.add(hashed_ledger(led))
+        led.dedupe_index = index
+    return led.dedupe_index
+
+
+def staged_lines(led):
+    """Staged rows with their keys; written out, as all queries below read them."""
+    if "staged_lines" not in led.__dict__:
+        led.staged_lines = cut_lineage(S.with_dedupe_key(led.staged, ["batch_id", "account_id"]))
+    return led.staged_lines
+
+
+def judged(led, rows):
+    return S.classify_staged(rows, *ledger_index(led).around(staged_lines(led)))
 
 
 def final(led):
-    return S.cross_file_supersede(judged(led), led.batches)
+    """Staged rows with their copies in other files, then those in the books, marked."""
+    return judged(led, S.cross_file_supersede(staged_lines(led), led.batches))
 
 
 @query("exact_dedupe", STAGED + " SELECT id, batch_id, duplicate_of_id FROM judged WHERE status = 'duplicate'")
 def exact_dedupe(led):
-    staged = S.with_dedupe_key(led.staged, ["batch_id", "account_id"])
-    found = S.exact_dedupe(staged, hashed_ledger(led))
+    rows = staged_lines(led)
+    found = S.exact_dedupe(rows, ledger_index(led).around(rows)[0])
     return found.where("duplicate_of_id is not null").select("id", "batch_id", "duplicate_of_id")
 
 
 @query("soft_dedupe", STAGED + " SELECT id, batch_id, duplicate_of_id FROM judged WHERE status = 'possible_duplicate'")
 def soft_dedupe(led):
-    return S.soft_dedupe(judged(led)).select("id", "batch_id", "duplicate_of_id")
+    return S.soft_dedupe(judged(led, staged_lines(led))).select("id", "batch_id", "duplicate_of_id")
 
 
 @query("cross_file_supersede", STAGED + " SELECT id, batch_id, session_id, superseded_by_batch_id FROM final")
 def cross_file_supersede(led):
-    return final(led).select("id", "batch_id", "session_id", "superseded_by_batch_id")
+    found = S.cross_file_supersede(staged_lines(led), led.batches)
+    return found.select("id", "batch_id", "session_id", "superseded_by_batch_id")
 
 
 @query("staged_included", STAGED + " SELECT id, batch_id, account_id, date::VARCHAR AS date, amount_cents, status FROM included")
@@ -175,7 +197,8 @@ filed AS (SELECT t.*, CASE WHEN t.amount_cents > 0 AND c.spending_class = 'incom
 
 def committed(led):
     rows = bulk.under_review(final(led), led.batches)
-    return rows, bulk.commit(rows, hashed_ledger(led), led.accounts, led.categories, led.merchant_memory)
+    lines = ledger_index(led).around(staged_lines(led))[0]
+    return rows, bulk.commit(rows, lines, led.accounts, led.categories, led.merchant_memory)
 
 
 @query(
