@@ -496,6 +496,28 @@ def _large_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return cells.groupBy("key", "i", "j").applyInArrow(cell, "a bigint, b bigint")
 
 
+def _across_links(across: DataFrame, part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among the candidates of ``_across``. Candidates that hang together form
+    a cluster, and a cluster takes the way that sends fewer sets: all its members in
+    blocks, or two sets for every pair and the members of every large group."""
+    pairs = written(across.where("a is not null").select("a", "b").distinct(), "pairs")
+    groups = written(across.where("key is not null").select("key", "node", "component"), "large")
+    head = groups.groupBy("key").agg(F.min("node").alias("a"))
+    stars = groups.join(head, "key").where("a <> node").select("a", F.col("node").alias("b"))
+    cluster = written(connected(pairs.unionByName(stars.distinct()), "a", "b").withColumnRenamed("component", "cluster"), "clusters")
+    copies = lambda n: n * F.ceil(n / BLOCK_MEMBERS)
+    whole = cluster.groupBy("cluster").agg(copies(F.count("*")).alias("whole"))
+    single = pairs.join(cluster, F.col("a") == F.col("node")).groupBy("cluster").agg((2 * F.count("*")).alias("sent"))
+    grouped = groups.join(cluster, "node").groupBy("cluster", "key").agg(copies(F.count("*")).alias("sent")).groupBy("cluster").agg(F.sum("sent").alias("sent"))
+    apart = single.unionByName(grouped).groupBy("cluster").agg(F.sum("sent").alias("apart"))
+    dense = written(cluster.join(whole.join(apart, "cluster").where("whole <= apart").select("cluster"), "cluster"), "dense")
+    tied = dense.join(part, "node", "left").select(F.col("cluster").alias("key"), "node", F.coalesce("component", "node").alias("component"))
+    blocks_ = _large_groups(tied, sets, percent)
+    rest = _verified(pairs.join(dense.select(F.col("node").alias("a")), "a", "left_anti").select("a", "b"), sets, percent)
+    large = _large_groups(groups.join(dense.select("node"), "node", "left_anti").select("key", "node", "component"), sets, percent)
+    return blocks_.unionByName(rest).unionByName(large)
+
+
 def _gather_sets(texts: DataFrame, nodes: DataFrame, width: int, seed: int, few: int = 500_000) -> DataFrame:
     """(node, grams) of the wanted (id, node): only their texts are read again."""
     is_few = nodes.limit(few + 1).count() <= few
@@ -563,9 +585,7 @@ def _named(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     split = members.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
     members = written(members.join(split, "key"), "members")
     across = written(_across(members.repartition("key").sortWithinPartitions("key").select("key", "node", "component")), "across")
-    small = _verified(across.where("a is not null").select("a", "b").distinct(), sets, percent)
-    large = _large_groups(across.where("key is not null").select("key", "node", "component"), sets, percent)
-    every = written(found.unionByName(small).unionByName(large).distinct(), "links")
+    every = written(found.unionByName(_across_links(across, part, sets, percent)).distinct(), "links")
 
     part = connected(every, "a", "b")
     least = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
