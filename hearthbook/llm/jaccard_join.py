@@ -456,17 +456,41 @@ def cross_links(nodes: np.ndarray, component: np.ndarray, sets: list[np.ndarray]
     return [(int(nodes[i]), int(nodes[j])) for i, j in zip(*np.nonzero(np.triu(linked, 1) if other is None else linked), strict=True)]
 
 
-def _large_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in groups of any size: a group is dealt into blocks of
-    about BLOCK_MEMBERS, and each pair of blocks is one task's cell."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d"))
-    spread = members.join(sizes.where("c <> d").select("key", "size"), "key")
-    n_blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    spread = spread.withColumn("n", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    cells = spread.withColumn("other", other).select(
-        "key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+def _blocks_of(near: DataFrame) -> DataFrame:
+    """(node, block) for the nodes of ``near`` (node, other), both directions given.
+    Nodes that see the same least node within two steps come into one block where they
+    can, as their candidates are mostly each other; a block has about BLOCK_MEMBERS."""
+    one = near.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"))
+    one = written(one, "one-step")
+    two = near.join(one.withColumnsRenamed({"node": "other"}), "other").groupBy("node").agg(F.min("label").alias("label"))
+    labels = written(two, "labels")
+    total = labels.count()
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_MEMBERS))
+    own = -1 - F.pmod(F.xxhash64("label", part), F.lit(1 << 40))
+    mixed_ = F.pmod(F.xxhash64("label"), F.lit(total // BLOCK_MEMBERS + 1))
+    return labels.join(sizes, "label").select("node", F.when(F.col("size") > BLOCK_MEMBERS, own).otherwise(mixed_).alias("block"))
+
+
+def _across_links(across: DataFrame, part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among the candidates of ``_across``. Nodes are dealt into blocks, and a
+    cell compares what two blocks have of candidates for each other; so a set is sent
+    once to a cell however many pairs and groups it is in there. A cell emits a spanning
+    forest of its links."""
+    pairs = written(across.where("a is not null").select("a", "b").distinct(), "pairs")
+    groups = written(across.where("key is not null").select("key", "node").distinct(), "large")
+    stars = groups.join(groups.groupBy("key").agg(F.min("node").alias("head")), "key").where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    edges = pairs.unionByName(stars)
+    near = edges.toDF("node", "other").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    block = written(_blocks_of(near), "blocks")
+    of = lambda x: block.withColumnsRenamed({"node": x, "block": f"{x}_block"})
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    member = F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(f"{x}_block").alias("block")) for x in ("a", "b")])).alias("m")
+    single = both.select(F.least("a_block", "b_block").alias("i"), F.greatest("a_block", "b_block").alias("j"), member).select("i", "j", "m.*")
+    placed = groups.join(block, "node")
+    met = placed.select("key", F.col("block").alias("other")).distinct()
+    grouped = placed.join(met, "key").select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
+    cells = single.unionByName(grouped).distinct().join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     cells = cells.join(sets.select("node", "grams"), "node")
 
     def cell(table: pa.Table) -> pa.Table:
@@ -493,29 +517,7 @@ def _large_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         columns = list(zip(*out, strict=True)) or [[], []]
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(cell, "a bigint, b bigint")
-
-
-def _across_links(across: DataFrame, part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among the candidates of ``_across``. Candidates that hang together form
-    a cluster, and a cluster takes the way that sends fewer sets: all its members in
-    blocks, or two sets for every pair and the members of every large group."""
-    pairs = written(across.where("a is not null").select("a", "b").distinct(), "pairs")
-    groups = written(across.where("key is not null").select("key", "node", "component"), "large")
-    head = groups.groupBy("key").agg(F.min("node").alias("a"))
-    stars = groups.join(head, "key").where("a <> node").select("a", F.col("node").alias("b"))
-    cluster = written(connected(pairs.unionByName(stars.distinct()), "a", "b").withColumnRenamed("component", "cluster"), "clusters")
-    copies = lambda n: n * F.ceil(n / BLOCK_MEMBERS)
-    whole = cluster.groupBy("cluster").agg(copies(F.count("*")).alias("whole"))
-    single = pairs.join(cluster, F.col("a") == F.col("node")).groupBy("cluster").agg((2 * F.count("*")).alias("sent"))
-    grouped = groups.join(cluster, "node").groupBy("cluster", "key").agg(copies(F.count("*")).alias("sent")).groupBy("cluster").agg(F.sum("sent").alias("sent"))
-    apart = single.unionByName(grouped).groupBy("cluster").agg(F.sum("sent").alias("apart"))
-    dense = written(cluster.join(whole.join(apart, "cluster").where("whole <= apart").select("cluster"), "cluster"), "dense")
-    tied = dense.join(part, "node", "left").select(F.col("cluster").alias("key"), "node", F.coalesce("component", "node").alias("component"))
-    blocks_ = _large_groups(tied, sets, percent)
-    rest = _verified(pairs.join(dense.select(F.col("node").alias("a")), "a", "left_anti").select("a", "b"), sets, percent)
-    large = _large_groups(groups.join(dense.select("node"), "node", "left_anti").select("key", "node", "component"), sets, percent)
-    return blocks_.unionByName(rest).unionByName(large)
+    return cells.groupBy("i", "j").applyInArrow(cell, "a bigint, b bigint")
 
 
 def _gather_sets(texts: DataFrame, nodes: DataFrame, width: int, seed: int, few: int = 500_000) -> DataFrame:
