@@ -113,6 +113,33 @@ def test_ingest_is_the_same_in_one_delivery_or_two(spark, tmp_path):
     assert [b[:2] for b in seen[0][1]] == [(11, 0), (12, 0), (12, 1), (21, 0)]
 
 
+def test_rows_wait_for_their_mapping(spark, tmp_path):
+    """Rows under an unknown header are read once it is mapped, their files not delivered again."""
+    columns = "account_id long, signature string, date_column string, date_format string, description_columns array<string>, " \
+        "amount_style string, amount_column string, debit_column string, credit_column string, balance_column string"
+    known = (1, "date|text|amount", "Date", "YYYY-MM-DD", ["Text"], "single_signed", "Amount", None, None, None)
+    later = (1, "tag|wort|betrag", "Tag", "YYYY-MM-DD", ["Wort"], "single_signed", "Betrag", None, None, None)
+    new = lambda file, row, day="2024-01-02": (file, row, 1, "tag|wort|betrag", {"Tag": day, "Wort": "tee", "Betrag": "-3.00"})
+    old = (10, 0, 1, "date|text|amount", {"Date": "2024-01-02", "Text": "coffee", "Amount": "-5.00"})
+    folder, ledger, checkpoint, problems = (str(tmp_path / n) for n in ("inbox", "ledger", "stream", "problems"))
+    schema = "file_id long, row_index long, account_id long, signature string, record map<string,string>"
+
+    def state():
+        rows = sorted((str(r["date"]), r["amount_cents"]) for r in read_ledger(spark, ledger).collect())
+        return rows, sorted((r["file_id"], r["row_index"], r["problem"]) for r in read_problems(spark, problems).collect())
+
+    first, both = (spark.createDataFrame(x, columns) for x in ([known], [known, later]))
+    spark.createDataFrame([old, new(11, 0), new(11, 1), new(11, 2, "soon")], schema).write.json(f"{folder}/0")
+    incremental_ingest(spark, folder, first, ledger, checkpoint, problems)
+    assert state() == ([("2024-01-02", -500)], [(11, i, "unknown header") for i in (0, 1, 2)])
+    spark.createDataFrame([new(12, 0, "2024-02-01")], schema).write.json(f"{folder}/1")
+    for _ in range(2):  # the second run finds nothing to do
+        incremental_ingest(spark, folder, both, ledger, checkpoint, problems)
+        rows, bad = state()
+        assert rows == [("2024-01-02", -500), ("2024-01-02", -300), ("2024-01-02", -300), ("2024-02-01", -300)]
+        assert [b[:2] for b in bad] == [(11, 2)] and bad[0][2] != "unknown header"
+
+
 def test_paths_within_a_folder(spark):
     cases = [
         ("hdfs://nn:8020/in/a/x.pdf", "hdfs://nn:8020/in"), ("hdfs://nn:8020/in/a/x.pdf", "/in/"),
