@@ -73,7 +73,7 @@ def one_to_one_assign(led):
         return df.select(*S.KEYS, day_number(F.col("date")).alias("day"), F.col("id").alias(name))
 
     left, right = side(led.statement_lines, "left_id"), side(led.transactions, "right_id")
-    return one_to_one(left, right, S.KEYS, nearest_first(5))
+    return one_to_one(left, right, S.KEYS, nearest_first(5)).drop(*S.KEYS)
 
 
 @query(
