@@ -166,6 +166,49 @@ def overlap_counts(batches: DataFrame) -> DataFrame:
     )
 
 
+SPAN_LEVELS = 16  # aligned blocks of up to 2^16 days
+
+
+def _spans(files: DataFrame) -> DataFrame:
+    """``files`` (day numbers first_day, last_day) with ``level`` and ``block``: the
+    aligned blocks of 2^level days that make up the period, two a level at most."""
+    parts = []
+    for level in range(SPAN_LEVELS + 1):
+        width = F.lit(1 << level)
+        head = F.ceil(F.col("first_day") / width)
+        tail = F.floor((F.col("last_day") + 1) / width) - 1
+        # a block whose neighbour is inside as well is part of a wider one
+        top = F.lit(level == SPAN_LEVELS)
+        for block, outer in ((head, F.pmod(head, F.lit(2)) == 1), (tail, F.pmod(tail, F.lit(2)) == 0)):
+            parts.append(F.when((head <= tail) & (outer | top), F.struct(F.lit(level).alias("level"), block.alias("block"))))
+    spans = F.explode(F.array_distinct(F.array_compact(F.array(*parts))))
+    return files.withColumn("_span", spans).select("*", "_span.*").drop("_span")
+
+
+def _wider(spans: DataFrame) -> DataFrame:
+    """Every span with all the blocks that hold it."""
+    up = spans.withColumn("_up", F.explode(F.sequence("level", F.lit(SPAN_LEVELS))))
+    return up.withColumn("block", F.expr("shiftright(block, _up - level)")).withColumn("level", F.col("_up")).drop("_up")
+
+
+def overlapping_files(batches: DataFrame) -> DataFrame:
+    """For each file under review the committed files of its account that cover some of
+    the same days: id, other_id.
+
+    Two periods share a day if and only if a span of one holds a span of the other, so
+    this is an equality join on spans whose rows are overlaps, a few for each, and
+    no pair of files apart is ever formed. A period that ends before it starts has none."""
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
+    known = batches.where("account_id is not null").select(
+        "id", "account_id", "status", day("period_start").alias("first_day"), day("period_end").alias("last_day")
+    )
+    asked = _spans(known.where("status = 'review'")).select("account_id", "level", "block", "id")
+    held = _spans(known.where("status = 'committed'")).select("account_id", "level", "block", F.col("id").alias("other_id"))
+    keys = ["account_id", "level", "block"]
+    both = asked.join(_wider(held), keys).unionByName(_wider(asked).join(held, keys))
+    return both.select("id", "other_id").distinct()
+
+
 def overlaps_of(batches: DataFrame, asked: DataFrame) -> DataFrame:
     """The committed files themselves for the few files somebody is looking at."""
     wanted = asked.select(

@@ -144,6 +144,16 @@ def overlapping_batches(led):
     return S.overlap_counts(led.batches)
 
 
+@query(
+    "overlapping_files",
+    """SELECT r.id, c.id AS other_id FROM batches r JOIN batches c ON c.account_id = r.account_id AND c.status = 'committed'
+      AND c.period_start <= r.period_end AND r.period_start <= c.period_end
+    WHERE r.status = 'review'""",
+)
+def overlapping_files(led):
+    return S.overlapping_files(led.batches)
+
+
 @query(
     "prior_file_warning",
     """SELECT b.id, b.file_hash, f.first_id FROM batches b

@@ -381,3 +381,21 @@ def test_a_statement_without_a_balance_is_held(spark):
     assert {r["batch_id"]: r["blocked"] for r in out.collect()} == {1: False, 2: True, 3: True}
     on_file = spark.createDataFrame([], "account_id long, date date, balance_cents long")
     assert sorted(r["batch_id"] for r in statement_hold_check(out, balances, on_file).collect()) == [2, 3]
+
+
+def test_overlapping_files_against_all_pairs(spark):
+    from hearthbook.operators.staging import overlapping_files
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        start = dt.date(1969, 6, 1) + dt.timedelta(rng.randrange(900))
+        account = None if i % 40 == 7 else 1 if i % 3 else 2
+        rows.append((i, account, rng.choice(["review", "committed", "discarded"]), start, start + dt.timedelta(rng.choice([-1, 0, 1, 30, 365, 40000]))))
+    df = spark.createDataFrame(rows, "id long, account_id long, status string, period_start date, period_end date")
+    want = {
+        (a[0], b[0]) for a in rows for b in rows
+        if a[2] == "review" and b[2] == "committed" and a[1] == b[1] is not None and max(a[3], b[3]) <= min(a[4], b[4])
+    }
+    got = [tuple(r) for r in overlapping_files(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
