@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -46,6 +47,15 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(spark.sparkContext)
 
 
+def give_back() -> None:
+    """Free memory of Arrow and, where the C library can (glibc), of numpy and Python
+    goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``mapInArrow`` on workers that know this package. A worker lives on, so it gives
     back what a partition took."""
@@ -53,7 +63,7 @@ def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -22,6 +22,7 @@ strings first have to meet:
    at last as long as the window, where a context is its anchor.
 
 Strings of equal words are found in the same way: a text becomes eight bytes a word.
+Copies of a text are counted first, by its hash, and one document stands for them.
 
 Every step is exact for all inputs, words by 64-bit hashes; the text is shuffled once for the contexts of
 step 3 and once for the result, and all that lies between is narrow.
@@ -42,10 +43,12 @@ from pyspark.sql import functions as F
 from .common import blocks, map_batches, temporary, utf8, written
 
 LEAST = 400
-HOT = 4096
+HOT = 2048
 FEW = 500_000  # keys of 16 bytes that may be broadcast
-CHUNK_BYTES = 1 << 20
-PIECE_BYTES = 1 << 19
+# about a hundred bytes are held per byte of a chunk or piece; a chunk ends with an
+# anchor, which has up to HOT contexts of at most twice the window
+CHUNK_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
 PLACE_BITS = 23
 WORD_BYTES = 8
 
@@ -128,13 +131,16 @@ def _pieces(offsets: np.ndarray, least: int) -> Iterator[tuple[list[int], list[i
         yield rows, starts, ends
 
 
-def occurrences(texts: DataFrame, k: int, least: int) -> DataFrame:
+def occurrences(texts: DataFrame, k: int, least: int, in_words: bool = False) -> DataFrame:
     """The occurrences of ``texts`` (key, doc, base, weight, group, body); ``group``
-    is mixed into the anchor, ``base`` is the place of the body in its text."""
+    is mixed into the anchor, ``base`` is the place of the body in its text.
+    ``in_words``: the bodies are still text, to be searched by words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("body"))
+            if in_words:
+                data, offsets = coded(data, offsets)
             base = batch.column("base").to_numpy()
             group = batch.column("group").to_numpy()
             for rows, starts, ends in _pieces(offsets, least):
@@ -285,9 +291,10 @@ def _only(texts: DataFrame, keys: DataFrame, few: int = FEW) -> DataFrame:
     return texts.join(F.broadcast(keys.select(F.col("key").alias("__k"))), F.col("key") == F.col("__k"), "left_semi")
 
 
-def _bodies(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+def _bodies(documents: DataFrame, wanted: DataFrame, least: int, in_words: bool = False) -> DataFrame:
     """``wanted`` (anchor, context, weight, key, doc, first, last) with the bytes of
-    each context. The places of one text come together in one row."""
+    each context, or the codes of its words. The places of one text come together in
+    one row; what is shuffled is the text."""
     places = wanted.groupBy("key", "doc").agg(F.collect_list(F.struct("anchor", "context", "weight", "first", "last")).alias("places"))
     documents = _only(documents, places.select("key").distinct())
     joined = documents.join(places.withColumnsRenamed({"key": "k", "doc": "d"}), (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")))
@@ -297,9 +304,12 @@ def _bodies(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
         names = [p.split()[0] for p in place.split(", ")]
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.binary())
         for batch in batches:
+            data, offsets = utf8(batch.column("body"))
+            if in_words:
+                data, offsets = coded(data, offsets)
             for row in range(batch.num_rows):
                 key, doc = batch.column("key")[row].as_py(), batch.column("doc")[row].as_py()
-                raw = batch.column("body")[row].as_py()
+                raw = data[offsets[row] : offsets[row + 1]].tobytes()
                 own = [
                     (p["anchor"], p["context"], p["weight"], key, doc, p["first"], raw[p["first"] : p["last"] + least])
                     for p in batch.column("places")[row].as_py()
@@ -336,20 +346,35 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return code ^ (code >> np.uint64(29)), np.searchsorted(begins, offsets)
 
 
-def _in_words(texts: DataFrame) -> DataFrame:
-    """``texts`` (key, doc, body) with the codes of the words as their bodies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("body"))
-            for a, b in blocks(offsets, PIECE_BYTES):
-                codes, at = word_codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                raw = codes.astype("<u8").tobytes()
-                bodies = [raw[x * WORD_BYTES : y * WORD_BYTES] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("doc"), pa.array(bodies, pa.binary())], names=["key", "doc", "body"])
-
-    return map_batches(texts, run, "key binary, doc string, body binary")
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows as codes of their words, WORD_BYTES each, and the n + 1 offsets. Pieces
+    of about PIECE_BYTES are coded at a time, long rows being cut at blanks."""
+    cuts = [offsets]
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        if b - a > PIECE_BYTES:
+            blank = np.flatnonzero(BLANK[data[a:b]]) + a
+            at = np.searchsorted(blank, np.arange(a + PIECE_BYTES, b, PIECE_BYTES))
+            cuts.append(blank[at[at < len(blank)]])
+    cut = np.unique(np.concatenate(cuts))
+    codes, begins = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in blocks(cut, PIECE_BYTES, rows=len(cut)):
+        own, begin = word_codes(data[cut[a] : cut[b]], cut[a : b + 1] - cut[a])
+        codes.append(own)
+        begins.append(begins[-1][-1] + begin[1:])
+    raw = np.concatenate(codes).astype("<u8").view(np.uint8)
+    return raw, np.concatenate(begins)[np.searchsorted(cut, offsets)] * WORD_BYTES
+
+
+def one_per_text(texts: DataFrame, few: int = FEW) -> DataFrame:
+    """Of the ``texts`` (key, doc, body) with one key those with the smallest doc, each
+    with the number of them all as its ``weight``. Only keys travel if the texts that
+    have copies are counted to be few."""
+    copies = texts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("copies"), F.min("doc").alias("d"))
+    copies = written(copies.where("copies > 1"), "copies")
+    small = copies.limit(few + 1).count() <= few
+    joined = texts.join(F.broadcast(copies) if small else copies.hint("merge"), F.col("key") == F.col("k"), "left")
+    own = joined.where(F.col("k").isNull() | F.col("doc").eqNullSafe(F.col("d")))
+    return own.select("key", "doc", F.coalesce("copies", F.lit(1).cast("long")).alias("weight"), "body")
 
 
 def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT, in_words: bool = False) -> DataFrame:
@@ -359,15 +384,14 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     ``least`` are bytes of the text's words, WORD_BYTES each."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = documents.select(text_key(F.col(text)).alias("key"), F.col(doc_id).cast("string").alias("doc"), body.alias("body"))
-    if in_words:
-        texts = _in_words(texts)
-    long_enough = texts.where(F.octet_length("body") >= least)
+    fewest = 2 * (least // WORD_BYTES) - 1 if in_words else least  # a word and a blank have two bytes
     zero = F.lit(0).cast("long")
-    now = long_enough.select("key", "doc", zero.alias("base"), F.lit(1).cast("long").alias("weight"), zero.alias("group"), "body")
+    long_enough = one_per_text(texts.where(F.octet_length("body") >= fewest))
+    now = long_enough.select("key", "doc", zero.alias("base"), "weight", zero.alias("group"), "body")
     found = []
     sizes = anchor_sizes(least)
     for k in sizes:
-        seen = written(occurrences(now, k, least), f"anchors-{k}")
+        seen = written(occurrences(now, k, least, in_words and k == sizes[0]), f"anchors-{k}")
         by_context = seen.groupBy("anchor", "context").agg(
             F.sum("weight").alias("weight"), F.min(F.struct("key", "doc", "first", "last")).alias("at")
         )
@@ -380,7 +404,7 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         several = several.where("contexts > 1 and least = 1").select("anchor", "contexts")
         wanted = by_context.join(several, "anchor").select("anchor", "context", "contexts", "weight", "at.*")
         wanted = written(wanted, f"wanted-{k}")
-        contexts = _bodies(texts, wanted.drop("contexts"), least)
+        contexts = _bodies(texts, wanted.drop("contexts"), least, in_words)
         crowded = wanted.where(F.col("contexts") > hot)
         n_crowded = crowded.select("anchor").distinct().limit(1).count()
         if not n_crowded:
@@ -461,7 +485,7 @@ def _masks(batch: pa.RecordBatch, least: int, words: int = 0) -> Iterator[tuple[
 
 def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs) and kept_sha256.
+    removed runs), kept_sha256, and repeated (whether anything is removed).
 
     A null text is empty; a text shorter than ``least`` loses nothing. Copies of a
     text, repeated rows included, occur elsewhere and so lose everything. Other
@@ -474,16 +498,17 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             out: list[tuple] = []
             for data, gone in _masks(batch, least):
                 spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
-                out.append((len(data), int(gone.sum()), spans, sha256(data[~gone].tobytes()).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                out.append((len(data), int(gone.sum()), spans, sha256(data[~gone].tobytes()).hexdigest(), spans > 0))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated"],
             )
 
     kind = dict(documents.dtypes)[doc_id]
-    return map_batches(joined.select("doc_id", "__text", "__places"), run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeated boolean"
+    return map_batches(joined.select("doc_id", "__text", "__places"), run, schema)
 
 
 def cut_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT, words: int = 0) -> DataFrame:

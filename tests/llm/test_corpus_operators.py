@@ -137,7 +137,7 @@ def without_repeats(rows, least):
                 gone[j : j + least] = b"\1" * least
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
-        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), any(gone)))
     return out
 
 
@@ -173,6 +173,31 @@ def test_repeat_edges(spark, edge, empty):
     assert {r["text"] for r in accents.collect()} == {"x", "y"}
 
 
+def test_copies_are_searched_once(spark):
+    """One document of copies stands for all, null ids and repeated rows included; both
+    ways of joining agree."""
+    rows = [(i, "copied " * 20) for i in (7, 3, 9)] + [(3, "copied " * 20), (None, "x"), (None, "x"), (1, "alone"), (2, None), (4, "")]
+    texts = documents(spark, rows).selectExpr("unhex(sha2(coalesce(text, ''), 256)) AS key", "CAST(doc_id AS string) AS doc", "CAST(coalesce(text, '') AS binary) AS body")
+    for few in (100, 0):
+        got = sorted((bytes(r["body"])[:6], r["doc"], r["weight"]) for r in suffix_dedup.one_per_text(texts, few).collect())
+        assert got == [(b"", "2", 2), (b"alone", "1", 1), (b"copied", "3", 4), (b"copied", "3", 4), (b"x", None, 2), (b"x", None, 2)]
+    many = documents(spark, [(i, "first " * 30 + "tail") for i in range(300)] + [(400, "first " * 30)])
+    got = suffix_dedup.report(many.repartition(5), least=60).collect()
+    assert sorted(map(tuple, got)) == sorted(without_repeats([(r["doc_id"], r["text"]) for r in many.collect()], 60))
+
+
+def test_long_texts_are_coded_in_pieces(monkeypatch):
+    """Words have the same codes wherever a long text is cut, a word longer than a piece too."""
+    rows = [sentence(9, 400), "", "w" * 900, sentence(3, 2), " \n ", sentence(4, 90) + "  " + "v" * 500 + " " + sentence(5, 90)]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])])
+    whole, at = suffix_dedup.coded(data, offsets)
+    assert list(np.diff(at) // suffix_dedup.WORD_BYTES) == [len(r.split()) for r in rows]
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 200)
+    pieces, places = suffix_dedup.coded(data, offsets)
+    assert (pieces == whole).all() and (places == at).all()
+
+
 def test_a_text_longer_than_a_piece(spark, monkeypatch):
     one = sentence(9, 400)
     data, offsets = np.frombuffer(one.encode(), np.uint8), np.array([0, len(one.encode())])
