@@ -37,10 +37,9 @@ def _hashes(words: Column, size: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, size: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id as text, n, window) for each distinct window of each item. Items
-    without an id or without words have none."""
+    without words have none; those without an id share a null."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), words_of(F.col(text)).alias("w"))
-    items = items.where(F.col("item_id").isNotNull() & (F.size("w") > 0))
-    items = items.withColumn("n", F.least(F.size("w"), F.lit(size)))
+    items = items.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(size)))
     starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
     windows = F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
     return items.select("item_id", "n", F.explode_outer(F.array_distinct(windows)).alias("window")).distinct()
@@ -99,23 +98,34 @@ def covered(places: Column) -> Column:
     return F.aggregate(F.sort_array(places), zero, add, lambda s: s.words)
 
 
-def report(documents: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def report(
+    documents: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text",
+    few: int = 1_000_000, **options,
+) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_words, n_hit (words inside any
     occurrence), n_items, items (ids in text order), contaminated.
 
     A null or empty text has no words and no hits. Repeated rows each get their row.
-    Other columns are left out, so none can clash. A document's occurrences and items
+    Windows of an item with a null id are hits, but there is no item to name or count.
+    Copies of a hit text lie where they are if the hit texts are counted to be few; else
+    null texts are spread by their doc_id, and the rest is a join by text. Other columns are left out, so none can clash. A document's occurrences and items
     are gathered in one row, which its own length and the benchmark bound."""
-    hits = find_hits(documents, benchmark, size, text, **options)
-    found = hits.groupBy("key").agg(
+    hits = find_hits(documents, benchmark, size, text, few=few, **options)
+    found = hits.groupBy(F.col("key").alias("k")).agg(
         covered(F.collect_set(F.struct("start", "n"))).cast("long").alias("n_hit"),
         F.sort_array(F.collect_set("item_id")).alias("items"),
     )
+    found = written(found, "found")
+    texts, named = found.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    is_few = texts <= few // 10 and named <= few
+    spread = F.concat(F.lit("null "), F.xxhash64(doc_id).cast("string"))  # no text's SHA-256
     own = documents.select(
-        F.col(doc_id).alias("doc_id"), F.sha2(F.col(text), 256).alias("key"), F.size(words_of(F.col(text))).cast("long").alias("n_words")
-    )
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.sha2(F.col(text), 256), spread).alias("key"),
+        F.size(words_of(F.col(text))).cast("long").alias("n_words"),
+    )
     none = F.array().cast("array<string>")
-    out = own.join(found, "key", "left").withColumn("items", F.coalesce("items", none))
+    out = own.join(F.broadcast(found) if is_few else found, F.col("key") == F.col("k"), "left")
+    out = out.withColumn("items", F.coalesce("items", none))
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), "items",

@@ -139,7 +139,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
       select item_id,
              coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w
-      from benchmark where item_id is not null
+      from benchmark
     ), windows as (
       select distinct item_id, least(len(w), 10) as n, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') as g
       from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as s from items where len(w) > 0)
@@ -153,7 +153,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
       select row, count(distinct p) as n_hit
       from (select distinct row, unnest(range(s, s + n)) as p from hits) group by row
     ), named as (
-      select row, count(*) as n_items, string_agg(id, ',' order by id) as ids
+      select row, count(id) as n_items, string_agg(id, ',' order by id) as ids
       from (select distinct row, cast(item_id as varchar) as id from hits) group by row
     )
     select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -239,8 +240,6 @@ def test_repeated_strings_of_words(spark):
 
 
 def windows_brute(docs, items, size=10):
-    import re
-
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: word.findall((t or "").translate({65 + k: 97 + k for k in range(26)}))
     out = []
@@ -248,14 +247,14 @@ def windows_brute(docs, items, size=10):
         w, hit, ids = words(t), set(), set()
         for item, u in items:
             v = words(u)
-            if not v or item is None:
+            if not v:
                 continue
             n = min(size, len(v))
             grams = {tuple(v[s : s + n]) for s in range(len(v) - n + 1)}
             for s in range(len(w) - n + 1):
                 if tuple(w[s : s + n]) in grams:
                     hit |= set(range(s, s + n))
-                    ids.add(str(item))
+                    ids |= {str(item)} - {"None"}  # an item without an id isn't named
         out.append((i, len(w), len(hit), len(ids), ",".join(sorted(ids)), bool(hit)))
     return out
 
@@ -283,6 +282,25 @@ def test_decontamination(spark, edge, empty):
     assert cut[20] == "x y " and cut[21] == sentence(2, 9) and cut[1] is None
 
 
+def test_items_without_an_id_and_hot_texts(spark):
+    """Words of an unnamed item are hit, named items alone are counted; copies of a hit
+    text and null texts, by broadcast and by shuffle."""
+    unnamed, named = sentence(71, 14), sentence(72, 11)
+    items = spark.createDataFrame([(None, unnamed), (None, "only"), ("a", named), ("b", named)], "item_id string, text string")
+    rows = [(1, "x " + unnamed), (2, unnamed + " " + named), (3, "clean text"), (4, "only")] + [(10 + i, named) for i in range(50)]
+    rows += [(100 + i, None) for i in range(50)] + [(None, None), (None, None)]
+    frame = documents(spark, rows)
+    size = lambda t: len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))
+    both = size(unnamed) + size(named)
+    want = [(1, size(unnamed) + 1, size(unnamed), 0, [], True), (2, both, both, 2, ["a", "b"], True), (3, 2, 0, 0, [], False), (4, 1, 1, 0, [], True)]
+    want += [(10 + i, size(named), size(named), 2, ["a", "b"], True) for i in range(50)]
+    want += [(i, 0, 0, 0, [], False) for i in [*range(100, 150), None, None]]
+    for few in (1_000_000, 0):
+        got = decontaminate.report(frame, items, few=few).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {r["doc_id"] for r in decontaminate.keep_clean(frame, items).collect()} == {3, None, *range(100, 150)}
+
+
 def test_no_python_in_decontamination(spark, edge):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = decontaminate.report(edge, items)._jdf.queryExecution().executedPlan().toString()
