@@ -33,6 +33,13 @@ def _run_size(text: Column, sizes: Sequence[int]) -> Column:
     return F.coalesce(*[F.when(F.length(text) >= s, F.lit(s)) for s in sorted(sizes, reverse=True)])
 
 
+def _meet(exploded: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Join exploded rows. Spark takes them to be as small as the rows they came from and
+    would send all of them to every executor, by way of the driver; merged, they never
+    leave the shuffle."""
+    return exploded.hint("merge").join(other, key)
+
+
 def contained_phrases(texts: DataFrame, phrases: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """(text, phrase, accounts, account_id) for every phrase a text contains.
     ``phrases``: phrase, accounts (how many share it), account_id (the lowest)."""
@@ -46,7 +53,7 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame, sizes: Sequence[int]
         spread = spread.unionByName(more)
     frequency = spread.groupBy("run").agg(F.count("*").alias("common"))
     signature = (
-        spread.join(frequency, "run")
+        _meet(spread, frequency, "run")
         .groupBy("phrase", "accounts", "account_id")
         .agg(F.min_by("run", F.struct("common", "run")).alias("run"))
     )
@@ -54,7 +61,7 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame, sizes: Sequence[int]
         "text", F.explode(F.array_union(_runs(F.col("text"), sizes[0]), F.flatten(F.array(*[_runs(F.col("text"), s) for s in sizes[1:]])))).alias("run")
     )
     return (
-        text_runs.join(signature, "run")
+        _meet(text_runs, signature, "run")
         .where(F.contains(F.col("text"), F.col("phrase")))
         .select("text", "phrase", "accounts", "account_id")
     )
@@ -79,7 +86,7 @@ def account_hint_match(hints: DataFrame, accounts: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("accounts"), F.min("id").alias("account_id"))
     )
     by_four = _level(
-        texts.select("text", F.explode(tails).alias("last_four")).join(fours, "last_four"), "four"
+        _meet(texts.select("text", F.explode(tails).alias("last_four")), fours, "last_four"), "four"
     )
 
     def grouped(column: str, least: int) -> DataFrame:

@@ -195,6 +195,31 @@ def test_account_hints(spark):
     assert got == {h.lower(): expected_hint(h) for h in HINTS}
 
 
+def test_hints_send_no_exploded_rows_through_the_driver(spark):
+    """Every text has some hundred character runs; they must not be broadcast because
+    the texts themselves are few."""
+    accounts = spark.createDataFrame(ACCOUNTS, "id long, name string, institution string, last_four string")
+    hints = spark.range(400).select(F.concat(F.lit("visa "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    seen = []
+    out = H.account_hint_match(hints, accounts)
+    assert out.where("outcome != 'none'").count() == 400
+    plan = out.groupBy("outcome").count()
+    plan.collect()
+    walk = [plan._jdf.queryExecution().executedPlan()]
+    while walk:
+        node = walk.pop()
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            walk.append(node.executedPlan())
+        elif kind.endswith("QueryStage"):
+            walk.append(node.plan())
+        else:
+            if kind == "BroadcastExchange":
+                seen.append(node.metrics().apply("numOutputRows").value())
+            walk += [node.children().apply(i) for i in range(node.children().size())]
+    assert max(seen, default=0) <= 400
+
+
 def test_import_twice_adds_nothing(spark):
     wall = [(i, 1, 0, -5, "SAME LINE") for i in range(1, 6)] + [(9, 1, 1, -7, "OTHER")]
     ledger = staging.with_dedupe_key(txns(spark, wall), ["account_id"])
