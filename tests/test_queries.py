@@ -6,6 +6,7 @@ from compare import compare, duck
 
 import hearthbook.plans as plans
 from __spark_entry__ import entry, oracle_sql, queries
+from hearthbook.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -47,3 +48,25 @@ def test_query(spark, con, name):
 def test_no_pairwise_joins(spark, name):
     plan = queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_shop_orders_are_written_once(spark):
+    """Orders and charges are read by every step of the matcher; line items must not be
+    added up for each."""
+    led = registry.ledger(spark, SF_DIR)
+    for df in (led.shop_orders, led.charges):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_held_base_is_read_as_written(spark):
+    led = registry.ledger(spark, SF_DIR)
+    led.hold_base()
+    for df in (led.transactions, led.staged):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_share_nothing_written(spark):
+    first = registry.ledger(spark, SF_DIR)
+    first.order_matches = "of tables as they were"
+    assert "order_matches" not in registry.ledger(spark, SF_DIR).__dict__
