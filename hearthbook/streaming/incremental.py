@@ -32,7 +32,8 @@ def read_uploads(uploads: DataFrame, mappings: DataFrame) -> tuple[DataFrame, Da
         "account_id", "file_id", "row_index", "signature", F.lit("unknown header").alias("problem")
     )
     own = ["account_id", "signature"]
-    read = map_records(once.join(mappings, own), carry=own)
+    # written out: ranking samples its rows before it sorts them, problems are read beside
+    read = cut_lineage(map_records(once.join(mappings, own), carry=own))
     rows = with_dedupe_key(mapped_rows(read, own), ["account_id", "file_id"], "row_index").select(
         "account_id", "date", "amount_cents", "description", "dedupe_hash"
     )
@@ -81,6 +82,7 @@ def incremental_ingest(
     feed = spark.readStream.schema(UPLOAD_SCHEMA).option("recursiveFileLookup", "true").json(folder)
 
     def land(batch: DataFrame, number: int) -> None:
+        batch = cut_lineage(batch)  # the files are parsed once, whatever is asked of them
         rows, problems = read_uploads(batch, mappings)
         problems.write.mode("overwrite").parquet(f"{problem_path}/batch={number}")
         unknown = batch.join(mappings.select("account_id", "signature"), ["account_id", "signature"], "left_anti")
