@@ -221,6 +221,7 @@ def closing(led):
     GROUP BY p.account_id, p.to_date, p.to_cents, p.from_cents""",
 )
 def ledger_plus_pending(led):
+    led.hold_base()
     review = led.batches.where("status = 'review'").select(F.col("id").alias("batch_id"))
     rows = staged_included(staging.final(led)).join(review, "batch_id", "left_semi")
     prints = closing(led).join(review, "batch_id", "left_semi")

@@ -179,8 +179,10 @@ def synthetic_ledger(led):
 )
 def ledger_sink(led):
     cols = ["account_id", "date", "amount_cents", "description", "dedupe_hash"]
+    final = staging_plans.final(led)
     lines = staging_plans.ledger_index(led).around(staging_plans.staged_lines(led))[0]
-    rows = commit_rows(staging_plans.final(led), lines).select(*cols)
+    # written out, as each append reads it
+    rows = cut_lineage(commit_rows(final, lines).select(*cols))
     path = scratch(led.spark, "ledger")
     append_rows(rows, path)
     append_rows(rows, path)  # a repeated commit adds nothing
@@ -211,11 +213,11 @@ def _linked_sql(books: str, out: str) -> str:
 def ledger_commit(led):
     """Two imports into an empty ledger: the bank's own rows, then a file that brings
     them once more beside the legs of their transfers."""
+    led.hold_base()
     path, name = scratch(led.spark, "books"), f"commit_{uuid.uuid4().hex}"
     log, index = CommitLog(led.spark, path), DedupeIndex(led.spark, name, f"{path}/index")
-    keyed = cut_lineage(
-        staging_plans.hashed_ledger(led).select("id", "account_id", "date", "amount_cents", "description", "merchant", "category_id", "dedupe_hash")
-    )
+    # ranking writes the rows out
+    keyed = staging_plans.hashed_ledger(led, "merchant", "category_id")
     balances = [led.statement_balances.withColumn("source", F.lit("import")), led.snapshots]
     told = []
     for i, rows in enumerate([keyed.where("id < 10000000000000"), keyed], start=1):
