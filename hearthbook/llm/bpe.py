@@ -4,7 +4,8 @@ Each match of the splitting pattern is encoded by itself. A segment tree over it
 byte positions holds, for each live position, the rank of the pair that starts there;
 the root is the leftmost pair of least rank. A merge is three point updates: the
 merged part, the part it swallowed, and the live neighbour before it. A piece of n
-bytes costs O(n log n), so one endless word is no trap.
+bytes costs O(n log n), so one endless word is no trap. Up to ``SHORT`` bytes, where
+building the tree is most of the work, a list of the pairs' ranks is searched instead.
 
 Texts are read where they lie: no shuffle, one batch in memory, and a table of the
 short pieces a worker has met (at most ``CACHED`` entries) in front of the tree.
@@ -16,6 +17,7 @@ import base64
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,34 @@ from .common import add_columns
 
 CACHED = 300_000
 CACHED_LENGTH = 40
+SHORT = 64
 NONE = 1 << 62
 LOW = (1 << 32) - 1
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one piece, whose pairs are looked over anew for every merge: the square
+    of its bytes, but for a word less than a tree takes to be built."""
+    n = len(piece)
+    rank, cut = ranks.get, list(range(n + 1))  # where the parts begin, and the end
+    pairs = [rank(piece[i : i + 2], NONE) for i in range(n - 1)]
+    while pairs and (least := min(pairs)) != NONE:
+        i = pairs.index(least)
+        del pairs[i], cut[i + 1]
+        if i < len(pairs):
+            pairs[i] = rank(piece[cut[i] : cut[i + 2]], NONE)
+        if i:
+            pairs[i - 1] = rank(piece[cut[i - 1] : cut[i + 1]], NONE)
+    return [ranks[piece[a:b]] for a, b in pairwise(cut)]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece."""
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return merge_short(piece, ranks)
     size = 1 << (n - 1).bit_length()
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     tree = [NONE] * (2 * size)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import timeit
 
 import numpy as np
 import public_tokenizers as P
@@ -33,6 +34,23 @@ def test_merge_equals_the_library(library):
         assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_short_pieces_need_no_tree(library, monkeypatch):
+    """Words are merged without the tree: the same ids around the bound, in less time."""
+    own, rng = bpe.Codec(PATH, P.PATTERN), random.Random(6)
+    parts = ["th", "er", "on", "aa", "é", "ß", "x", "ing", "ü", "\u4e2d", "q"]
+    words = ["".join(rng.choice(parts) for _ in range(n)) for n in range(1, 90) for _ in range(4)] + ["a" * n for n in range(1, 140)]
+    raw = [rng.randbytes(n) for n in range(2, 80)] + [w.encode() for w in words]
+    usual = [" " + "".join(rng.choice(parts) for _ in range(5)) for _ in range(3000)]
+    took = {}
+    for short in (bpe.SHORT, 0):
+        monkeypatch.setattr(bpe, "SHORT", short)
+        got = [bpe.merge(r, own.ranks) for r in raw]
+        took[short] = min(timeit.repeat(lambda: [bpe.merge(u.encode(), own.ranks) for u in usual], number=1, repeat=5)), got
+    (less, a), (more, b) = took.values()
+    assert a == b and a[78:] == [library._encode_single_piece(w) for w in words]
+    assert less < 0.85 * more
+
+
 def test_bpe_rows(spark, edge, empty, library):
     got = sorted(map(str, bpe.round_trip(edge, PATH, P.PATTERN, keep=["doc_id"]).collect()))
     want = []
