@@ -76,16 +76,19 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return up, down, value ^ (value >> np.uint64(31))
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, k: int, least: int) -> tuple[np.ndarray, ...]:
+def anchored(data: np.ndarray, offsets: np.ndarray, k: int, least: int, unit: int = 1) -> tuple[np.ndarray, ...]:
     """(row, first, last, anchor hash): for every maximal range first..last of window
-    starts of a row with the same anchor. ``data`` is of 2 * PIECE_BYTES at most."""
+    starts of a row with the same anchor. ``data`` is of 2 * PIECE_BYTES at most.
+    ``unit``: WORD_BYTES if the data are codes of words; windows start with a word."""
+    if unit > 1:
+        data, offsets, k, least = data.view("<u8"), offsets // unit, max(1, k // unit), least // unit
     n, width = len(data), least - k + 1
     nothing = (np.zeros(0, np.int64),) * 4
     if n < least:
         return nothing
     up, down, value = _powers()
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[data] * up[:n], out=total[1:])
+    np.cumsum((value[data] if unit == 1 else data) * up[:n], out=total[1:])
     h = (total[k:] - total[:-k]) * down[: n - k + 1]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -106,17 +109,17 @@ def anchored(data: np.ndarray, offsets: np.ndarray, k: int, least: int) -> tuple
     row, at = row[start], at[start]
     cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(row) != 0)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(start)]]) - 1
-    return row[first], start[first], start[last], h[at[first]].view(np.int64)
+    return row[first], start[first] * unit, start[last] * unit, h[at[first]].view(np.int64)
 
 
-def _pieces(offsets: np.ndarray, least: int) -> Iterator[tuple[list[int], list[int], list[int]]]:
+def _pieces(offsets: np.ndarray, least: int, unit: int = 1) -> Iterator[tuple[list[int], list[int], list[int]]]:
     """(rows, starts, ends) of about PIECE_BYTES; a longer row goes in pieces that
     overlap so that each window lies in just one."""
     rows, starts, ends, size = [], [], [], 0
     for r in range(len(offsets) - 1):
         a, b = int(offsets[r]), int(offsets[r + 1])
         while b - a >= least:
-            stop = min(b, a + PIECE_BYTES + least - 1)
+            stop = min(b, a + PIECE_BYTES // unit * unit + least - unit)
             if rows and size + stop - a > PIECE_BYTES:
                 yield rows, starts, ends
                 rows, starts, ends, size = [], [], [], 0
@@ -126,15 +129,16 @@ def _pieces(offsets: np.ndarray, least: int) -> Iterator[tuple[list[int], list[i
             size += stop - a
             if stop == b:
                 break
-            a = stop - least + 1
+            a = stop - least + unit
     if rows:
         yield rows, starts, ends
 
 
-def occurrences(texts: DataFrame, k: int, least: int, in_words: bool = False) -> DataFrame:
+def occurrences(texts: DataFrame, k: int, least: int, in_words: bool = False, unit: int = 1) -> DataFrame:
     """The occurrences of ``texts`` (key, doc, base, weight, group, body); ``group``
     is mixed into the anchor, ``base`` is the place of the body in its text.
-    ``in_words``: the bodies are still text, to be searched by words."""
+    ``in_words``: the bodies are still text, to be searched by words; then ``unit`` is
+    WORD_BYTES, as it is for bodies of such codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +147,11 @@ def occurrences(texts: DataFrame, k: int, least: int, in_words: bool = False) ->
                 data, offsets = coded(data, offsets)
             base = batch.column("base").to_numpy()
             group = batch.column("group").to_numpy()
-            for rows, starts, ends in _pieces(offsets, least):
+            for rows, starts, ends in _pieces(offsets, least, unit):
                 part = np.concatenate([data[a:b] for a, b in zip(starts, ends, strict=True)])
                 raw = part.tobytes()
                 inner = np.concatenate([[0], np.cumsum(np.array(ends) - np.array(starts))])
-                row, first, last, anchor = anchored(part, inner, k, least)
+                row, first, last, anchor = anchored(part, inner, k, least, unit)
                 own = np.array(rows)[row]
                 shift = (np.array(starts) - inner[:-1] - offsets[np.array(rows)])[row] + base[own]
                 context = [blake2b(raw[a : b + least], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
@@ -165,32 +169,35 @@ def occurrences(texts: DataFrame, k: int, least: int, in_words: bool = False) ->
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The suffix array by prefix doubling, and the ranks by prefixes of 7, 14, 28,
-    ... symbols on the way. Symbols are below 511."""
+    """The suffix array by prefix doubling, or rather by as many ranks side by side as a
+    key of 63 bits has room for, and the ranks by prefixes of 7, 21, 63, ... symbols on
+    the way (up to two million symbols; of fewer if a symbol takes more than nine bits)."""
     n = len(text)
-    wide = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])  # 0 is past the end
-    key = np.zeros(n, np.int64)
-    for j in range(7):
-        key = (key << 9) | wide[j : j + n]
-    levels, h = [], 7
+    bits = max(9, int(text.max() + 1).bit_length())
+    symbols, h, levels = text, 1, []
     while True:
+        together = max(2, 63 // bits)
+        wide = np.zeros(n + (together - 1) * h, np.int64)  # 0 is past the end
+        wide[:n] = symbols
+        wide[:n] += 1
+        key = wide[:n].copy()
+        for j in range(1, together):
+            key <<= bits
+            key |= wide[j * h : j * h + n]
+        h *= together
         order = np.argsort(key)
         ordered = key[order]
         step = np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int32)])
-        rank = np.empty(n, np.int32)
-        rank[order] = np.cumsum(step, dtype=np.int32)
-        levels.append((h, rank))
-        if h >= n or int(rank[order[-1]]) == n - 1:
+        symbols = np.empty(n, np.int32)
+        symbols[order] = np.cumsum(step, dtype=np.int32)
+        levels.append((h, symbols))
+        if h >= n or int(symbols[order[-1]]) == n - 1:
             return order, levels
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:]
-        after[: n - h] += 1
-        key = rank.astype(np.int64) * (n + 1) + after
-        h *= 2
+        bits = n.bit_length()
 
 
 def common_prefix(levels: list[tuple[int, np.ndarray]], text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of suffix pairs, from the ranks of the doubling."""
+    """Length of the common prefix of suffix pairs, from the ranks on the way."""
     n, out = len(text), np.zeros(len(a), np.int64)
     a, b = a.copy(), b.copy()
 
@@ -201,8 +208,11 @@ def common_prefix(levels: list[tuple[int, np.ndarray]], text: np.ndarray, a: np.
         a[same] += size
         b[same] += size
 
+    above = levels[-1][0]
     for size, rank in reversed(levels):
-        forward(size, rank)
+        for _ in range(max(1, above // size - 1)):
+            forward(size, rank)
+        above = size
     for _ in range(2 * levels[0][0]):
         forward(1, text)
     return out
@@ -224,15 +234,20 @@ def matching_statistics(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(bodies: list[bytes], unique: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(bodies: list[bytes], unique: np.ndarray, least: int, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(body, first, last): ranges of window starts of the unique bodies that occur in
-    another body as well."""
-    size = np.array([len(b) for b in bodies])
+    another body as well. ``unit``: WORD_BYTES if a symbol is the code of a word."""
+    least //= unit
+    size = np.array([len(b) // unit for b in bodies])
     start = np.concatenate([[0], np.cumsum(size + 1)])
-    text = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int16)
-    inside = np.ones(len(text), bool)
+    symbols = np.frombuffer(b"".join(bodies), np.uint8 if unit == 1 else "<u8")
+    if unit > 1:
+        symbols = np.unique(symbols, return_inverse=True)[1]
+    inside = np.ones(start[-1], bool)
     inside[start[1:] - 1] = False
-    text = np.where(inside, text + 1, 0)
+    text = np.zeros(len(inside), np.int16 if unit == 1 else np.int32)
+    text[inside] = symbols
+    text[inside] += 1
     own = np.zeros(len(text) + 1, np.int32)
     np.add.at(own, start[:-1][unique], 1)
     np.add.at(own, (start[:-1] + size - least + 1)[unique], -1)
@@ -240,10 +255,10 @@ def repeated_windows(bodies: list[bytes], unique: np.ndarray, least: int) -> tup
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
     body = np.searchsorted(start, first, "right") - 1
-    return body, first - start[body], last - start[body]
+    return body, (first - start[body]) * unit, (last - start[body]) * unit
 
 
-def _index_matches(contexts: DataFrame, least: int) -> DataFrame:
+def _index_matches(contexts: DataFrame, least: int, unit: int = 1) -> DataFrame:
     """(key, first, last) of the repeated windows of unique contexts, by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +267,7 @@ def _index_matches(contexts: DataFrame, least: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             unique = np.array([r[0] < 2 for r in rows])
-            body, first, last = repeated_windows([r[3] for r in rows], unique, least)
+            body, first, last = repeated_windows([r[3] for r in rows], unique, least, unit)
             base = np.array([r[2] for r in rows], np.int64)[body]
             return pa.RecordBatch.from_arrays(
                 [pa.array([rows[i][1] for i in body], pa.binary()), pa.array(base + first), pa.array(base + last)],
@@ -381,17 +396,17 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(key, places): for every distinct text with repeated bytes the ranges
     (first, last) of window starts that are repeated; the bytes from ``first`` up to
     ``last + least`` go. ``key`` is ``text_key`` of the text. ``in_words``: places and
-    ``least`` are bytes of the text's words, WORD_BYTES each."""
+    ``least`` are bytes of the text's words, WORD_BYTES each, and places begin with a word."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = documents.select(text_key(F.col(text)).alias("key"), F.col(doc_id).cast("string").alias("doc"), body.alias("body"))
     fewest = 2 * (least // WORD_BYTES) - 1 if in_words else least  # a word and a blank have two bytes
-    zero = F.lit(0).cast("long")
+    zero, unit = F.lit(0).cast("long"), WORD_BYTES if in_words else 1
     long_enough = one_per_text(texts.where(F.octet_length("body") >= fewest))
     now = long_enough.select("key", "doc", zero.alias("base"), "weight", zero.alias("group"), "body")
     found = []
     sizes = anchor_sizes(least)
     for k in sizes:
-        seen = written(occurrences(now, k, least, in_words and k == sizes[0]), f"anchors-{k}")
+        seen = written(occurrences(now, k, least, in_words and k == sizes[0], unit), f"anchors-{k}")
         by_context = seen.groupBy("anchor", "context").agg(
             F.sum("weight").alias("weight"), F.min(F.struct("key", "doc", "first", "last")).alias("at")
         )
@@ -408,16 +423,16 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         crowded = wanted.where(F.col("contexts") > hot)
         n_crowded = crowded.select("anchor").distinct().limit(1).count()
         if not n_crowded:
-            found.append(_index_matches(contexts, least))
+            found.append(_index_matches(contexts, least, unit))
             break
         contexts = written(contexts, f"bodies-{k}")
         hot_anchors = crowded.select("anchor").distinct()
-        found.append(_index_matches(contexts.join(hot_anchors, "anchor", "left_anti"), least))
+        found.append(_index_matches(contexts.join(hot_anchors, "anchor", "left_anti"), least, unit))
         now = contexts.join(hot_anchors, "anchor", "left_semi").select("key", "doc", "base", "weight", F.col("anchor").alias("group"), "body")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("places"))
+    return every.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("places"))
 
 
 def removed(size: int, places, least: int) -> np.ndarray:
@@ -460,12 +475,17 @@ def _ranges(places: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield first[x:y], last[x:y]
 
 
+def repeated_words(size: int, places, words: int) -> np.ndarray:
+    """Which of ``size`` words lie in repeated strings of ``words`` words."""
+    first, last = -(-places[0] // WORD_BYTES), places[1] // WORD_BYTES  # whole words
+    whole = first <= last
+    return removed(size, (first[whole], last[whole]), words)
+
+
 def removed_words(data: np.ndarray, places, words: int) -> np.ndarray:
     """Which bytes lie in repeated strings of ``words`` words, blanks between included."""
     begins, ends = word_bounds(data, np.array([0, len(data)]))
-    first, last = -(-places[0] // WORD_BYTES), places[1] // WORD_BYTES  # whole words
-    whole = first <= last
-    gone = removed(len(begins), (first[whole], last[whole]), words)
+    gone = repeated_words(len(begins), places, words)
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
     change = np.zeros(len(data) + 1, np.int8)
     change[begins[np.flatnonzero(edge == 1)]] = 1
@@ -473,6 +493,10 @@ def removed_words(data: np.ndarray, places, words: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _runs(mask: np.ndarray) -> int:
+    return int(np.count_nonzero(np.diff(np.concatenate([[0], mask.astype(np.int8)])) == 1))
+
+
 def _masks(batch: pa.RecordBatch, least: int, words: int = 0) -> Iterator[tuple[bytes, np.ndarray]]:
     data, offsets = utf8(batch.column("__text"))
     in_words = _ranges(batch.column("__words")) if words else repeat(None)
@@ -483,32 +507,43 @@ def _masks(batch: pa.RecordBatch, least: int, words: int = 0) -> Iterator[tuple[
         yield data[a:b], gone
 
 
-def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
+def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT, words: int = 0) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256, and repeated (whether anything is removed).
 
     A null text is empty; a text shorter than ``least`` loses nothing. Copies of a
     text, repeated rows included, occur elsewhere and so lose everything. Other
-    columns are left out, so none can clash."""
+    columns are left out, so none can clash.
+
+    ``words``: also n_passage_words and n_passages, the words in strings of so many equal
+    words that also start elsewhere, however few their bytes, and the maximal runs of
+    them. They are only counted: what is removed is decided by bytes alone."""
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    joined = _with_places(own, "doc_id", "__text", least, hot)
+    joined = _with_places(own, "doc_id", "__text", least, hot, words=words)
+    fields = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), ("repeated", "boolean")]
+    fields += [("n_passage_words", "bigint"), ("n_passages", "bigint")] if words else []
+    arrow = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for data, gone in _masks(batch, least):
-                spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
-                out.append((len(data), int(gone.sum()), spans, sha256(data[~gone].tobytes()).hexdigest(), spans > 0))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            in_words = _ranges(batch.column("__words")) if words else repeat(None)
+            for (data, gone), places in zip(_masks(batch, least), in_words, strict=False):
+                spans = _runs(gone)
+                row = (len(data), int(gone.sum()), spans, sha256(data[~gone].tobytes()).hexdigest(), spans > 0)
+                if places is not None:
+                    size = len(word_bounds(data, np.array([0, len(data)]))[0]) if len(places[0]) else 0
+                    inside = repeated_words(size, places, words)
+                    row += (int(inside.sum()), _runs(inside))
+                out.append(row)
+            columns = list(zip(*out, strict=True)) or [[]] * len(fields)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated"],
+                [batch.column("doc_id"), *[pa.array(c, arrow[t]) for c, (_, t) in zip(columns, fields, strict=True)]],
+                names=["doc_id", *[name for name, _ in fields]],
             )
 
-    kind = dict(documents.dtypes)[doc_id]
-    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeated boolean"
-    return map_batches(joined.select("doc_id", "__text", "__places"), run, schema)
+    schema = ", ".join(f"{name} {kind}" for name, kind in [("doc_id", dict(documents.dtypes)[doc_id]), *fields])
+    return map_batches(joined.select("doc_id", "__text", "__places", *(["__words"] if words else [])), run, schema)
 
 
 def cut_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hot: int = HOT, words: int = 0) -> DataFrame:

@@ -239,6 +239,54 @@ def test_repeated_strings_of_words(spark):
     assert min(len(r["text"].split()) for r in corpus_pipeline.repeats(spark, docs, "").where("doc_id < 2").collect()) == 60
 
 
+def test_passages_of_few_bytes_are_counted(spark, edge, empty):
+    """Passages of 51 words count with and without 400 bytes; what goes is decided by
+    bytes alone. Against brute force."""
+    rng = random.Random(8)
+    word = lambda n: ["".join(rng.choice("abéd") for _ in range(rng.randint(1, 3))) for _ in range(n)]
+    own, passage, long = (lambda i: [f"{w}{i}x{j}" for j, w in enumerate(word(60))]), word(51), [f"longer{w}word" for w in word(70)]
+    texts = [own(i)[:20] + part + own(i)[20:] for i, part in enumerate([passage, passage, word(50), long, passage[1:] + long[5:], passage[:50]])]
+    texts += [own(7) + passage + own(8) + passage[:50] + long, ["no"] * 51, ["on"] * 52, word(51), [], *[own(9)] * 2]
+    at = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    rows, want = [(i, ("\n " if i % 3 == 1 else " ").join(t)) for i, t in enumerate(texts)], []
+    rows += [(90, None), (91, "")]
+    for t in [*texts, [], []]:
+        gone = {j for s in range(len(t) - 50) if at[tuple(t[s : s + 51])] > 1 for j in range(s, s + 51)}
+        want.append((len(gone), sum(j - 1 not in gone for j in gone)))
+    for hot in (suffix_dedup.HOT, 1):
+        got = sorted(map(tuple, suffix_dedup.report(documents(spark, rows).repartition(3), hot=hot, words=51).collect()))
+        assert [r[:6] for r in got] == sorted(without_repeats(rows, 400))
+        assert [r[6:] for r in got] == want
+    assert got[0][2] == 0 and want[0] == (51, 1) and got[3][2] > 400 and want[6][1] == 2
+    assert suffix_dedup.report(edge, words=51).count() == len(EDGE) and suffix_dedup.report(empty, words=51).count() == 0
+
+
+def test_registered_repeats_name_short_passages(spark, tmp_path):
+    """A passage of over 50 words that two documents share shows though it has fewer than
+    400 bytes."""
+    from hearthbook.llm import queries
+
+    passage = " ".join(f"w{i % 47}" for i in range(60))
+    assert len(passage) < 400
+    rows = [(1, f"here {passage} ends"), (2, f"there {passage} is more"), (3, "nothing like it " + " ".join(map(str, range(200))))]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).select("doc_id", "n_removed", "n_passage_words", "n_passages")
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 60, 1), (2, 0, 60, 1), (3, 0, 0, 0)]
+
+
+def test_suffix_order_against_sorting():
+    rng = np.random.default_rng(3)
+    for symbols in (1, 2, 5, 300, 70_000) * 12:
+        text = rng.integers(0, symbols, rng.integers(1, 90)).astype(np.int32)
+        text = np.tile(text, rng.integers(1, 4))
+        order, levels = suffix_dedup.suffix_order(text)
+        suffixes = [text[i:].tolist() for i in range(len(text))]
+        assert order.tolist() == sorted(range(len(text)), key=suffixes.__getitem__)
+        both = list(zip(order[:-1].tolist(), order[1:].tolist(), strict=True))
+        shared = [next((k for k, (x, y) in enumerate(zip(suffixes[i], suffixes[j], strict=False)) if x != y), min(len(suffixes[i]), len(suffixes[j]))) for i, j in both]
+        assert suffix_dedup.common_prefix(levels, text, order[:-1], order[1:]).tolist() == shared
+
+
 def windows_brute(docs, items, size=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: word.findall((t or "").translate({65 + k: 97 + k for k in range(26)}))
