@@ -18,7 +18,7 @@ strings first have to meet:
    there; positions with at least ``least`` are repeated. Between run ends nothing is
    stored, so copies with few edits cost next to nothing.
 4. An anchor with more than ``HOT`` distinct contexts (a line that a third of the
-   corpus shares) is not gathered: its windows go round again with a longer anchor,
+   corpus shares; WORD_BYTES times as many of words) is not gathered: its windows go round again with a longer anchor,
    at last as long as the window, where a context is its anchor.
 
 Strings of equal words are found in the same way: a text becomes eight bytes a word.
@@ -401,6 +401,7 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     texts = documents.select(text_key(F.col(text)).alias("key"), F.col(doc_id).cast("string").alias("doc"), body.alias("body"))
     fewest = 2 * (least // WORD_BYTES) - 1 if in_words else least  # a word and a blank have two bytes
     zero, unit = F.lit(0).cast("long"), WORD_BYTES if in_words else 1
+    hot *= unit  # what a task holds goes by symbols, and a word is one
     long_enough = one_per_text(texts.where(F.octet_length("body") >= fewest))
     now = long_enough.select("key", "doc", zero.alias("base"), "weight", zero.alias("group"), "body")
     found = []
