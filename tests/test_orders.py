@@ -4,10 +4,13 @@ import datetime as dt
 import itertools
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from hearthbook.operators import orders as O
-from hearthbook.operators.subsets import match_subsets
+from hearthbook.operators.subsets import _finder, match_subsets
+from hearthbook.plans.views_sql import subset_sql
 
 START = dt.date(2024, 1, 1)
 
@@ -111,3 +114,66 @@ def test_bounds_are_reported(spark):
     assert left == {2: (5, 2)}
     none = spark.createDataFrame([], c.schema)
     assert O.match_split(o, none).count() == 0 and O.match_combined(o.limit(0), c).count() == 0
+
+
+def cell_rows(spark, rows):
+    return spark.createDataFrame([(a, d, s, i) for i, a, d, s in rows], "account_id long, day long, size long, id long").repartition(4)
+
+
+def subsets_found(df):
+    found = df.collect()
+    out = {(r["target_id"], r["part_id"]): (r["k"], r["days"], r["sure"]) for r in found}
+    assert len(out) == len(found)
+    return out
+
+
+def test_wide_windows_are_searched_with_all_parts(spark):
+    # 130 cells in the window of the first order, 510 in that of the second
+    charges = [(i, 1, 1 + i % 9, 1000 * i) for i in range(1, 127)] + [(900 + s, 1, 3, s) for s in (1, 2, 4, 8)]
+    charges += [(2000 + i, 2, 1 + i % 9, 1000 * i) for i in range(1, 508)] + [(2900 + s, 2, 3, s) for s in (1, 2, 4)]
+    o, c = frames(spark, [(1, 1, 0, 15), (2, 2, 0, 7)], charges)
+    got = {(r["order_id"], r["charge_id"], r["status"]) for r in O.match_split(o, c).collect()}
+    assert got == {(1, 900 + s, "confirmed") for s in (1, 2, 4, 8)} | {(2, 2900 + s, "confirmed") for s in (1, 2, 4)}
+    left = frames(spark, [(3, 1, 0, 13)], charges)
+    assert {(r["reach"], r["tried"]) for r in O.order_reach(*left, O.match_split(*left).limit(0)).collect()} == {(130, 4)}
+
+
+@pytest.mark.parametrize(("seed", "lo", "hi", "joined"), [(3, 0, 10, {2: 0, 3: 0, 4: 0}), (4, -10, 0, {2: 9, 3: 6, 4: 5})])
+def test_searched_windows_against_all_subsets(spark, seed, lo, hi, joined):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 40) for _ in range(12)] + [5, 5, 10]
+    parts = [(i, 1 if i % 3 else rng.randint(2, 6), rng.randint(0, 25), rng.choice(sizes)) for i in range(80)]
+    targets = [(1000 + i, 1 if i % 3 else rng.randint(2, 6), rng.randint(0, 25), sum(rng.sample(sizes, rng.randint(2, 4)))) for i in range(40)]
+    got = subsets_found(match_subsets(cell_rows(spark, targets), cell_rows(spark, parts), lo, hi, joined=joined))
+    assert got == searched(targets, parts, lo, hi, 4, 10**3)
+
+
+def test_cells_are_dealt_until_nobody_asks(spark):
+    # few sizes, so that many targets want the same cells and turn to others round after round
+    rng = random.Random(129)
+    parts = [(i, 1, rng.randint(0, 10), rng.randint(1, 9)) for i in range(40)]
+    targets = [(100 + i, 1, rng.randint(0, 3), rng.randint(6, 12)) for i in range(30)]
+    want = searched(targets, parts, 0, 10, 2, 10**3)
+    assert len(want) > len(searched(targets, parts, 0, 10, 2, 3))
+    assert subsets_found(match_subsets(cell_rows(spark, targets), cell_rows(spark, parts), 0, 10, most=2)) == want
+    con = duckdb.connect()
+    for name, rows in (("t", targets), ("p", parts)):
+        values = ", ".join(f"({i}, {a}, DATE '1970-01-01' + {d}, {s})" for i, a, d, s in rows)
+        con.execute(f"create table {name} as select * from (values {values}) v(id, account_id, date, size)")
+    for rounds in (None, 3):
+        sql = f"WITH nothing AS (SELECT 1){subset_sql('t', 'p', 0, 10, 2, rounds, 'x')} SELECT target_id, part_id, 2, days, sure FROM x"
+        assert {(t, p): tuple(r) for t, p, *r in con.execute(sql).fetchall()} == searched(targets, parts, 0, 10, 2, rounds or 10**3)
+
+
+@pytest.mark.parametrize(("k", "most"), [(2, 3), (3, 3), (4, 3), (4, 40), (4, 10**6)])
+def test_a_search_holds_a_slice(k, most):
+    rng = random.Random(k)
+    parts = sorted({(rng.randint(0, 5), rng.randint(1, 9)): rng.randint(1, 4) for _ in range(14)}.items())
+    targets = [0, 1, 7, 12, 13, 20, 90]
+    rows = [{"account_id": 8, "t_day": 0, "asked": False, "day": d, "size": s, "n": n} for (d, s), n in rng.sample(parts, len(parts))]
+    rows += [{"account_id": 8, "t_day": 0, "asked": True, "day": 0, "size": t, "n": 2} for t in targets]
+    out = [r for b in _finder(k, most)(iter(pa.Table.from_pylist(rows).to_batches(max_chunksize=5))) for r in b.to_pylist()]
+    got = [(r["t_size"], tuple((r[f"day{i}"], r[f"size{i}"], r[f"n{i}"]) for i in range(k))) for r in out]
+    cells = [(d, s, n) for (d, s), n in parts]
+    want = [(t, m) for t in targets for m in itertools.combinations_with_replacement(cells, k) if sum(x[1] for x in m) == t and all(m.count(x) <= x[2] for x in m)]
+    assert want and sorted(got) == sorted(want)
