@@ -424,3 +424,23 @@ def test_overlapping_files_against_all_pairs(spark):
     }
     got = [tuple(r) for r in overlapping_files(df).collect()]
     assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_staged_counts_name_the_files_that_provide_rows(spark):
+    files = spark.createDataFrame([(1, "transactions", "a.csv", 9), (2, "statement", "b.pdf", 5), (3, "transactions", "b.pdf", 9)], "id long, kind string, filename string, row_count long")
+    rows = spark.createDataFrame(
+        # files 7 and 8 have no record of their own; 7 is no more reliable than 1, 8 has only what nobody else has
+        [(1, 1, "x"), (1, 1, "y"), (2, 1, "x"), (7, 1, "y"), (7, 1, "z"), (8, 1, "w"), (8, 1, "z"), (3, 2, "x"), (1, 2, "x")],
+        "batch_id long, account_id long, dedupe_hash string",
+    ).withColumn("session_id", F.lit(5).cast("long"))
+    marked = staging.cross_file_supersede(rows, files, unknown=True)
+    assert marked.count() == rows.count() and staging.cross_file_supersede(rows, files).count() == 5
+    status = F.when(F.col("dedupe_hash") == "w", F.lit("duplicate")).otherwise(F.lit("new"))
+    staged = marked.select("batch_id", F.lit("transaction").alias("row_kind"), status.alias("status"), "superseded_by_batch_id")
+    more = spark.createDataFrame([(1, "transaction", "new", 2), (1, "transaction", "new", 3), (1, "transaction", "new", 9), (4, "balance", "new", None)], staged.schema)
+    out = {r["batch_id"]: tuple(r)[1:] for r in staging.staged_counts(staged.unionByName(more), files).collect()}
+    assert out == {
+        1: (2, 0, 0, 0, 4, '[{"filename":"#9","count":1},{"filename":"b.pdf","count":3}]'),
+        2: (1, 0, 0, 0, 0, "[]"), 3: (0, 0, 0, 0, 1, '[{"filename":"a.csv","count":1}]'), 4: (0, 0, 0, 1, 0, "[]"),
+        7: (1, 0, 0, 0, 1, '[{"filename":"a.csv","count":1}]'), 8: (0, 1, 0, 0, 1, '[{"filename":"#7","count":1}]'),
+    }
