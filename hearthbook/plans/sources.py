@@ -215,7 +215,9 @@ def ledger_commit(led):
     them once more beside the legs of their transfers."""
     led.hold_base()
     path, name = scratch(led.spark, "books"), f"commit_{uuid.uuid4().hex}"
-    log, index = CommitLog(led.spark, path), DedupeIndex(led.spark, name, f"{path}/index")
+    # a task sorts a bucket: so many that one stays small
+    buckets = max(8, led.table("orders").count() // 400_000)
+    log, index = CommitLog(led.spark, path), DedupeIndex(led.spark, name, f"{path}/index", buckets)
     # ranking writes the rows out
     keyed = staging_plans.hashed_ledger(led, "merchant", "category_id")
     balances = [led.statement_balances.withColumn("source", F.lit("import")), led.snapshots]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_of
 from ..operators.transfers import auto_link
 from ..session import cut_lineage
-from .index import DedupeIndex, LINE
+from .index import CODEC, DedupeIndex, LINE, packed, unpacked
 
 ROWS = "id bigint, account_id bigint, date date, amount_cents bigint, description string, merchant string, category_id bigint, dedupe_hash string, batch_id bigint"
 BALANCES = "account_id bigint, date date, balance_cents bigint, source string, batch_id bigint"
@@ -86,18 +86,19 @@ class CommitLog:
         last = F.max_by(F.struct("balance_cents", "source"), F.struct("seq", "balance_cents")).alias("b")
         return rows.join(F.broadcast(number), "commit").groupBy("account_id", "date").agg(last).select("account_id", "date", "b.*")
 
-    def stage(self, tables: dict[str, DataFrame]) -> str:
-        """Write a commit's folders, which stay invisible; its name."""
-        commit = uuid.uuid4().hex
+    def stage(self, tables: dict[str, DataFrame], commit: str | None = None) -> str:
+        """Write a commit's folders, which stay invisible; its name. With ``commit``, more
+        tables of it."""
+        commit = commit or uuid.uuid4().hex
         for table, df in tables.items():
             columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
             out, at = df.select(*columns), f"{self.path}/{table}/commit={commit}"
             if table == "rows":
                 # rebalancing by month splits a hot month over many tasks and packs quiet ones
-                out = out.withColumn("month", month_of(F.col("date"))).hint("rebalance", F.col("month"))
-                out.sortWithinPartitions("month", "account_id", "date").write.partitionBy("month").parquet(at)
+                out = unpacked(packed(out).withColumn("month", month_of(F.col("date"))).hint("rebalance", F.col("month")))
+                out.select(*columns, "month").sortWithinPartitions("month", "account_id", "date").write.partitionBy("month").parquet(at, compression=CODEC)
             else:
-                out.write.parquet(at)
+                out.write.parquet(at, compression=CODEC)
         return commit
 
     def publish(self, commit: str, expected: int, stats: dict[str, int] | None = None, replaces: list[str] | None = None) -> int:
@@ -163,18 +164,21 @@ def commit_import(
     replaces another. A link is the only candidate of both its legs, one of them new,
     among the rows of the import's months and the days around them, linked ones left
     out. If another commit comes first all of this is decided again."""
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows, CODEC)
     for _ in range(tries):
         catch_up(log, index)
         version = log.version()
         lines, _days = index.around(rows)
-        fresh = cut_lineage(rows.groupBy(*LINE).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in LINE]), "id").alias("r")).select(*LINE, "r.*").join(lines.select(*LINE), LINE, "left_anti"))
+        new = index.dealt(rows).groupBy(*LINE).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in LINE]), "id").alias("r"))
+        commit = log.stage({"rows": new.select(*LINE, "r.*").join(lines.select(*LINE), LINE, "left_anti")})
+        # read where they were staged, which nobody else does
+        fresh = log.read("rows", commits=[commit])
         held = log.balances(version).select("account_id", "date", F.col("balance_cents").alias("held"))
         last = balances.groupBy("account_id", "date").agg(F.max_by(F.struct("balance_cents", "source", "batch_id"), F.struct("batch_id", "balance_cents")).alias("b"))
         recorded = last.select("account_id", "date", "b.*").join(held, ["account_id", "date"], "left")
-        recorded = cut_lineage(recorded.where("held is null or held != balance_cents").drop("held"))
-        linked = cut_lineage(new_links(log, fresh, rejections, version, window))
-        commit = log.stage({"rows": fresh, "balances": recorded, "links": linked})
+        recorded = cut_lineage(recorded.where("held is null or held != balance_cents").drop("held"), CODEC)
+        linked = cut_lineage(new_links(log, fresh, rejections, version, window), CODEC)
+        log.stage({"balances": recorded, "links": linked}, commit)
         before_publish()
         try:
             log.publish(commit, version)
@@ -195,8 +199,13 @@ def new_links(log: CommitLog, fresh: DataFrame, rejections: DataFrame, version:
     columns = ["id", "account_id", "date", "amount_cents"]
     old = log.read("rows", version).where(F.col("month").isin(months)).select(*columns).join(ends, "id", "left_anti")
     books = old.withColumn("new", F.lit(False)).unionByName(fresh.select(*columns, F.lit(True).alias("new")))
-    books = cut_lineage(books.withColumn("transfer_peer_id", F.lit(None).cast("long")).withColumn("transfer_account_id", F.lit(None).cast("long")))
-    pairs = auto_link(books, rejections, window)
+    # candidates have one amount, so only amounts that move both ways and are new somewhere matter
+    size = F.abs("amount_cents")
+    sides = [F.max(c) for c in (F.col("new"), F.col("amount_cents") > 0, F.col("amount_cents") < 0)]
+    live = books.groupBy(size.alias("size")).agg((sides[0] & sides[1] & sides[2]).alias("live")).where("live").select("size")
+    books = books.withColumn("size", size).join(live, "size", "left_semi").drop("size")
+    books = cut_lineage(books.withColumn("transfer_peer_id", F.lit(None).cast("long")).withColumn("transfer_account_id", F.lit(None).cast("long")), CODEC)
+    pairs = cut_lineage(auto_link(books, rejections, window), CODEC)
     new = books.where("new").select("id")
     touched = pairs.join(new.withColumnRenamed("id", "out_id"), "out_id", "left_semi").unionByName(pairs.join(new.withColumnRenamed("id", "in_id"), "in_id", "left_semi"))
     return touched.select("out_id", "in_id", "amount_cents").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthbook.operators.staging import classify_staged, with_dedupe_key
 from hearthbook.sources import commits as C
-from hearthbook.sources.index import DedupeIndex
+from hearthbook.sources.index import DedupeIndex, packed, unpacked
 
 LINES = "id long, account_id long, date date, amount_cents long, description string"
 START = dt.date(2024, 1, 30)
@@ -127,3 +127,46 @@ def test_two_writers_add_a_row_once(spark, books):
     with pytest.raises(C.Conflict):
         log.publish(staged, 1)
     assert log.version() == 2
+
+
+def test_hashes_are_packed_and_come_back(spark):
+    texts = ["00ff", "00FF", "abc", "", None, "no hash", "é", "0a" * 32]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, dedupe_hash string")
+    small = packed(rows)
+    assert small.where("_raw is not null and _odd is not null").count() == 0 and small.where("length(_raw) = 32").count() == 1
+    assert {r["id"]: r["dedupe_hash"] for r in unpacked(small.repartition(3)).collect()} == dict(enumerate(texts))
+
+
+def test_a_commit_writes_its_rows_once(spark, books, monkeypatch):
+    log, index, nobody = books
+    written, cut = [], C.cut_lineage
+
+    def noted(df, *more):
+        written.append(cut(df, *more))
+        return written[-1]
+
+    monkeypatch.setattr(C, "cut_lineage", noted)
+    # only 500 moves both ways; of the second import's amounts 9 does not
+    first = lines(spark, [(100, 1, 0, -500, "out"), (101, 1, 0, -9, "same"), (102, 1, 0, -70, "one way"), (103, 4, 0, 70, "the other")])
+    assert told(C.commit_import(log, index, first, balances(spark, []), nobody)) == {1: (4, 0, 0, 2)}
+    assert sum("dedupe_hash" in df.columns for df in written) == 1  # the import as it came
+    assert sorted(r["id"] for df in written if "new" in df.columns for r in df.collect()) == [102, 103]
+    written.clear()
+    second = lines(spark, [(200, 2, 3, 500, "in"), (201, 2, 3, -9, "same")])
+    assert told(C.commit_import(log, index, second, balances(spark, []), nobody)) == {2: (2, 0, 0, 1)}
+    assert sorted(r["id"] for df in written if "new" in df.columns for r in df.collect()) == [100, 200]
+
+
+def test_a_commit_does_not_shuffle_the_index(spark, books):
+    _, index, _ = books
+    index.add(lines(spark, [(i, i % 3, i % 70, i % 5, f"text {i % 4}") for i in range(300)]))
+    rows = C.cut_lineage(lines(spark, [(1000, 1, 3, 3, "text 3")]), C.CODEC)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.shuffle.partitions", 32)  # more than there are buckets
+    try:
+        once = index.dealt(rows).groupBy(*C.LINE).agg(F.min("id").alias("id"))
+        plan = once.join(index.around(rows)[0].select(*C.LINE), C.LINE, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert "SortMergeJoin" in plan and plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan
